@@ -253,9 +253,7 @@ def top_quintile_flags(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
     entries = F.array(
         *[F.struct(F.lit(n).alias("_name"), F.round(v, TIE_DIGITS).alias("_v")) for n, v in values.items()]
     )
-    long = rows.select(*IDENTITY, F.explode(F.filter(entries, lambda e: e["_v"].isNotNull())).alias("_e")).select(
-        *IDENTITY, "_e.*"
-    )
+    long = rows.select(*IDENTITY, F.explode(entries).alias("_e")).select(*IDENTITY, "_e.*").where("_v is not null")
     cohort = Window.partitionBy(*COHORT, "_name")
     size = F.count(F.lit(1)).over(cohort)
     place = F.row_number().over(cohort.orderBy(F.col("_v").desc(), "game_theme"))
@@ -300,9 +298,10 @@ def feature_pairs(outcomes: DataFrame) -> DataFrame:
     )
     results = F.array(*[F.struct(F.lit(n).alias("outcome_name"), F.col(n).alias("outcome")) for n in OUTCOMES])
     return (
-        outcomes.select(*IDENTITY, features.alias("_f"), results.alias("_o"))
-        .withColumn("_f", F.explode(F.filter("_f", lambda e: e["feature"].isNotNull())))
-        .withColumn("_o", F.explode(F.filter("_o", lambda e: e["outcome"].isNotNull())))
+        outcomes.select(*IDENTITY, *OUTCOMES, F.explode(features).alias("_f"))
+        .where(F.col("_f.feature").isNotNull())
+        .withColumn("_o", F.explode(results))
+        .where(F.col("_o.outcome").isNotNull())
         .select(*IDENTITY, "_f.*", "_o.*")
     )
 
@@ -474,9 +473,8 @@ def low_sample_warning(rows: Column, months: Column) -> Column:
     return (rows < LOW_SAMPLE_ROWS) | (months < LOW_SAMPLE_MONTHS)
 
 
-def feature_metrics(outcomes: DataFrame, totals: DataFrame) -> DataFrame:
-    """All 228 feature / outcome / horizon rows of each scope."""
-    ranked = ranked_pairs(feature_pairs(outcomes))
+def feature_metrics(outcomes: DataFrame, totals: DataFrame, ranked: DataFrame) -> DataFrame:
+    """All 228 feature / outcome / horizon rows of each scope, from the ranked pairs of ``outcomes``."""
     candidates = outcomes.groupBy("scope_name", "cadence", "outcome_horizon_months").agg(
         F.count(F.lit(1)).alias("_candidates")
     )

@@ -276,7 +276,7 @@ def category_fits(
             "cadence",
             "game_theme",
             F.col("dimension_value").alias("game_subgenre"),
-            F.explode(F.transform(twelve, lambda n: n)).alias("_age"),
+            F.explode(twelve).alias("_age"),
             F.col("period_start").alias("_seen"),
             "product_count",
             "downloads_coverage_count",
@@ -568,8 +568,8 @@ def risk_rows(assessed: DataFrame) -> DataFrame:
     return assessed.select(
         *THEME,
         F.lit(DECISION_POLICY).alias("decision_policy_version"),
-        F.explode(F.array_compact(risks)).alias("_r"),
-    ).select(*THEME, "decision_policy_version", "_r.*")
+        F.explode(risks).alias("_r"),
+    ).where(F.col("_r").isNotNull()).select(*THEME, "decision_policy_version", "_r.*")
 
 
 def decision_distributions(summaries: DataFrame) -> DataFrame:

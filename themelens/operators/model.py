@@ -146,13 +146,9 @@ def horizon_metrics(grid: DataFrame) -> DataFrame:
         )
     return (
         rows.withColumn("_h", F.array(*blocks))
-        .where("is_present")
-        .select(
-            *THEME,
-            "month_index",
-            "metric_name",
-            F.explode(F.filter("_h", lambda b: b["horizon_month_count"] <= F.col("month_index"))).alias("_h"),
-        )
+        .where(F.col("is_present") & (F.col("month_index") >= min(HORIZONS)))
+        .select(*THEME, "month_index", "metric_name", F.explode_outer("_h").alias("_h"))
+        .where(F.col("_h.horizon_month_count") <= F.col("month_index"))
         .select(*THEME, "metric_name", "_h.*")
     )
 
@@ -215,72 +211,76 @@ def horizon_evidence(horizons: DataFrame) -> DataFrame:
 def seasonality_profiles(grid: DataFrame) -> DataFrame:
     """Average month index of whole trailing years, per theme month and metric.
 
-    The trailing months arrive as one array of at most 36 entries; years are cut, checked and averaged
-    inside the row, and only surviving profiles expand to twelve rows.
+    A year is a block of twelve months counted back from the target; blocks with a missing month or a
+    mean of zero are dropped, and at least two must remain. Block sums and the trailing months (at most
+    36) come from one window pass, and only surviving profiles expand to twelve rows.
     """
-    trailing = (
-        Window.partitionBy(*SERIES, "metric_name").orderBy("month_index").rowsBetween(-(SEASON_MAX_MONTHS - 1), 0)
-    )
+    series = Window.partitionBy(*SERIES, "metric_name").orderBy("month_index")
+    blocks = range(SEASON_MAX_MONTHS // 12)
+    window_columns = {"_months": F.collect_list(F.struct("value")).over(series.rowsBetween(-(SEASON_MAX_MONTHS - 1), 0))}
+    for b in blocks:
+        frame = series.rowsBetween(-(12 * b + 11), -12 * b)
+        window_columns[f"_sum_{b}"] = F.when(F.count("value").over(frame) == 12, F.sum("value").over(frame))
+    years = F.least(F.floor(F.col("month_index") / 12), F.lit(len(blocks))).cast("int")
     rows = (
         metric_series(grid)
-        .withColumn("_a", F.collect_list(F.struct("value")).over(trailing))
+        .withColumns(window_columns)
         .where(F.col("is_present") & (F.col("month_index") >= SEASON_MIN_MONTHS))
-        .withColumn("complete_year_count", F.least(F.floor(F.col("month_index") / 12), F.lit(SEASON_MAX_MONTHS // 12)).cast("int"))
-        .withColumn("history_month_count", F.col("complete_year_count") * 12)
-        .withColumn("history_start", F.add_months("period_start", -(F.col("history_month_count") - 1)))
-    )
-    first = F.size("_a") - F.col("history_month_count")
-    years = F.transform(
-        F.sequence(F.lit(0), F.col("complete_year_count") - 1),
-        lambda year: F.transform(F.slice("_a", first + year * 12 + 1, 12), lambda e: e["value"]),
+        .withColumns(
+            {
+                "complete_year_count": years,
+                "history_month_count": years * 12,
+                "history_start": F.add_months("period_start", -(years * 12 - 1)),
+                **{f"_mean_{b}": F.when(F.col(f"_sum_{b}") > 0, F.col(f"_sum_{b}") / 12) for b in blocks},
+            }
+        )
+        .withColumn(
+            "observation_count", sum((F.col(f"_mean_{b}").isNotNull().cast("int") for b in blocks), F.lit(0))
+        )
+        .where(F.col("observation_count") >= 2)
     )
 
-    def year_sum(year: Column) -> Column:
-        return F.aggregate(year, F.lit(0.0), lambda acc, v: acc + v)
+    def index_at(position: int) -> Column:
+        """Mean over the usable blocks of month value / block mean, ``position`` months into the year."""
+        added = F.lit(0.0)
+        for b in blocks:
+            value = F.get("_months", F.size("_months") - 12 * b - 12 + position)["value"]
+            added = added + F.coalesce(value / F.col(f"_mean_{b}"), F.lit(0.0))
+        return added / F.col("observation_count")
 
-    # A NULL month makes the sum NULL, which drops the year as well.
-    usable = F.filter(years, lambda year: F.coalesce(year_sum(year) > 0, F.lit(False)))
-    scaled = F.transform(F.col("_years"), lambda year: F.transform(year, lambda v: v / (year_sum(year) / 12)))
-    averaged = F.transform(
-        F.sequence(F.lit(0), F.lit(11)),
-        lambda p: F.aggregate("_scaled", F.lit(0.0), lambda acc, year: acc + F.get(year, p)) / F.size("_scaled"),
-    )
-    labelled = F.transform(
-        F.col("_index"),
-        lambda v, p: F.named_struct(
-            F.lit("calendar_month"),
-            F.month(F.add_months(F.col("history_start"), p)),
-            F.lit("seasonal_index"),
-            v,
-        ),
+    profile = F.array(
+        *[
+            F.struct(
+                F.month(F.add_months("history_start", position)).alias("calendar_month"),
+                index_at(position).alias("seasonal_index"),
+                F.round(index_at(position), TIE_DIGITS).alias("_key"),
+            )
+            for position in range(12)
+        ]
     )
 
     def extreme(sign: int) -> Column:
         """Calendar month of the largest (sign -1) or smallest index, the earlier month on ties."""
         ordered = F.transform(
             "_profile",
-            lambda e: F.named_struct(
-                F.lit("v"), sign * F.round(e["seasonal_index"], TIE_DIGITS), F.lit("m"), e["calendar_month"]
-            ),
+            lambda e: F.named_struct(F.lit("v"), sign * e["_key"], F.lit("m"), e["calendar_month"]),
         )
         return F.array_min(ordered)["m"]
 
+    # The outer explode keeps Spark from evaluating the whole array a second time in an inferred filter.
     return (
-        rows.withColumn("_years", usable)
-        .where(F.size("_years") >= 2)
-        .withColumn("_scaled", scaled)
-        .withColumn("_index", averaged)
-        .withColumn("_profile", labelled)
+        rows.withColumn("_profile", profile)
+        .withColumns({"_peak": extreme(-1), "_trough": extreme(1)})
         .select(
             *THEME,
             "metric_name",
             "history_start",
             "history_month_count",
             "complete_year_count",
-            F.size("_years").alias("observation_count"),
-            extreme(-1).alias("_peak"),
-            extreme(1).alias("_trough"),
-            F.explode("_profile").alias("_e"),
+            "observation_count",
+            "_peak",
+            "_trough",
+            F.explode_outer("_profile").alias("_e"),
         )
         .select(
             *THEME,

@@ -28,9 +28,8 @@ def _long(df: DataFrame, keep: Sequence[str], values: Mapping[str, Column]) -> D
     entries = F.array(
         *[F.struct(F.lit(name).alias("measure"), value.cast("double").alias("value")) for name, value in values.items()]
     )
-    return df.select(*keep, F.explode(F.filter(entries, lambda e: e["value"].isNotNull())).alias("_e")).select(
-        *keep, "_e.measure", "_e.value"
-    )
+    long = df.select(*keep, F.explode(entries).alias("_e")).select(*keep, "_e.measure", "_e.value")
+    return long.where(F.col("value").isNotNull())
 
 
 def concentration(
@@ -333,8 +332,9 @@ def theme_membership(facts: DataFrame) -> DataFrame:
             "cadence",
             "game_theme",
             "unified_app_id",
-            F.explode(F.filter(F.array(current, F.when(leaves, gone)), lambda e: e.isNotNull())).alias("_m"),
+            F.explode(F.array(current, F.when(leaves, gone))).alias("_m"),
         )
+        .where(F.col("_m").isNotNull())
         .select("scope_name", "cadence", "game_theme", "unified_app_id", "_m.*")
     )
     return members.select(
@@ -666,10 +666,11 @@ def dimension_metrics(facts: DataFrame, totals: DataFrame, themes: DataFrame) ->
             "publisher_display_name",
             "has_previous_month",
             "is_market_new",
-            F.explode(F.filter(entries, lambda e: e["dimension_value"].isNotNull())).alias("_d"),
+            F.explode(entries).alias("_d"),
         )
         .select("*", "_d.*")
         .drop("_d")
+        .where(F.col("dimension_value").isNotNull())
     )
     new = F.col("is_market_new")
     basics = rows.groupBy(*keys).agg(

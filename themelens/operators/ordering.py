@@ -95,8 +95,9 @@ def _split_quantiles(df: DataFrame, keys: list[str], names: list[str], fractions
     """
     entries = F.array(*[F.struct(F.lit(name).alias("_name"), F.col(f"_v_{name}").alias("_v")) for name in names])
     long = (
-        df.select(*keys, F.explode(F.filter(entries, lambda e: e["_v"].isNotNull())).alias("_e"))
+        df.select(*keys, F.explode(entries).alias("_e"))
         .select(*keys, "_e._name", "_e._v")
+        .where(F.col("_v").isNotNull())
         .withColumn("_b", value_bucket(F.col("_v")))
     )
     counted = long.groupBy(*keys, "_name", "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
@@ -221,9 +222,8 @@ def average_rank_percentiles(
     entries = F.array(
         *[F.struct(F.lit(name).alias("_name"), F.round(column, tie_digits).alias("_v")) for name, column in features.items()]
     )
-    long = df.select(*identity, F.explode(F.filter(entries, lambda e: e["_v"].isNotNull())).alias("_e")).select(
-        *identity, "_e._name", "_e._v"
-    )
+    long = df.select(*identity, F.explode(entries).alias("_e"))
+    long = long.select(*identity, "_e._name", "_e._v").where(F.col("_v").isNotNull())
     ordered = Window.partitionBy(*cohort, "_name").orderBy("_v")
     ties = ordered.rangeBetween(Window.currentRow, Window.currentRow)
     size = F.count(F.lit(1)).over(Window.partitionBy(*cohort, "_name"))
