@@ -18,7 +18,7 @@ from themelens.constants import (
 
 _INTEGER = re.compile(
     r"(_count(_\d+m)?|^rank_position|_rank_position|^evidence_rank|^leader_rank|trend_rank|momentum_rank|^calendar_month|_calendar_month|horizon_months|window_months"
-    r"|^months_since_\w+|^active_months_\w+|^month_index|^batch_number|^position|^category|_millis|_issues)$"
+    r"|^months_since_\w+|^active_months_\w+|^month_index|^batch_number|^position|^category|^response_id|^order_id|^part_id|_millis|_issues)$"
 )
 _OTHER = re.compile(
     r"^(scope_name|scope_country|cadence|game_\w+|device_type|data_model|\w+_start|\w+_end|\w+_id|is_\w+|has_\w+|direction_\d+m"

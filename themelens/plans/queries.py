@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,10 +11,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from themelens.constants import MEASURES, PERIOD, SHARE_METRICS, THEME
-from themelens.operators import backtest, calendar, decision, model, monthly, opportunity, proxy, trend
+from themelens.functions import text
+from themelens.operators import (
+    backtest,
+    calendar,
+    decision,
+    model,
+    monthly,
+    opportunity,
+    proxy,
+    quality,
+    reconcile,
+    trend,
+)
 from themelens.plans import oracle as sql
 from themelens.plans.stages import Stages, run_for
-from themelens.sources import driver_tables
+from themelens.session import scratch_dir
+from themelens.sources import driver_tables, market_json
+from themelens.sources.store import PeriodStore, export_sorted, readback_differences, upsert_metadata
 
 
 @dataclass(frozen=True)
@@ -52,14 +67,6 @@ def comparable(df: DataFrame) -> DataFrame:
     return df.select(*[column(field) for field in df.schema.fields])
 
 
-def register(name: str, reference: str | None = None):
-    def add(build: Callable[..., DataFrame]):
-        QUERIES[name] = Query(build, reference)
-        return build
-
-    return add
-
-
 def simple(name: str, build: Callable[[Stages], DataFrame], columns: str, tail: str, *blocks: str) -> None:
     """Query over the stage tables, cut to the columns the reference SQL selects."""
     names = columns.split()
@@ -123,10 +130,10 @@ simple(
 )
 simple(
     "month_gaps",
-    lambda run: calendar.month_gaps(run.snapshots.where(F.col("game_theme") == "N/A")),
+    lambda run: calendar.month_gaps(run.snapshots.where(F.month("period_start") != 6)),
     "scope_name cadence period_start previous_start",
     """FROM (SELECT scope_name, cadence, period_start, lag(period_start) OVER (ORDER BY period_start) AS previous_start
-      FROM (SELECT DISTINCT scope_name, cadence, period_start FROM snap WHERE game_theme = 'N/A'))
+      FROM (SELECT DISTINCT scope_name, cadence, period_start FROM snap WHERE month(period_start) <> 6))
     WHERE previous_start <> period_start - INTERVAL 1 MONTH""",
 )
 simple(
@@ -450,10 +457,10 @@ simple(
 simple(
     "profile_coverage_check",
     lambda run: proxy.profile_coverage_violations(
-        run.snapshots, run.profiles.where(F.col("unified_app_id").cast("int") % 10 != 0)
+        run.snapshots, run.profiles.where(F.col("observable_revenue_state") != "zero")
     ),
     f"{PC} unified_app_id violation",
-    "FROM (SELECT *, 'missing_profile' AS violation FROM snap WHERE unified_app_id::INT % 10 = 0)",
+    "FROM (SELECT *, 'missing_profile' AS violation FROM snap WHERE revenue_absolute = 0)",
 )
 simple(
     "theme_identity_check",
@@ -540,3 +547,486 @@ simple(
     )
     + ")",
 )
+
+# Ingestion: JSON responses built from the part table and parsed back.
+_KEY = "SELECT *, p_partkey AS k, p_partkey // 100 AS response_id, p_partkey % 100 + 1 AS position FROM part"
+_PARSED = f"""SELECT *,
+    CASE WHEN k = 0 OR k % 40 = 3 THEN NULL WHEN k % 4 = 2 THEN 'com.app.' || k ELSE k::VARCHAR END AS source_app_id,
+    CASE WHEN k % 6 = 0 THEN 'u-' || k WHEN k % 40 = 3 THEN NULL WHEN k % 4 = 2 THEN 'com.app.' || k ELSE k::VARCHAR END AS unified_app_id,
+    p_size::DOUBLE AS units_absolute, CASE WHEN k % 13 <> 0 THEN p_retailprice END AS revenue_absolute,
+    CASE WHEN k % 100 <> 98 THEN p_brand END AS game_theme,
+    CASE WHEN k % 100 <> 98 THEN CASE k % 5 WHEN 0 THEN ' Puzzle ' WHEN 1 THEN 'STRATEGY' WHEN 2 THEN 'Arcade' ELSE 'puzzle' END END AS game_genre,
+    CASE WHEN k % 100 <> 98 THEN CASE WHEN k % 7 = 0 THEN 'China' ELSE 'US' END END AS game_country,
+    CASE WHEN k % 100 <> 98 THEN CASE k % 3 WHEN 0 THEN DATE '2020-01-05' WHEN 1 THEN DATE '2020-02-29' END END AS release_date_ww,
+    CASE WHEN k % 100 <> 98 AND k % 3 = 2 THEN 'Release Date (WW)' ELSE '' END AS date_note_codes,
+    concat_ws(',', CASE WHEN k = 0 OR k % 40 = 3 THEN 'invalid_app_id' END, CASE WHEN k % 50 = 7 THEN 'invalid_date' END,
+      CASE WHEN k % 100 = 98 THEN 'missing_tags' END) AS error_codes
+  FROM ({_KEY})"""
+_SELECTED = f"""SELECT *, row_number() OVER (PARTITION BY response_id ORDER BY position) AS rank_position FROM ({_PARSED})
+  WHERE lower(trim(game_genre)) IN ('puzzle', 'strategy') AND game_country IS DISTINCT FROM 'China'"""
+
+
+def _parsed(run: Stages) -> DataFrame:
+    rows = market_json.parse_market_payloads(driver_tables.market_responses(run.spark, run.source))
+    return rows.withColumns(
+        {
+            "game_country": F.col("most_popular_country_by_revenue"),
+            "date_note_codes": F.array_join("date_notes", ","),
+            "error_codes": F.array_join("errors", ","),
+        }
+    )
+
+
+def _selected(run: Stages) -> DataFrame:
+    return market_json.select_market_records(_parsed(run), ["response_id"], ["Puzzle", " strategy "], 30, "China")
+
+
+for _name, _columns in {
+    "read_market_json": "source_app_id units_absolute revenue_absolute error_codes",
+    "merge_custom_tags": "game_theme game_genre game_country",
+    "parse_tag_dates": "release_date_ww date_note_codes",
+    "resolve_unified_id": "source_app_id unified_app_id",
+}.items():
+    simple(_name, _parsed, f"response_id position {_columns}", f"FROM ({_PARSED})")
+simple(
+    "normalize_opaque_id",
+    lambda run: driver_tables.table(run.spark, run.source, "orders").select(
+        F.col("o_orderkey").alias("order_id"),
+        text.normalize_opaque_id(
+            F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit(" 000"), "o_orderkey"))
+            .when(F.col("o_orderkey") % 5 == 1, F.concat(F.lit("-"), "o_orderkey"))
+            .when(F.col("o_orderkey") % 5 == 2, F.concat(F.col("o_orderkey"), F.lit(".5")))
+            .when(F.col("o_orderkey") % 5 == 3, F.concat(F.lit("app-"), "o_orderkey"))
+            .otherwise(F.lit("  "))
+        ).alias("source_app_id"),
+    ),
+    "order_id source_app_id",
+    """FROM (SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 5 = 0 AND o_orderkey > 0 THEN o_orderkey::VARCHAR
+      WHEN o_orderkey % 5 = 3 THEN 'app-' || o_orderkey END AS source_app_id FROM orders)""",
+)
+simple(
+    "select_market_records",
+    _selected,
+    "response_id position rank_position source_app_id game_genre",
+    f"FROM ({_SELECTED}) WHERE rank_position <= 30",
+)
+simple(
+    "selection_counts",
+    lambda run: market_json.selection_counts(
+        _parsed(run), market_json.select_market_records(_parsed(run), ["response_id"], ["PUZZLE"], 10), ["response_id"]
+    ),
+    "response_id candidate_count selected_count status",
+    f"""FROM (SELECT response_id, count(*) AS candidate_count, least(10, count(*) FILTER (lower(trim(game_genre)) = 'puzzle')) AS selected_count,
+      CASE WHEN count(*) FILTER (lower(trim(game_genre)) = 'puzzle') = 0 THEN 'no_eligible_record' ELSE 'selected' END AS status
+      FROM ({_PARSED}) GROUP BY 1)""",
+)
+simple(
+    "build_market_snapshots",
+    lambda run: market_json.build_market_snapshots(
+        _selected(run).withColumn("scope_name", F.concat(F.lit("response-"), "response_id")),
+        cadence="monthly",
+        period_start=datetime.date(2024, 1, 1),
+        period_end=datetime.date(2024, 1, 31),
+        scope_country="WW",
+        device_type="total",
+        category=7003,
+        data_model="DM",
+    ),
+    f"{PC} rank_position source_app_id unified_app_id scope_country device_type category data_model units_absolute revenue_absolute game_theme"
+    " game_genre release_date_ww",
+    f"""FROM (SELECT *, 'response-' || response_id AS scope_name, 'monthly' AS cadence, DATE '2024-01-01' AS period_start, DATE '2024-01-31' AS period_end,
+      'WW' AS scope_country, 'total' AS device_type, 7003 AS category, 'DM' AS data_model FROM ({_SELECTED}) WHERE rank_position <= 30)""",
+)
+simple(
+    "normalize_metadata",
+    lambda run: market_json.normalize_metadata(driver_tables.metadata_items(run.spark, run.source)),
+    "unified_app_id name publisher_display_name publisher_resolution_source android_app_id",
+    """FROM (SELECT CASE WHEN p_partkey > 0 THEN p_partkey::VARCHAR END AS unified_app_id, CASE WHEN p_partkey % 9 <> 0 THEN p_name END AS name,
+      CASE p_partkey % 4 WHEN 1 THEN 'Pub No ' || p_partkey WHEN 2 THEN p_brand WHEN 0 THEN 'it-' || p_partkey END AS publisher_display_name,
+      CASE p_partkey % 4 WHEN 1 THEN 'android_publisher_ids' WHEN 2 THEN 'publisher_name' WHEN 0 THEN 'itunes_publisher_ids' ELSE 'unavailable' END
+        AS publisher_resolution_source, CASE WHEN p_partkey % 2 = 0 THEN p_partkey::VARCHAR END AS android_app_id FROM part)""",
+)
+
+
+def _ids(run: Stages) -> DataFrame:
+    return run.snapshots.select("unified_app_id").distinct()
+
+
+simple(
+    "metadata_integrity",
+    lambda run: market_json.metadata_integrity(
+        run.metadata.unionByName(run.metadata.where(F.col("ios_app_id").isNull() & (F.col("name").isNull()))),
+        _ids(run).where(F.length("unified_app_id") > 1),
+    ),
+    "unified_app_id violation",
+    """FROM (SELECT unified_app_id, 'unrequested' AS violation FROM meta WHERE length(unified_app_id) <= 1
+      UNION ALL SELECT unified_app_id, 'duplicate' FROM meta WHERE ios_app_id IS NULL AND name IS NULL
+      UNION ALL SELECT DISTINCT unified_app_id, 'missing' FROM snap ANTI JOIN meta USING (unified_app_id) WHERE length(unified_app_id) > 1)""",
+)
+simple(
+    "distinct_ids_first_seen",
+    lambda run: market_json.first_seen_ids(
+        driver_tables.table(run.spark, run.source, "lineitem").select(
+            F.col("l_partkey").cast("string").alias("unified_app_id"),
+            (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("position"),
+        )
+    ),
+    "unified_app_id position",
+    "FROM (SELECT l_partkey::VARCHAR AS unified_app_id, min(l_orderkey * 8 + l_linenumber) AS position FROM lineitem GROUP BY 1)",
+)
+simple(
+    "metadata_cache_lookup",
+    lambda run: market_json.metadata_cache_lookup(_ids(run), run.metadata, "2001-12-31 00:00:00", 14),
+    "unified_app_id status",
+    """FROM (SELECT i.unified_app_id, CASE WHEN fetched_at IS NULL THEN 'missing' WHEN fetched_at >= TIMESTAMP '2001-12-17 00:00:00' THEN 'fresh' ELSE 'stale' END AS status
+      FROM (SELECT DISTINCT unified_app_id FROM snap) i LEFT JOIN meta m USING (unified_app_id))""",
+)
+
+
+def _combined(run: Stages) -> tuple[DataFrame, DataFrame]:
+    """Fresh cache rows meet a fetch of the stale ids that repeats the ids fetched exactly two weeks before."""
+    status = market_json.metadata_cache_lookup(_ids(run), run.metadata, "2001-12-31 00:00:00", 14)
+    fresh = run.metadata.join(status.where(F.col("status") == "fresh"), "unified_app_id", "left_semi")
+    fetched = run.metadata.where(F.col("fetched_at") <= F.lit("2001-12-17 00:00:00").cast("timestamp"))
+    return market_json.combine_metadata(fresh, fetched, _ids(run))
+
+
+simple(
+    "combine_metadata",
+    lambda run: _combined(run)[1],
+    "unified_app_id violation",
+    """FROM (SELECT unified_app_id, 'supplied_twice' AS violation FROM meta WHERE fetched_at = TIMESTAMP '2001-12-17 00:00:00'
+      UNION ALL SELECT DISTINCT unified_app_id, 'unresolved' FROM snap ANTI JOIN meta USING (unified_app_id))""",
+)
+simple(
+    "read_range",
+    lambda run: market_json.read_range(run.structure, "1996-01-01", "1997-12-31", scope_name="market", game_theme="Brand#7"),
+    f"{TC} product_count downloads_sum",
+    "FROM structure WHERE period_start BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' AND game_theme = 'Brand#7'",
+)
+simple("latest_period", lambda run: market_json.latest_period(run.snapshots), PC, f"FROM (SELECT {sql.K} FROM months ORDER BY period_start DESC LIMIT 1)")
+simple(
+    "read_by_ids",
+    lambda run: market_json.read_by_ids(run.metadata, run.snapshots.where(F.col("game_theme") == "Unknown")),
+    "unified_app_id name publisher_display_name",
+    "FROM meta WHERE unified_app_id IN (SELECT unified_app_id FROM snap WHERE game_theme = 'Unknown')",
+)
+
+# Table maintenance: written, replaced and read back.
+_REPLACED = ["1995-02-01", "1995-03-01"]
+
+
+def _replaced(run: Stages) -> DataFrame:
+    """All months stored, then two months replaced: February by fewer rows, March by none."""
+    store = PeriodStore(run.spark, scratch_dir(run.spark))
+    periods = [str(row[0]) for row in run.totals.select("period_start").collect()]  # one row per month
+    store.replace_range({"themes": run.themes, "totals": run.totals}, periods)
+    kept = (F.col("period_start") == F.lit(_REPLACED[0]).cast("date")) & (F.col("product_count") >= 20)
+    store.replace_range({"themes": run.themes.where(kept)}, _REPLACED)
+    return store.read("themes")
+
+
+simple(
+    "replace_range",
+    _replaced,
+    f"{TC} product_count units_absolute_sum",
+    "FROM themes WHERE period_start NOT IN (DATE '1995-02-01', DATE '1995-03-01') OR (period_start = DATE '1995-02-01' AND product_count >= 20)",
+)
+
+
+def _replaced_snapshots(run: Stages) -> DataFrame:
+    store = PeriodStore(run.spark, scratch_dir(run.spark))
+    periods = [str(row[0]) for row in run.totals.select("period_start").collect()]  # one row per month
+    store.replace_range({"snapshots": run.snapshots}, periods)
+    march = run.snapshots.where(F.col("period_start") == F.lit("1995-03-01").cast("date"))
+    store.replace_period("snapshots", march.withColumn("units_absolute", F.lit(1.0)), "1995-03-01")
+    return store.read("snapshots").groupBy(*PERIOD).agg(
+        F.count(F.lit(1)).alias("snapshot_count"), F.round(F.sum("units_absolute"), 6).alias("downloads_sum")
+    )
+
+
+simple(
+    "replace_period",
+    _replaced_snapshots,
+    f"{PC} snapshot_count downloads_sum",
+    f"""FROM (SELECT {sql.K}, count(*) AS snapshot_count, round(sum(CASE WHEN period_start = DATE '1995-03-01' THEN 1.0 ELSE units_absolute END), 6) AS downloads_sum
+      FROM snap GROUP BY {sql.K})""",
+)
+simple(
+    "upsert_metadata",
+    lambda run: upsert_metadata(
+        run.metadata,
+        run.metadata.where(F.col("android_app_id").isNotNull()).withColumn("name", F.concat(F.lit("new "), "name")),
+    ),
+    "unified_app_id name publisher_display_name",
+    "FROM (SELECT unified_app_id, CASE WHEN android_app_id IS NOT NULL THEN 'new ' || name ELSE name END AS name, publisher_display_name FROM meta)",
+)
+
+
+def _exported(run: Stages) -> DataFrame:
+    path = scratch_dir(run.spark)
+    columns = f"{TC} trend_rank trend_score is_actionable".split()
+    order = ["period_start", F.col("trend_rank").asc_nulls_last(), "game_theme"]
+    export_sorted(run.scores, path, columns, order)
+    return run.spark.read.parquet(path)
+
+
+simple("export_sorted_parquet", _exported, f"{TC} trend_rank trend_score is_actionable", "FROM scores")
+simple(
+    "verify_readback",
+    lambda run: readback_differences(
+        run.totals.select(*PERIOD, "snapshot_count"),
+        run.totals.select(
+            *PERIOD,
+            F.when(F.month("period_start") == 5, F.col("snapshot_count") + 1).otherwise(F.col("snapshot_count")).alias("snapshot_count"),
+        ),
+    ),
+    f"{PC} snapshot_count violation",
+    """FROM (SELECT *, 'not_stored' AS violation FROM totals WHERE month(period_start) = 5
+      UNION ALL SELECT * REPLACE (snapshot_count + 1 AS snapshot_count), 'not_expected' FROM totals WHERE month(period_start) = 5)""",
+)
+simple(
+    "missing_months",
+    lambda run: calendar.missing_months(
+        run.totals.select("period_start", "period_end"), run.snapshots.where(F.month("period_start") != 2)
+    ),
+    "period_start period_end",
+    "FROM months WHERE month(period_start) = 2",
+)
+
+# Quality.
+_GENRES = ["puzzle", "strategy", "arcade"]
+_PROVENANCE = ["WW", "total", 7003, "DM_2025_Q2"]
+_LABELS = ("game_theme", "game_genre", "game_subgenre", "game_product_model", "game_art_style", "game_setting", "earliest_release_date", "release_date_ww")
+_COVERED = ("downloads", "revenue_usd", *_LABELS, "metadata", "name", "publisher")
+_PARTS = " ".join(f"{m}_{p}" for m in ("downloads", "revenue_usd") for p in ("null_count", "zero_count", "negative_count", "sum"))
+QUALITY_COLUMNS = (
+    f"{PC} status snapshot_count exceeds_configured_cap unique_unified_app_count duplicate_unified_app_count unique_rank_count duplicate_rank_count"
+    f" ranks_are_contiguous provenance_variant_count provenance_mismatch_count structural_issue_count {_PARTS} "
+    + " ".join(f"{c}_coverage_count {c}_coverage_ratio" for c in _COVERED)
+)
+_source_of = {"downloads": "units_absolute", "revenue_usd": "revenue_absolute", "metadata": "m.unified_app_id", "name": "m.name", "publisher": "m.publisher_display_name"}
+sql.BLOCKS["quality"] = f"""
+  SELECT *, {', '.join(f"{c}_coverage_count / snapshot_count::DOUBLE AS {c}_coverage_ratio" for c in _COVERED)},
+    snapshot_count - unique_unified_app_count AS duplicate_unified_app_count, snapshot_count - unique_rank_count AS duplicate_rank_count,
+    snapshot_count > 600 AS exceeds_configured_cap, (snapshot_count > 600)::INT + bad_genre + excluded AS structural_issue_count
+  FROM (SELECT {', '.join('s.' + c for c in sql.K.split(', '))}, 'present' AS status, count(*) AS snapshot_count, count(DISTINCT s.unified_app_id) AS unique_unified_app_count,
+      count(DISTINCT rank_position) AS unique_rank_count, max(rank_position) = count(*) AND min(rank_position) = 1 AS ranks_are_contiguous,
+      count(DISTINCT (scope_country, device_type, category, data_model)) AS provenance_variant_count,
+      count(*) FILTER (data_model <> 'DM_2025_Q2') AS provenance_mismatch_count,
+      bool_or(game_genre IS NULL)::INT AS bad_genre, bool_or(most_popular_country_by_revenue = 'China')::INT AS excluded,
+      {', '.join(f"count(*) - count({c}) AS {m}_null_count, count(*) FILTER ({c} = 0) AS {m}_zero_count, count(*) FILTER ({c} < 0) AS {m}_negative_count, {sql.s(c)} AS {m}_sum"
+                 for m, c in (('downloads', 'units_absolute'), ('revenue_usd', 'revenue_absolute')))},
+      {', '.join(f"count({_source_of.get(c, c)}) AS {c}_coverage_count" for c in _COVERED)}
+    FROM snap s LEFT JOIN meta m USING (unified_app_id) GROUP BY 1, 2, 3, 4)"""
+
+
+def _quality(run: Stages) -> DataFrame:
+    return quality.month_quality(run.snapshots, run.metadata, _GENRES, 600, _PROVENANCE, "China")
+
+
+simple("month_quality", _quality, QUALITY_COLUMNS, "FROM quality")
+simple("structural_issue_count", _quality, f"{PC} structural_issue_count", "FROM quality")
+
+
+def _with_missing(run: Stages) -> DataFrame:
+    wanted = run.totals.select(F.explode(F.array("period_start", F.add_months("period_start", 2))).alias("period_start")).distinct()
+    return quality.with_missing_months(_quality(run), wanted.withColumn("period_end", F.last_day("period_start")), "market")
+
+
+simple(
+    "missing_month_rows",
+    _with_missing,
+    f"{PC} status snapshot_count downloads_coverage_ratio downloads_sum ranks_are_contiguous",
+    """FROM (SELECT scope_name, cadence, period_start, period_end, status, snapshot_count, downloads_coverage_ratio, downloads_sum, ranks_are_contiguous FROM quality
+      UNION ALL SELECT 'market', 'monthly', m::DATE, last_day(m::DATE), 'missing', 0, NULL, NULL, FALSE
+      FROM (SELECT max(period_start) + to_months(unnest([1, 2])) AS m FROM quality))""",
+)
+simple(
+    "range_summary",
+    lambda run: quality.range_summary(_with_missing(run), run.snapshots),
+    "scope_name requested_month_count present_month_count missing_month_count total_snapshot_count minimum_snapshot_count maximum_snapshot_count"
+    " average_snapshots structural_issue_count provenance_variant_count structurally_complete",
+    """FROM (SELECT 'market' AS scope_name, count(*) + 2 AS requested_month_count, count(*) AS present_month_count, 2 AS missing_month_count,
+      sum(snapshot_count) AS total_snapshot_count, min(snapshot_count) AS minimum_snapshot_count, max(snapshot_count) AS maximum_snapshot_count,
+      avg(snapshot_count) AS average_snapshots, sum(structural_issue_count) AS structural_issue_count, 1 AS provenance_variant_count, FALSE AS structurally_complete FROM quality)""",
+)
+simple(
+    "period_constraints",
+    lambda run: quality.period_violations(
+        run.snapshots.unionByName(run.snapshots.where(F.col("game_theme") == "N/A").withColumn("data_model", F.lit("other")))
+    ),
+    f"{PC} rule row_count",
+    f"""FROM (SELECT {sql.K}, unnest(['duplicate_product', 'duplicate_rank']) AS rule, count(*) AS row_count FROM snap WHERE game_theme = 'N/A' GROUP BY 1, 2, 3, 4, 5
+      UNION ALL SELECT {sql.K}, 'mixed_provenance', 1 FROM snap WHERE game_theme = 'N/A' GROUP BY 1, 2, 3, 4)""",
+)
+
+
+def _zero_rules(*rules: str) -> str:
+    return "FROM (VALUES " + ", ".join(f"('{r}', 0)" for r in rules) + ") v(rule, row_count)"
+
+
+simple(
+    "referential_checks",
+    lambda run: quality.referential_checks(
+        run.themes, run.structure, run.growth, run.dimensions, run.leaders.where((F.col("evidence_rank") != 2) | (F.col("evidence_type") != "revenue_leader"))
+    ),
+    "rule row_count",
+    """FROM (SELECT * FROM (VALUES ('theme_without_structure', 0), ('structure_without_theme', 0), ('theme_without_growth', 0), ('growth_without_theme', 0),
+      ('dimension_without_theme', 0), ('leader_without_theme', 0), ('unknown_leader_type', 0)) v(rule, row_count)
+      UNION ALL SELECT 'leader_ranks_not_contiguous', count(*) FROM leaders WHERE evidence_type = 'revenue_leader' AND evidence_rank = 3)""",
+)
+simple(
+    "model_checks",
+    lambda run: quality.model_checks(
+        run.horizons, run.seasonality.where(F.col("calendar_month") != 6), run.summaries, run.scores.where(F.col("game_theme") != "Unknown")
+    ).where(~F.col("rule").isin("season_mean_not_one", "season_without_one_peak_and_trough")),
+    "rule row_count",
+    f"""FROM (SELECT * FROM (VALUES ('horizon_without_summary', 0), ('season_without_summary', 0), ('score_without_history', 0)) v(rule, row_count)
+      UNION ALL SELECT 'history_without_score', count(*) FROM summaries WHERE has_6m_history AND game_theme = 'Unknown'
+      UNION ALL SELECT 'season_not_twelve_months', count(*) FROM (SELECT DISTINCT {sql.KT}, metric_name FROM season))""",
+)
+simple(
+    "backtest_checks",
+    lambda run: quality.backtest_checks(
+        run.outcomes, run.table("feature_metrics"), run.totals, run.structure.where(F.col("game_theme") != "N/A")
+    ),
+    "rule row_count",
+    """FROM (SELECT * FROM (VALUES ('feature_registry_incomplete', 0), ('outcome_month_not_stored', 0), ('outcome_month_not_at_horizon', 0)) v(rule, row_count)
+      UNION ALL SELECT 'outcome_without_decision_theme', count(DISTINCT decision_period_start) FROM outcomes WHERE game_theme = 'N/A')""",
+)
+simple(
+    "decision_checks",
+    lambda run: quality.decision_checks(
+        decision.decision_summaries(run.assessed),
+        decision.launch_window_assessments(run.assessed.where(F.col("game_theme") != "N/A")),
+        decision.risk_rows(run.assessed),
+        run.fits,
+        decision.migration_hypotheses(run.fits),
+    ),
+    "rule row_count",
+    """FROM (SELECT * FROM (VALUES ('duplicate_decision', 0), ('not_three_windows', 0), ('window_marked_as_forecast', 0), ('risk_without_decision', 0),
+      ('migration_source_not_validated', 0), ('migration_target_not_observed', 0)) v(rule, row_count)
+      UNION ALL SELECT 'decision_without_windows', count(*) FROM themes WHERE game_theme = 'N/A')""",
+)
+simple(
+    "value_checks",
+    lambda run: quality.value_checks(
+        quality.standard_value_rules({"structure": run.structure.withColumn("product_share", F.col("product_share") * 20)})
+    ).where(F.col("row_count") > 0),
+    "table_name rule row_count",
+    "FROM (SELECT 'structure' AS table_name, 'product_share_between_0_and_1' AS rule, count(*) AS row_count FROM structure WHERE product_share * 20 > 1.000000001)",
+)
+simple(
+    "run_summary",
+    lambda run: quality.run_summary(run.totals, {"themes": run.themes, "structure": run.structure, "leaders": run.leaders}, run.dimensions),
+    "name row_count",
+    """FROM (SELECT 'source_snapshots' AS name, sum(snapshot_count) AS row_count FROM totals UNION ALL SELECT 'source_missing_theme', sum(theme_missing_count) FROM totals
+      UNION ALL SELECT 'source_units_coverage', sum(units_absolute_coverage_count) FROM totals UNION ALL SELECT 'source_revenue_coverage', sum(revenue_absolute_coverage_count) FROM totals
+      UNION ALL SELECT 'themes', count(*) FROM themes UNION ALL SELECT 'structure', count(*) FROM structure UNION ALL SELECT 'leaders', count(*) FROM leaders
+      UNION ALL SELECT 'dimension_' || dimension_type, count(*) FROM dims GROUP BY 1)""",
+)
+
+# Reconciliation of the score table with an external record table.
+_STAMP = "2002-01-01 00:00:00"
+sql.BLOCKS["desired"] = f"""
+  SELECT *, 'ctta:v1:' || strftime(period_start, '%Y-%m') || ':' || sha256(concat_ws(chr(31), scope_name, cadence, strftime(period_start, '%Y-%m-%d'),
+      strftime(period_end, '%Y-%m-%d'), game_theme)) AS managed_key, period_start = (SELECT max(period_start) FROM scores) AS is_latest_month,
+    epoch_ms(period_start::TIMESTAMP) AS period_millis, epoch_ms(TIMESTAMP '{_STAMP}') AS calculated_millis,
+    row_number() OVER (ORDER BY period_start, game_theme) AS place FROM scores"""
+
+
+def _desired(run: Stages) -> DataFrame:
+    return reconcile.desired_records(run.scores.withColumn("calculated_at", F.lit(_STAMP).cast("timestamp")))
+
+
+def _existing(run: Stages, duplicates: bool) -> DataFrame:
+    """External records: January is not there yet, June scores moved, Unknown is stale or listed twice."""
+    desired = _desired(run)
+    fields = [c for c in desired.columns if c.startswith("field_")]
+    month, theme = F.month("period_start"), F.col("game_theme")
+    known = desired.where(month != 1).select(
+        F.concat(F.lit("rec-"), "managed_key").alias("record_id"),
+        F.when(theme == "N/A", F.lit(" ")).otherwise(F.col("managed_key")).alias("primary_value"),
+        *[
+            F.when(month == 6, F.col(c) + 0.5).otherwise(F.col(c) + 1e-12).alias(c) if c == "field_confidence_score" else F.col(c)
+            for c in fields
+        ],
+    )
+    if not duplicates:
+        return known
+    again = desired.where((month != 1) & (theme == "Unknown")).select(
+        F.concat(F.lit("zzz-"), "managed_key").alias("record_id"), F.col("managed_key").alias("primary_value"), *fields
+    )
+    return known.unionByName(again)
+
+
+simple(
+    "managed_key",
+    _desired,
+    f"{TC} managed_key",
+    "FROM desired",
+)
+simple(
+    "desired_records",
+    lambda run: _desired(run).select(
+        "managed_key",
+        F.col("field_is_latest_month").alias("is_latest_month"),
+        F.col("field_period_start").alias("period_millis"),
+        F.col("field_calculated_at").alias("calculated_millis"),
+        F.col("field_trend_score").alias("trend_score"),
+        F.col("field_exclusion_reason").alias("exclusion_reason"),
+        F.col("field_trend_rank").alias("rank_value"),
+        F.col("field_median_rank_improvement").alias("median_rank_improvement"),
+    ),
+    "managed_key is_latest_month period_millis calculated_millis trend_score exclusion_reason rank_value median_rank_improvement",
+    "FROM (SELECT *, trend_rank AS rank_value FROM desired)",
+)
+_MOVED = "CASE WHEN month(period_start) = 6 THEN 'confidence_score' END"
+simple(
+    "reconcile",
+    lambda run: reconcile.reconcile(_desired(run).where(F.col("game_theme") != "Unknown"), _existing(run, False)),
+    "managed_key record_count action changed",
+    f"""FROM (SELECT managed_key, CASE WHEN month(period_start) = 1 OR game_theme = 'N/A' THEN 0 ELSE 1 END AS record_count,
+        CASE WHEN month(period_start) = 1 OR game_theme = 'N/A' THEN 'create' WHEN game_theme = 'Unknown' THEN 'stale' WHEN month(period_start) = 6 THEN 'update' ELSE 'unchanged' END AS action,
+        CASE WHEN game_theme NOT IN ('N/A', 'Unknown') THEN {_MOVED} END AS changed
+      FROM desired WHERE NOT (game_theme = 'Unknown' AND month(period_start) = 1))""",
+)
+simple(
+    "reconcile_with_duplicates",
+    lambda run: reconcile.reconciliation_summary(
+        reconcile.reconcile(_desired(run), _existing(run, True)), _existing(run, True)
+    ),
+    "action row_count",
+    """FROM (SELECT CASE WHEN game_theme = 'Unknown' AND month(period_start) <> 1 THEN 'duplicate' ELSE 'blocked' END AS action, count(*) AS row_count FROM desired GROUP BY 1
+      UNION ALL SELECT 'managed', count(*) + count(*) FILTER (game_theme = 'Unknown') FROM desired WHERE month(period_start) <> 1 AND game_theme <> 'N/A'
+      UNION ALL SELECT 'unmanaged_blank', count(*) FROM desired WHERE month(period_start) <> 1 AND game_theme = 'N/A')""",
+)
+simple(
+    "changed_fields",
+    lambda run: reconcile.reconcile(_desired(run), _existing(run, False)).where(F.col("action") == "update"),
+    "managed_key changed",
+    "FROM (SELECT managed_key, 'confidence_score' AS changed FROM desired WHERE month(period_start) = 6 AND game_theme <> 'N/A')",
+)
+simple(
+    "normalize_cells",
+    lambda run: driver_tables.table(run.spark, run.source, "part").select(
+        F.col("p_partkey").alias("part_id"),
+        reconcile.normalize_text_cell(
+            F.transform(F.split("p_name", " "), lambda word: F.named_struct(F.lit("text"), word))
+        ).alias("name"),
+        reconcile.normalize_number_cell(
+            F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" "), F.col("p_retailprice")))
+            .when(F.col("p_partkey") % 3 == 1, F.lit("1_000"))
+            .otherwise(F.lit("NaN"))
+        ).alias("amount"),
+    ),
+    "part_id name amount",
+    "FROM (SELECT p_partkey AS part_id, replace(p_name, ' ', '') AS name, CASE WHEN p_partkey % 3 = 0 THEN p_retailprice END AS amount FROM part)",
+)
+simple(
+    "write_batches",
+    lambda run: reconcile.write_batches(_desired(run), PERIOD, ["game_theme"], 100),
+    f"{TC} managed_key batch_number",
+    "FROM (SELECT *, (place - 1) // 100 + 1 AS batch_number FROM desired)",
+)

@@ -118,3 +118,68 @@ def app_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
             ),
         )
     )
+
+
+def market_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON responses of one hundred parts each, with both tag layouts and some invalid items."""
+    key = F.col("p_partkey")
+    text = key.cast("string")
+    app_id = (
+        F.when(key % 40 == 3, F.concat(F.lit("-"), text))
+        .when(key % 4 == 0, F.concat(F.lit("00"), text))
+        .when(key % 4 == 1, F.concat(F.lit(" "), text, F.lit(" ")))
+        .when(key % 4 == 2, F.concat(F.lit("com.app."), text))
+        .otherwise(text)
+    )
+    genre = F.when(key % 5 == 0, " Puzzle ").when(key % 5 == 1, "STRATEGY").when(key % 5 == 2, "Arcade").otherwise("puzzle")
+    released = F.when(key % 3 == 0, "2020/1/5").when(key % 3 == 1, "2020-02-29").otherwise("soon")
+    country = F.when(key % 7 == 0, "China").otherwise("US")
+
+    def tags(theme) -> F.Column:
+        return F.create_map(
+            F.lit("Game Theme"), theme,
+            F.lit("Game Genre"), genre,
+            F.lit("Release Date (WW)"), released,
+            F.lit("Most Popular Country by Revenue"), country,
+        )
+
+    none = F.lit(None).cast("map<string,string>")
+    flat = key % 2 == 1
+    bare = key % 100 == 98
+    nested = F.array(F.struct(tags(F.lit("Entity")).alias("custom_tags")))
+    item = F.struct(
+        app_id.alias("app_id"),
+        F.when(key % 6 == 0, F.concat(F.lit("u-"), text)).alias("unified_app_id"),
+        F.when(key % 50 == 7, "2024-01-31T00:00:00").otherwise("2024-01-31T00:00:00Z").alias("date"),
+        F.col("p_size").cast("double").alias("units_absolute"),
+        F.when(key % 13 != 0, F.col("p_retailprice")).alias("revenue_absolute"),
+        F.when(flat, tags(F.col("p_brand"))).otherwise(none).alias("custom_tags"),
+        F.when(~flat & ~bare, nested).alias("entities"),
+        F.when(~flat & ~bare, F.create_map(F.lit("Game Theme"), F.col("p_brand"))).otherwise(none).alias("aggregate_tags"),
+    )
+    return (
+        table(spark, sf_dir, "part")
+        .select(F.floor(key / 100).alias("response_id"), F.struct(key.alias("k"), F.to_json(item).alias("text")).alias("e"))
+        .groupBy("response_id")
+        .agg(F.sort_array(F.collect_list("e")).alias("e"))
+        .select("response_id", F.concat(F.lit("["), F.array_join("e.text", ","), F.lit("]")).alias("payload"))
+    )
+
+
+def metadata_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed metadata objects of every part, with each publisher fallback in use."""
+    from themelens.sources.market_json import METADATA_ITEM
+
+    key = F.col("p_partkey")
+    text = key.cast("string")
+    item = F.struct(
+        F.concat(F.lit("0"), text).alias("unified_app_id"),
+        F.when(key % 9 == 0, "  ").otherwise(F.concat(F.lit(" "), F.col("p_name"))).alias("name"),
+        F.struct(F.when(key % 4 == 2, F.col("p_brand")).alias("name")).alias("publisher"),
+        F.when(key % 4 == 1, F.array(F.concat(F.lit("Pub+No+"), text))).alias("android_publisher_ids"),
+        F.when(key % 4 <= 2, F.array(F.concat(F.lit("it-"), text))).alias("itunes_publisher_ids"),
+        F.when(key % 2 == 0, F.array(F.struct(text.alias("app_id")))).alias("android_apps"),
+        F.array(F.struct(F.lit(" ").alias("app_id"))).alias("itunes_apps"),
+    )
+    parsed = F.from_json(F.to_json(item), METADATA_ITEM)
+    return table(spark, sf_dir, "part").select(parsed.alias("_i")).select("_i.*")
