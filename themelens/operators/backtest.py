@@ -357,23 +357,24 @@ def oriented_spearman(ranked: DataFrame) -> DataFrame:
 def spearman_distribution(spearman: DataFrame) -> DataFrame:
     """Mean, quartiles and positive share of the monthly correlations with its Wilson interval."""
     count, positive = F.count(F.lit(1)), count_where(F.round("spearman", TIE_DIGITS) > 0)
+    # One correlation per decision month, so the built-in exact quantiles are bounded by the month count.
+    quartiles = F.percentile("spearman", F.array(*[F.lit(q) for q in QUARTILES.values()]))
     low, high = wilson_bounds(F.col("positive_spearman_cohort_count"), F.col("correlation_cohort_count"))
-    middle = quantiles(spearman, PAIR, {"_s": F.col("spearman")}, QUARTILES)
     return (
         spearman.groupBy(*PAIR)
         .agg(
             count.alias("correlation_cohort_count"),
             F.avg("spearman").alias("mean_spearman"),
             positive.alias("positive_spearman_cohort_count"),
+            quartiles.alias("_q"),
         )
-        .join(middle, PAIR)
         .select(
             *PAIR,
             "correlation_cohort_count",
             "mean_spearman",
-            F.col("_s_p50").alias("median_spearman"),
-            F.col("_s_p25").alias("p25_spearman"),
-            F.col("_s_p75").alias("p75_spearman"),
+            F.get("_q", F.lit(1)).alias("median_spearman"),
+            F.get("_q", F.lit(0)).alias("p25_spearman"),
+            F.get("_q", F.lit(2)).alias("p75_spearman"),
             "positive_spearman_cohort_count",
             share(F.col("positive_spearman_cohort_count"), F.col("correlation_cohort_count")).alias(
                 "positive_spearman_cohort_ratio"

@@ -180,8 +180,8 @@ def _leader_age_medians() -> list[Column]:
     ]
 
 
-def market_structure(facts: DataFrame, totals: DataFrame) -> DataFrame:
-    """The full structure row of each theme month."""
+def market_structure(facts: DataFrame, totals: DataFrame, best: DataFrame | None = None) -> DataFrame:
+    """The full structure row of each theme month; ``best`` may hold the stored :func:`leaders`."""
     rows = themed(facts)
     basics = rows.groupBy(*THEME).agg(
         F.count(F.lit(1)).alias("product_count"),
@@ -211,7 +211,8 @@ def market_structure(facts: DataFrame, totals: DataFrame) -> DataFrame:
             "median_product_age_days": age_days(),
         },
     )
-    top_ten = leaders(facts).groupBy(*THEME).agg(*_top_sums(MEASURE_OF, (1, 3, 10)), *_leader_age_medians())
+    best = leaders(facts) if best is None else best
+    top_ten = best.groupBy(*THEME).agg(*_top_sums(MEASURE_OF, (1, 3, 10)), *_leader_age_medians())
     month = totals.select(
         *PERIOD,
         "snapshot_count",
@@ -586,9 +587,9 @@ def growth_decomposition(facts: DataFrame) -> DataFrame:
     return wide.select(*THEME, *[c for c in DECOMPOSITION_COLUMNS if c in wide.columns or c in computed])
 
 
-def top_ten_retention(facts: DataFrame) -> DataFrame:
+def top_ten_retention(facts: DataFrame, best: DataFrame | None = None) -> DataFrame:
     """Overlap of this month's and last month's top ten products per measure."""
-    best = leaders(facts)
+    best = leaders(facts) if best is None else best
     one = Window.partitionBy("scope_name", "cadence", "game_theme", "measure", "unified_app_id").orderBy(
         "period_start"
     )
@@ -628,7 +629,7 @@ def top_ten_retention(facts: DataFrame) -> DataFrame:
     )
 
 
-def growth_sources(facts: DataFrame) -> DataFrame:
+def growth_sources(facts: DataFrame, best: DataFrame | None = None) -> DataFrame:
     """Membership, turnover, retention and decomposition in one row per theme month."""
     aggregate = _growth_aggregate(facts)
     gains = _top_gains(facts)
@@ -645,7 +646,7 @@ def growth_sources(facts: DataFrame) -> DataFrame:
     return (
         aggregate.join(gains, THEME, "left")
         .withColumns(shares)
-        .join(top_ten_retention(facts), THEME)
+        .join(top_ten_retention(facts, best), THEME)
         .select(*THEME, *MEMBERSHIP_COLUMNS, *TURNOVER_COLUMNS, *RETENTION_COLUMNS, *DECOMPOSITION_COLUMNS)
     )
 

@@ -55,11 +55,14 @@ class Stages:
     def _themes(self) -> DataFrame:
         return monthly.theme_monthly_metrics(self.facts, self.totals)
 
+    def _top_ten(self) -> DataFrame:
+        return opportunity.leaders(self.facts)
+
     def _structure(self) -> DataFrame:
-        return opportunity.market_structure(self.facts, self.totals)
+        return opportunity.market_structure(self.facts, self.totals, self.top_ten)
 
     def _growth(self) -> DataFrame:
-        return opportunity.growth_sources(self.facts)
+        return opportunity.growth_sources(self.facts, self.top_ten)
 
     def _dimensions(self) -> DataFrame:
         return opportunity.dimension_metrics(self.facts, self.totals, self.themes)
