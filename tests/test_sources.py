@@ -100,7 +100,8 @@ def test_upsert_export_and_missing_months(spark):
     path = scratch_dir(spark)
     export_sorted(old, path, ["unified_app_id", "name"], [F.col("unified_app_id").desc()], single_file=True)
     assert [r.unified_app_id for r in spark.read.parquet(path).collect()] == ["b", "a"]
-    wanted = calendar.completed_months(spark, "2024-01-15", "2024-06-01", "2024-04-30")
+    ranges = spark.createDataFrame([(datetime.date(2024, 1, 15), datetime.date(2024, 6, 1))], "start date, end date")
+    wanted = calendar.completed_months(ranges, "2024-04-30")
     assert [str(r.period_start) for r in wanted.orderBy("period_start").collect()] == ["2024-01-01", "2024-02-01", "2024-03-01"]
     stored = spark.createDataFrame([(datetime.date(2024, 2, 1),)], "period_start date")
     assert calendar.missing_months(wanted, stored).count() == 2 and calendar.missing_months(wanted, stored, refresh=True).count() == 3

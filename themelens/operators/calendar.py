@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from themelens.constants import PERIOD
@@ -34,21 +34,14 @@ def months_between(start: Column, end: Column) -> Column:
     return (F.year(end) - F.year(start)) * 12 + F.month(end) - F.month(start)
 
 
-def completed_months(spark: SparkSession, start: str, end: str, as_of: str) -> DataFrame:
-    """Inclusive month list; months not finished at ``as_of`` are left out."""
+def completed_months(ranges: DataFrame, as_of: str) -> DataFrame:
+    """Inclusive month list of each ``start`` .. ``end`` row; months not finished at ``as_of`` are left out."""
+    months = F.sequence(F.trunc("start", "month"), F.trunc("end", "month"), F.expr("interval 1 month"))
     return (
-        spark.range(1)
-        .select(
-            F.explode(
-                F.sequence(
-                    F.trunc(F.lit(start).cast("date"), "month"),
-                    F.trunc(F.lit(end).cast("date"), "month"),
-                    F.expr("interval 1 month"),
-                )
-            ).alias("period_start")
-        )
+        ranges.withColumn("period_start", F.explode(months))
         .where(F.col("period_start") < F.trunc(F.lit(as_of).cast("date"), "month"))
         .withColumn("period_end", F.last_day("period_start"))
+        .drop("start", "end")
     )
 
 

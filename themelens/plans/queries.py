@@ -118,11 +118,12 @@ simple(
 )
 simple(
     "completed_months",
-    lambda run: run.totals.groupBy("scope_name")
-    .agg(F.min("period_start").alias("a"), F.max("period_start").alias("b"))
-    .select("scope_name", F.explode(F.sequence("a", F.add_months("b", 6), F.expr("interval 1 month"))).alias("m"))
-    .where(F.col("m") < F.trunc(F.lit("2001-11-15").cast("date"), "month"))
-    .select("scope_name", F.col("m").alias("period_start"), F.last_day("m").alias("period_end")),
+    lambda run: calendar.completed_months(
+        run.totals.groupBy("scope_name").agg(
+            F.min("period_start").alias("start"), F.add_months(F.max("period_start"), 6).alias("end")
+        ),
+        "2001-11-15",
+    ),
     "scope_name period_start period_end",
     """FROM (SELECT scope_name, m::DATE AS period_start, last_day(m::DATE) AS period_end FROM
       (SELECT scope_name, unnest(generate_series(min(period_start)::TIMESTAMP, (max(period_start) + INTERVAL 6 MONTH)::TIMESTAMP, INTERVAL 1 MONTH)) AS m

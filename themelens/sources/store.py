@@ -56,6 +56,8 @@ class PeriodStore:
         for name, rows in tables.items():
             path = f"{self.root}/data/{name}/{version}"
             keyed = rows.withColumn("period_key", F.date_format("period_start", "yyyy-MM-dd"))
+            # Rebalancing sizes the files: small periods share a task, a hot period is split over many.
+            keyed = keyed.hint("rebalance", "period_key")
             keyed.write.partitionBy("period_key").option("compression", "zstd").parquet(path)
             # The written folders, not a second pass over the data, tell which periods have rows.
             written = self._written_periods(path)
