@@ -7,7 +7,7 @@ arithmetic on part number and month; the reference SQL repeats the same arithmet
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themelens.operators.ordering import position_by_value_desc
@@ -135,7 +135,7 @@ def market_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     released = F.when(key % 3 == 0, "2020/1/5").when(key % 3 == 1, "2020-02-29").otherwise("soon")
     country = F.when(key % 7 == 0, "China").otherwise("US")
 
-    def tags(theme) -> F.Column:
+    def tags(theme: Column) -> Column:
         return F.create_map(
             F.lit("Game Theme"), theme,
             F.lit("Game Genre"), genre,
