@@ -21,15 +21,16 @@ LEAST_WORDS = 50
 MOST_REPEATED = 50
 
 #: Rules: a share of the document, the value up to which the rule votes for quality, and the value from which it votes
-#: against. Between the two, and where the share has no denominator, the rule abstains.
-RULES: dict[str, tuple[Column | str, float, float]] = {
+#: against. Between the two, and where the share has no denominator, the rule abstains. Rules that only know a defect
+#: have no value for quality: not seeing the defect is no vote.
+RULES: dict[str, tuple[str, float | None, float]] = {
     "symbols": ("n_symbols / nullif(n_words, 0)", 0.05, 0.2),
-    "repeats": ("n_repeat_words / nullif(n_words, 0)", 0.1, 0.3),
-    "same_lines": ("n_dup_lines / nullif(n_lines, 0)", 0.1, 0.3),
-    "capitals": ("n_capitals / nullif(n_letters, 0)", 0.25, 0.6),
-    "not_letters": ("1 - n_letters / nullif(word_chars, 0)", 0.15, 0.35),
-    "shouts": ("n_shouts / nullif(n_words, 0)", 0.05, 0.3),
-    "word_length": ("abs(word_chars / nullif(n_words, 0) - 5.5)", 3.0, 6.0),
+    "not_letters": ("1 - n_letters / nullif(word_chars, 0)", 0.08, 0.14),
+    "repeats": ("n_repeat_words / nullif(n_words, 0)", None, 0.3),
+    "same_lines": ("n_dup_lines / nullif(n_lines, 0)", None, 0.3),
+    "capitals": ("n_capitals / nullif(n_letters, 0)", None, 0.6),
+    "shouts": ("n_shouts / nullif(n_words, 0)", None, 0.3),
+    "word_length": ("abs(word_chars / nullif(n_words, 0) - 5.5)", None, 6.0),
 }
 
 #: EM steps, and the pseudo-votes that keep a rule's accuracies off 0 and 1: (right, wrong) for either class.
@@ -93,9 +94,9 @@ def base_failed() -> Column:
 def votes() -> dict[str, Column]:
     """1 for quality, 0 against, null for an abstention."""
 
-    def vote(share: str, good: float, bad: float) -> Column:
+    def vote(share: str, good: float | None, bad: float) -> Column:
         value = F.expr(share)
-        return F.when(value <= good, 1).when(value >= bad, 0)
+        return F.when(value <= F.lit(good).cast("double"), 1).when(value >= bad, 0)
 
     return {name: vote(*rule) for name, rule in RULES.items()}
 
