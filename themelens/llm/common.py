@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,8 +50,42 @@ def body(text: str = "text") -> Column:
 
 
 def row_key(*columns: str) -> Column:
-    """A 64-bit name of a row's content. Rows that share it are equal, or get the union of what is found for either."""
-    return F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns))
+    """A 96-bit name of a row's content, as text. Rows with equal content share it."""
+    values = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns]
+    return F.concat(F.hex(F.xxhash64(*values)), F.lit("-"), F.hex(F.hash(*values)))
+
+
+def select_rows(docs: DataFrame, key: Column, chosen: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``key`` is in ``chosen`` (key, copies), all columns. Of rows that share a key, which are
+    equal in what decides, one stays."""
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key")).join(chosen, "key")
+    single = rows.where(F.col("copies") == 1).select("row")
+    repeated = rows.where(F.col("copies") > 1).dropDuplicates(["key"]).select("row")
+    return single.unionByName(repeated).select("row.*")
+
+
+class Bitmap:
+    """A set of 64-bit numbers as ``2**bits`` bits, whatever their number: no member is missed, others may pass.
+
+    It is put together in Spark and broadcast; its size is fixed by ``bits`` (26: 8 MB). Whatever passes is decided
+    exactly afterwards, so a full bitmap costs time, never rows.
+    """
+
+    def __init__(self, members: DataFrame, column: str, bits: int = 26):
+        place = F.shiftrightunsigned(F.col(column), 64 - bits)
+        packed = (
+            members.groupBy(F.shiftright(place, 6).cast("int").alias("word"))
+            .agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int)))").alias("mask"))
+            .toArrow()
+        )
+        words_ = np.zeros(1 << (bits - 6), np.uint64)
+        words_[packed["word"].to_numpy()] = packed["mask"].to_numpy().view(np.uint64)
+        self.bits = bits
+        self.shared = members.sparkSession.sparkContext.broadcast(words_)
+
+    def holds(self, numbers: np.ndarray) -> np.ndarray:
+        place = numbers.view(np.uint64) >> np.uint64(64 - self.bits)
+        return (self.shared.value[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
 def words(text: Column) -> Column:

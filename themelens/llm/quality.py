@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from themelens.llm.common import body, n_words, stored, words
+from themelens.llm.common import body, stored, words
 
 #: Fixed values of the contract.
 SYMBOLS = r"[#*$%&|<>]"
@@ -44,16 +44,10 @@ def bound_to(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def repeat_words(tokens: Column) -> Column:
+def repeat_words(w: Column) -> Column:
     """Words inside 3-word windows that occur at least twice: windows are sorted with their starts, equal neighbours
     are kept, and each start adds the words that the start before it has not covered."""
 
-    def windows(w: Column) -> Column:
-        starts = F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))
-        return F.transform(
-            starts, lambda a, i: F.struct(F.concat_ws(" ", a, F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("i"))
-        )
-
     def repeated(ordered: Column) -> Column:
         found = F.filter(
             ordered, lambda a, j: (F.get(ordered, j - 1)["g"] == a["g"]) | (F.get(ordered, j + 1)["g"] == a["g"])
@@ -64,26 +58,53 @@ def repeat_words(tokens: Column) -> Column:
         new = F.transform(starts, lambda s, j: F.least(F.lit(3), s - F.coalesce(F.get(starts, j - 1), s - 3)))
         return F.aggregate(new, F.lit(0).cast("long"), lambda total, n: total + n)
 
-    return bound_to(bound_to(F.sort_array(bound_to(tokens, windows)), repeated), covered)
+    windows = F.transform(
+        window_starts(w),
+        lambda a, i: F.struct(F.concat_ws(" ", a, F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("i")),
+    )
+    return bound_to(bound_to(F.sort_array(windows), repeated), covered)
+
+
+def window_starts(w: Column) -> Column:
+    return F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts of every document; all zero for a null or blank text."""
-    text = body()
+    """doc_id and the counts of every document; all zero for a null or blank text.
+
+    Window hashes tell most texts apart from those with a repeated window, and only the latter compare the windows.
+    """
+    text = F.col("body")
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("long")
-    return docs.select(
-        "doc_id",
-        n_words(text).alias("n_words"),
-        count(r"[^\x20\x09-\x0D]").alias("word_chars"),
-        count(SYMBOLS).alias("n_symbols"),
-        bound_to(lines, lambda own: F.struct(F.size(own).alias("n"), F.size(F.array_distinct(own)).alias("m"))).alias("l"),
-        repeat_words(words(text)).alias("n_repeat_words"),
-        count(r"\p{L}").alias("n_letters"),
-        count(r"\p{Lu}").alias("n_capitals"),
-        count(r"!").alias("n_shouts"),
-    ).select(
-        "*", F.col("l.n").cast("long").alias("n_lines"), (F.col("l.n") - F.col("l.m")).cast("long").alias("n_dup_lines")
+    w, hashes = F.col("w"), F.col("hashes")
+    same = F.exists(F.transform(hashes, lambda h, j: h == F.get(hashes, j - 1)), lambda x: F.coalesce(x, F.lit(False)))
+    return (
+        docs.select("doc_id", body().alias("body"))
+        .select("doc_id", "body", words(text).alias("w"))
+        .select(
+            "*",
+            F.sort_array(
+                F.transform(window_starts(w), lambda a, i: F.xxhash64(a, F.get(w, i + 1), F.get(w, i + 2)))
+            ).alias("hashes"),
+        )
+        .select(
+            "doc_id",
+            F.size(w).cast("long").alias("n_words"),
+            (F.length(text) - count(r"[\x20\x09-\x0D]")).alias("word_chars"),
+            count(SYMBOLS).alias("n_symbols"),
+            bound_to(lines, lambda own: F.struct(F.size(own).alias("n"), F.size(F.array_distinct(own)).alias("m"))).alias("l"),
+            F.when(same, repeat_words(w)).otherwise(0).alias("n_repeat_words"),
+            count(r"[^\p{L}\x20\x09-\x0D]").alias("n_others"),
+            count(r"\p{Lu}").alias("n_capitals"),
+            count(r"!").alias("n_shouts"),
+        )
+        .select(
+            "*",
+            (F.col("word_chars") - F.col("n_others")).alias("n_letters"),
+            F.col("l.n").cast("long").alias("n_lines"),
+            (F.col("l.n") - F.col("l.m")).cast("long").alias("n_dup_lines"),
+        )
     )
 
 
