@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from themelens.llm import exact, language, mixing, personal, quality, simhash
+from themelens.llm import exact, language, mixing, packing, personal, quality, simhash, tokenfile
 from themelens.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_token_file": lambda spark, sf_dir: tokenfile.write_and_read(documents(spark, sf_dir)),
     "op2_quality_rules": lambda spark, sf_dir: quality.judge(documents(spark, sf_dir)),
     "op3_mix_sources": lambda spark, sf_dir: mixing.mix(documents(spark, sf_dir)),
     "op4_simhash": lambda spark, sf_dir: simhash.label(documents(spark, sf_dir)),
     "op5_language": lambda spark, sf_dir: language.identify(documents(spark, sf_dir)),
+    "op6_pack": lambda spark, sf_dir: packing.pack(documents(spark, sf_dir)),
     "op7_exact_duplicates": lambda spark, sf_dir: exact.duplicates(documents(spark, sf_dir)),
     "op9_personal_data": lambda spark, sf_dir: personal.report(documents(spark, sf_dir)),
 }
