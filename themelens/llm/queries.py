@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from themelens.llm import exact, language, mixing, packing, personal, quality, simhash, tokenfile
+from themelens.llm import automata, exact, language, mixing, packing, personal, quality, simhash, suffixes, tokenfile
 from themelens.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,11 +20,16 @@ QUERIES: dict[str, Query] = {
     "op5_language": lambda spark, sf_dir: language.identify(documents(spark, sf_dir)),
     "op6_pack": lambda spark, sf_dir: packing.pack(documents(spark, sf_dir)),
     "op7_exact_duplicates": lambda spark, sf_dir: exact.duplicates(documents(spark, sf_dir)),
+    "op8_suffix_array": lambda spark, sf_dir: suffixes.report(documents(spark, sf_dir)),
     "op9_personal_data": lambda spark, sf_dir: personal.report(documents(spark, sf_dir)),
+    "op10_repeated_spans": lambda spark, sf_dir: automata.report(documents(spark, sf_dir)),
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_mix_sources": mixing.ORACLE.format(documents="documents")}
 
 
 def registered() -> tuple[dict[str, Query], dict[str, str]]:
-    return QUERIES, ORACLE_SQL
+    """Queries and SQL, the pipeline's among them."""
+    pipeline = importlib.import_module("corpus_pipeline")
+    sql = {} if pipeline.ORACLE_SQL is None else {"pipeline": pipeline.ORACLE_SQL}
+    return QUERIES | {"pipeline": pipeline.run}, ORACLE_SQL | sql
