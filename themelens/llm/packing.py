@@ -2,9 +2,9 @@
 
 Packing needs only how many pieces have each of the at most 2048 lengths, so the program is as small for 100 TB as for a
 megabyte. Its columns are configurations: lengths with copies that fit in one sequence. Multiplicative weights give the
-lengths prices; a knapsack dynamic program finds, for every length, the dearest configuration that holds it; these share
-what is left of their lengths, and prices of lengths that fall behind rise. The amounts are rounded down, the rest is
-solved again, and what no whole configuration takes is placed by best fit. The pieces then look up their place by rank.
+lengths prices; a knapsack dynamic program finds, for every length, the dearest configuration that holds it. The amounts
+are rounded down, and pieces that no whole configuration takes are placed by best fit. The pieces then look up their
+place by rank.
 """
 
 from __future__ import annotations
@@ -27,14 +27,10 @@ from themelens.llm.tokens import TOKENIZER, encoder, end_of
 CAPACITY = 2048
 END = 0
 
-#: Price rounds of one solution, share of a length handed out in a round, price step, solutions of the rest.
-ROUNDS = 24
-SHARE = 0.25
-STEP = 0.5
-SOLUTIONS = 4
-
-#: Room that a configuration may waste; pieces of worse ones are left to the next solution and to best fit.
-ROOM = 4
+#: Price rounds, price step, and share of the best configuration's price that a configuration may fall short by.
+ROUNDS = 120
+STEP = 0.2
+SHORT = 0.05
 
 Configuration = tuple[tuple[int, int], ...]
 
@@ -68,27 +64,32 @@ def configuration(first: int, lengths: np.ndarray, taken: np.ndarray, room: int)
 
 
 def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[Configuration, float]:
-    """Amounts of configurations that together hold at most ``counts`` pieces of each length."""
-    left = counts.astype(float)
-    prices = lengths / capacity
+    """Amounts of configurations that cover every length's count, by multiplicative weights.
+
+    A length's price falls exponentially with how often it has been covered. Each round raises, in proportion to the
+    counts, the dearest configurations by length that come near the dearest of all, until the length that gains most is
+    covered once more. At the end amounts are divided by the coverage of the length covered least.
+    """
+    covered = np.zeros(len(lengths))
     amounts: Counter[Configuration] = Counter()
     for _ in range(ROUNDS):
-        alive = np.flatnonzero(left > 1e-6)
-        if not len(alive):
-            break
-        some, price = lengths[alive], prices[alive]
-        _, taken = knapsack(some, price, capacity)
-        before = left[alive].copy()
-        for first in range(len(alive) - 1, -1, -1):
-            found = configuration(first, some, taken, capacity)
-            amount = min(left[alive[k]] / c * (1 if k == first else SHARE) for k, c in found)
-            if amount > 1e-9:
-                amounts[tuple((int(alive[k]), c) for k, c in found)] += amount
-                for k, c in found:
-                    left[alive[k]] -= amount * c
-        progress = 1 - left[alive] / before
-        prices[alive] *= np.exp(STEP * (progress.mean() - progress) * (some / capacity))
-    return amounts
+        prices = lengths / capacity * np.exp(-STEP * (covered - covered.min()))
+        _, taken = knapsack(lengths, prices, capacity)
+        found = [configuration(k, lengths, taken, capacity) for k in range(len(lengths))]
+        value = np.array([sum(prices[k] * c for k, c in x) for x in found])
+        step: dict[Configuration, float] = {}
+        for k in np.flatnonzero(value >= (1 - SHORT) * value.max()).tolist():
+            step[found[k]] = max(step.get(found[k], 0.0), counts[k] / dict(found[k])[k])
+        gain = np.zeros(len(lengths))
+        for x, amount in step.items():
+            for k, c in x:
+                gain[k] += amount * c / counts[k]
+        scale = 1 / gain.max()
+        for x, amount in step.items():
+            amounts[x] += amount * scale
+        covered += gain * scale
+    least = max(covered.min(), 1.0)
+    return {x: amount / least for x, amount in amounts.items()}
 
 
 def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> Counter[Configuration]:
@@ -120,23 +121,21 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> Counter[
 
 def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Configuration, int]]:
     """(configuration as (length, copies), times): together exactly the pieces of the histogram."""
+    if not histogram:
+        return []
     lengths = np.array(sorted(histogram), np.int64)
     left = np.array([histogram[k] for k in lengths.tolist()], np.int64)
     whole: Counter[Configuration] = Counter()
-    for _ in range(SOLUTIONS):
-        used = 0
-        for found, amount in sorted(fractional(lengths, left, capacity).items(), key=lambda x: (-x[1], x[0])):
-            times = min([int(amount), *(int(left[k]) // c for k, c in found)])
-            room = capacity - sum(int(lengths[k]) * c for k, c in found)
-            if times and room <= ROOM:
-                whole[found] += times
-                used += times
-                for k, c in found:
-                    left[k] -= times * c
-        if not used:
-            break
+    for found, amount in sorted(fractional(lengths, left, capacity).items(), key=lambda x: (-x[1], x[0])):
+        times = min([int(amount), *(int(left[k]) // c for k, c in found)])
+        if times:
+            whole[found] += times
+            for k, c in found:
+                left[k] -= times * c
     whole.update(best_fit(lengths, left, capacity))
-    named = {tuple((int(lengths[k]), c) for k, c in found): times for found, times in whole.items()}
+    named: Counter[Configuration] = Counter()
+    for found, times in whole.items():
+        named[tuple((int(lengths[k]), c) for k, c in found)] += times
     return sorted(named.items())
 
 
