@@ -72,10 +72,11 @@ class Bitmap:
     """
 
     def __init__(self, members: DataFrame, column: str, bits: int = 26):
-        place = F.shiftrightunsigned(F.col(column), 64 - bits)
+        # The low bits: members that were chosen for a small hash differ in them alone.
+        place = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
         packed = (
             members.groupBy(F.shiftright(place, 6).cast("int").alias("word"))
-            .agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int)))").alias("mask"))
+            .agg(F.expr(f"bit_or(shiftleft(1L, cast({column} & 63 as int)))").alias("mask"))
             .toArrow()
         )
         words_ = np.zeros(1 << (bits - 6), np.uint64)
@@ -84,7 +85,7 @@ class Bitmap:
         self.shared = members.sparkSession.sparkContext.broadcast(words_)
 
     def holds(self, numbers: np.ndarray) -> np.ndarray:
-        place = numbers.view(np.uint64) >> np.uint64(64 - self.bits)
+        place = numbers.view(np.uint64) & np.uint64((1 << self.bits) - 1)
         return (self.shared.value[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
