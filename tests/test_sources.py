@@ -5,11 +5,13 @@ import pytest
 from builders import frames, metadata, snapshot
 from pyspark.sql import functions as F
 
+from themelens.constants import PERIOD
 from themelens.functions.text import is_managed_key, managed_key, normalize_opaque_id
-from themelens.operators import calendar, reconcile
+from themelens.operators import calendar, quality, reconcile
+from themelens.plans.stages import Stages
 from themelens.session import scratch_dir
 from themelens.sources import market_json
-from themelens.sources.store import PeriodStore, export_sorted, readback_differences, upsert_metadata
+from themelens.sources.store import PeriodStore, StaleVersionError, export_sorted, readback_differences, upsert_metadata
 
 FLAT = [
     {"app_id": 7, "country": "US", "date": "2024-01-31T00:00:00Z", "units_absolute": 5, "custom_tags": {"Game Theme": "Farm", "Game Genre": " Puzzle", "Release Date (WW)": "2020/02/30"}},
@@ -76,20 +78,42 @@ def test_cache_age_limit_is_inclusive(spark):
 def test_replacing_a_range_is_repeatable_and_clears_empty_periods(spark):
     rows, _ = frames(spark, [snapshot((2024, m), f"a{i}", i + 1, "T", 1.0, 1.0) for m in (1, 2, 3) for i in range(3)], [metadata("a", None)])
     store = PeriodStore(spark, scratch_dir(spark))
-    everything = ["2024-01-01", "2024-02-01", "2024-03-01"]
+    rows = rows.unionByName(rows.where("period_start < '2024-02-15'").withColumn("scope_name", F.lit("other")))
+    everything = [tuple(row) for row in rows.select(*PERIOD).distinct().collect()]
+    months = {p[2].month: p for p in everything if p[0] != "other"}
     store.replace_range({"snapshots": rows}, everything)
     store.replace_range({"snapshots": rows}, everything)
     assert readback_differences(rows, store.read("snapshots")).isEmpty()
     less = rows.where("period_start = '2024-02-01' and rank_position = 1")
-    store.replace_range({"snapshots": less, "other": less}, ["2024-02-01", "2024-03-01"])
-    kept = {(str(r.period_start), r.n) for r in store.read("snapshots").groupBy("period_start").agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert kept == {("2024-01-01", 3), ("2024-02-01", 1)}
+    less = less.where("scope_name <> 'other'")
+    store.replace_range({"snapshots": less, "other": less}, [months[2], months[3]])
+    counts = store.read("snapshots").groupBy("scope_name", "period_start").agg(F.count(F.lit(1)).alias("n"))
+    kept = {(r.scope_name == "other", r.period_start.month, r.n) for r in counts.collect()}
+    assert kept == {(False, 1, 3), (False, 2, 1), (True, 1, 3), (True, 2, 3)}  # the other scope survives
     assert store.read("other").count() == 1
     with pytest.raises(ValueError):
-        store.replace_range({"snapshots": rows}, ["2024-01-01"])
-    assert store.read("snapshots").count() == 4  # the refused write changed nothing
+        store.replace_range({"snapshots": rows}, [months[1]])
+    assert store.read("snapshots").count() == 10  # the refused write changed nothing
     with pytest.raises(LookupError):
-        store.read("snapshots", ["2024-03-01"])
+        store.read("snapshots", [months[3]])
+
+
+def test_a_writer_that_began_before_another_committed_is_refused(spark, monkeypatch):
+    rows, _ = frames(spark, [snapshot((2024, m), "a", 1, "T", 1.0, 1.0) for m in (1, 2)], [metadata("a", None)])
+    periods = [tuple(row) for row in rows.select(*PERIOD).orderBy("period_start").collect()]
+    root = scratch_dir(spark)
+    slow, fast = PeriodStore(spark, root), PeriodStore(spark, root)
+    written = slow._written
+
+    def overtaken(path, values):
+        if not values:
+            fast.replace_period("t", rows.where("month(period_start) = 2"), periods[1])
+        return written(path, values)
+
+    monkeypatch.setattr(slow, "_written", overtaken)
+    with pytest.raises(StaleVersionError):
+        slow.replace_period("t", rows.where("month(period_start) = 1"), periods[0])
+    assert [r.period_start.month for r in fast.read("t").collect()] == [2]
 
 
 def test_upsert_export_and_missing_months(spark):
@@ -97,13 +121,19 @@ def test_upsert_export_and_missing_months(spark):
     new = old.where("unified_app_id = 'a'").withColumn("publisher_display_name", F.lit(None).cast("string"))
     merged = {r.unified_app_id: r.publisher_display_name for r in upsert_metadata(old, new).collect()}
     assert merged == {"a": None, "b": "Q"}
+    twice = new.withColumn("place", F.lit(1)).unionByName(new.withColumns({"place": F.lit(2), "publisher_display_name": F.lit("last")}))
+    assert {r.unified_app_id: r.publisher_display_name for r in upsert_metadata(old, twice, "place").collect()}["a"] == "last"
     path = scratch_dir(spark)
     export_sorted(old, path, ["unified_app_id", "name"], [F.col("unified_app_id").desc()], single_file=True)
     assert [r.unified_app_id for r in spark.read.parquet(path).collect()] == ["b", "a"]
     ranges = spark.createDataFrame([(datetime.date(2024, 1, 15), datetime.date(2024, 6, 1))], "start date, end date")
     wanted = calendar.completed_months(ranges, "2024-04-30")
     assert [str(r.period_start) for r in wanted.orderBy("period_start").collect()] == ["2024-01-01", "2024-02-01", "2024-03-01"]
-    stored = spark.createDataFrame([(datetime.date(2024, 2, 1),)], "period_start date")
+    wanted = wanted.withColumns({"scope_name": F.lit("a"), "cadence": F.lit("monthly")})
+    stored = spark.createDataFrame(
+        [("a", "monthly", datetime.date(2024, 2, 1)), ("b", "monthly", datetime.date(2024, 1, 1)), ("a", "weekly", datetime.date(2024, 3, 1))],
+        "scope_name string, cadence string, period_start date",
+    )
     assert calendar.missing_months(wanted, stored).count() == 2 and calendar.missing_months(wanted, stored, refresh=True).count() == 3
 
 
@@ -157,3 +187,29 @@ def test_write_batches(spark, size, batches):
     assert [r.batch_number for r in got] == [k // size + 1 for k in range(7)] and got[-1].batch_number == batches
     with pytest.raises(ValueError):
         reconcile.write_batches(df, ["g"], ["i"], 1001)
+
+
+def test_broken_payloads_and_items_are_reported_and_not_selected(spark):
+    good = '{"app_id": "1", "date": "2024-01-31T00:00:00Z", "units_absolute": 2, "custom_tags": {"Game Genre": "Puzzle"}}'
+    payloads = [(1, f"[{good}, 7]"), (2, f"[{good}"), (3, "oops"), (4, good), (5, None), (6, "[]"), (7, f"[{good.replace('2,', chr(34) + 'two' + chr(34) + ',')}]")]
+    documents = spark.createDataFrame(payloads, "response_id int, payload string")
+    rejected = {(r.response_id, r.position, r.error) for r in market_json.rejected_market_rows(documents).collect()}
+    assert rejected == {
+        (1, 2, "not_an_object"), *((k, None, "invalid_payload") for k in (2, 3, 4, 5)), (7, 1, "malformed_field")
+    }
+    rows = market_json.parse_market_payloads(documents)
+    assert {(r.response_id, r.position) for r in rows.collect()} == {(1, 1), (1, 2), (7, 1)}
+    chosen = market_json.select_market_records(rows, ["response_id"], ["puzzle"], 5)
+    assert [(r.response_id, r.rank_position, r.units_absolute) for r in chosen.collect()] == [(1, 1, 2.0)]
+
+
+def test_input_rules_stop_the_run(spark):
+    rows, meta = frames(
+        spark,
+        [snapshot((2024, m), "a", 1, "T", 1.0, -1.0 if m == 1 else 1.0) for m in (1, 2, 4)] + [snapshot((2024, 1), None, 2, "T", 1.0, 1.0)],
+        [metadata("a", None)],
+    )
+    found = {(r.period_start.month, r.rule) for r in quality.input_violations(rows).collect()}
+    assert found == {(1, "invalid_revenue"), (1, "product_without_id"), (4, "month_before_missing")}
+    with pytest.raises(quality.InvalidInputError):
+        Stages(spark, rows, meta).table("scores")

@@ -173,7 +173,7 @@ LEADER_TYPES = (
 )
 
 # Table reconciliation.
-MANAGED_KEY_PREFIX = "ctta:v1"
+MANAGED_KEY_PREFIX = "managed:v1"
 NUMERIC_TOLERANCE = 1e-9
 SYNC_FIELDS = (
     ("period_start", "date"),

@@ -76,10 +76,11 @@ def require_contiguous(df: DataFrame) -> DataFrame:
 
 
 def missing_months(wanted: DataFrame, stored: DataFrame, refresh: bool = False) -> DataFrame:
-    """Months of the wanted list that hold no stored row, or all of them when refreshing."""
+    """Wanted months of a scope and cadence that hold no stored row, or all of them when refreshing."""
     if refresh:
         return wanted
-    return wanted.join(stored.select("period_start").distinct(), "period_start", "left_anti")
+    key = ["scope_name", "cadence", "period_start"]
+    return wanted.join(stored.select(*key).distinct(), key, "left_anti")
 
 
 def planned_target_counts(periods: DataFrame, outcome_horizons: Sequence[int] = (1, 2, 3)) -> DataFrame:
@@ -110,7 +111,8 @@ def theme_month_grid(
     """Every theme of a scope times every month of the scope, left-joined with its facts.
 
     The month list of a scope is one short array, so themes meet it in an equi-join and expand it
-    locally. ``month_index`` counts months from the scope's first; ``is_present`` marks stored rows.
+    locally. ``month_index`` is the calendar distance from the scope's first month plus one, so that a missing
+    month cannot shift a lag; ``is_present`` marks stored rows.
     """
     month_entry = F.struct("period_start", "period_end", *month_columns)
     calendars = months.groupBy("scope_name", "cadence").agg(F.sort_array(F.collect_list(month_entry)).alias("_m"))
@@ -118,12 +120,12 @@ def theme_month_grid(
         facts.select("scope_name", "cadence", "game_theme")
         .distinct()
         .join(calendars, ["scope_name", "cadence"])
-        .select("scope_name", "cadence", "game_theme", F.posexplode("_m").alias("_i", "_m"))
+        .select("scope_name", "cadence", "game_theme", F.get("_m", F.lit(0))["period_start"].alias("_f"), F.explode("_m").alias("_m"))
         .select(
             "scope_name",
             "cadence",
             "game_theme",
-            (F.col("_i") + 1).alias("month_index"),
+            (months_between(F.col("_f"), F.col("_m.period_start")) + 1).cast("int").alias("month_index"),
             "_m.period_start",
             "_m.period_end",
             *[f"_m.{name}" for name in month_columns],

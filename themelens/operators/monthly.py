@@ -26,17 +26,20 @@ def attach_metadata(snapshots: DataFrame, metadata: DataFrame) -> DataFrame:
     )
 
 
-def with_neighbour_months(facts: DataFrame) -> DataFrame:
+def with_neighbour_months(facts: DataFrame, months: DataFrame | None = None) -> DataFrame:
     """Add to each product row the same product's row of the calendar month before and after.
 
     One window per product (as long as its month list) replaces two month-shifted self joins: every
-    previous-month and exit statistic reads these columns.
+    previous-month and exit statistic reads these columns. ``months`` are the stored months of the scopes if they
+    are known already; a row for each month of a scope, however many products there are, so the list is broadcast.
     """
-    product = Window.partitionBy("scope_name", "cadence", "unified_app_id").orderBy("period_start")
+    # A row without an id is no product that could have a neighbour: such rows are spread out, one by one.
+    alone = F.when(F.col("unified_app_id").isNull(), F.xxhash64("period_start", "rank_position", "source_app_id"))
+    product = Window.partitionBy("scope_name", "cadence", "unified_app_id", alone).orderBy("period_start")
     state = F.struct("period_start", "game_theme", "rank_position", "units_absolute", "revenue_absolute")
     before = F.lag(state).over(product)
     after = F.lead(state).over(product)
-    months = stored_months(facts)
+    months = stored_months(facts) if months is None else months
     return (
         facts.withColumn("_before", before)
         .withColumn("_after", after)
@@ -49,7 +52,7 @@ def with_neighbour_months(facts: DataFrame) -> DataFrame:
             F.when(F.col("_after.period_start") == F.add_months("period_start", 1), F.col("_after")),
         )
         .drop("_before", "_after")
-        .join(months, PERIOD)
+        .join(F.broadcast(months), PERIOD)
         .withColumn("is_market_new", F.when(F.col("has_previous_month"), F.col("previous").isNull()))
     )
 

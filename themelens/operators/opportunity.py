@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from themelens.constants import DIMENSIONS, MEASURES, PERIOD, THEME
 from themelens.functions.numeric import count_where, positive_share, share, total
 from themelens.operators.monthly import publisher_totals
-from themelens.operators.ordering import medians, oversized_groups, top_rows
+from themelens.operators.ordering import medians, top_rows
 
 MEASURE_OF = {prefix: column for column, prefix in MEASURES}
 
@@ -721,8 +721,6 @@ def dimension_metrics(facts: DataFrame, totals: DataFrame, themes: DataFrame) ->
             "downloads_median_per_covered_product": F.col("units_absolute"),
             "revenue_usd_median_per_covered_product": F.col("revenue_absolute"),
         },
-        # A label value inside a theme never has more rows than the theme.
-        oversized=oversized_groups(themed(facts), THEME),
     )
     theme = themes.select(
         *THEME,

@@ -8,12 +8,15 @@ largest unit of work is one bucket, and only bucket counts are ordered per group
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS_PER_E_FOLD = 256
-GROUP_LIMIT = 1_000_000
+
+#: Parts into which a bucket that holds a wanted position is cut.
+CELLS = 4096
 
 
 def value_bucket(value: Column) -> Column:
@@ -36,84 +39,28 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit:
     return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= limit)
 
 
-def oversized_groups(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT) -> DataFrame:
-    """Keys of the groups with more than ``limit`` rows.
-
-    There are at most (row count / limit) of them, which bounds the broadcast in :func:`quantiles`.
-    """
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(*keys)
-
-
 def quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    values: Mapping[str, Column],
-    fractions: Mapping[str, float],
-    oversized: DataFrame | None = None,
-    limit: int = GROUP_LIMIT,
+    df: DataFrame, keys: Sequence[str], values: Mapping[str, Column], fractions: Mapping[str, float]
 ) -> DataFrame:
-    """Exact linear quantiles of several columns per group, for groups of any size.
-
-    ``values`` maps a name to a column and ``fractions`` a suffix to a fraction; the result has one
-    column ``name + suffix`` each. NULL values are left out. Groups up to ``limit`` rows are sorted as
-    one array each; larger ones are split by value. ``oversized`` may hold coarser keys (a part of
-    ``keys``) that were size-checked before.
-    """
-    keys = list(keys)
-    if oversized is None:
-        oversized = oversized_groups(df, keys, limit)
-    shared = [key for key in keys if key in oversized.columns]
-    hint = F.broadcast(oversized)
-    narrow = df.select(*keys, *[column.cast("double").alias(f"_v_{name}") for name, column in values.items()])
-    small = _array_quantiles(narrow.join(hint, shared, "left_anti"), keys, list(values), fractions)
-    large = _split_quantiles(narrow.join(hint, shared, "left_semi"), keys, list(values), fractions)
-    return small.unionByName(large)
-
-
-def _array_quantiles(df: DataFrame, keys: list[str], names: list[str], fractions: Mapping[str, float]) -> DataFrame:
-    arrays = df.groupBy(*keys).agg(*[F.sort_array(F.collect_list(f"_v_{name}")).alias(f"_a_{name}") for name in names])
-
-    def at(name: str, fraction: float) -> Column:
-        array = F.col(f"_a_{name}")
-        position = (F.size(array) - 1) * F.lit(float(fraction))
-        low = F.floor(position).cast("int")
-        first = F.get(array, low)
-        second = F.get(array, F.least(low + 1, F.size(array) - 1))
-        return F.when(F.size(array) > 0, first + (second - first) * (position - low))
-
-    return arrays.select(
-        *keys,
-        *[at(name, fraction).alias(f"{name}{suffix}") for name in names for suffix, fraction in fractions.items()],
-    )
-
+    """Exact linear quantiles of several columns per group, the same way for groups of any size.
 
-def _split_quantiles(df: DataFrame, keys: list[str], names: list[str], fractions: Mapping[str, float]) -> DataFrame:
-    """Quantiles of groups too large for one task.
+    ``values`` maps a name to a column and ``fractions`` a suffix to a fraction; the result has one column
+    ``name + suffix`` each. NULL values are left out; a group without any value keeps its row, with NULLs.
 
-    Count equal values (map-side combined) -> count per bucket -> running count over the buckets of a
-    group -> keep only the buckets that hold a wanted position -> order inside those.
+    Equal values are counted (combined before the shuffle). The counts of logarithmic buckets tell which buckets hold a
+    wanted position; those buckets are cut again into ``CELLS`` equal parts between their least and greatest value, so a
+    narrow band of values is split as well, and values are ordered only inside the parts that hold a wanted position.
     """
-    entries = F.array(*[F.struct(F.lit(name).alias("_name"), F.col(f"_v_{name}").alias("_v")) for name in names])
-    long = (
-        df.select(*keys, F.explode(entries).alias("_e"))
-        .select(*keys, "_e._name", "_e._v")
-        .where(F.col("_v").isNotNull())
+    # The keys travel as one struct: structs with equal fields are equal, NULL fields included.
+    group = ["_g", "_name"]
+    entries = F.array(*[F.struct(F.lit(n).alias("_name"), c.cast("double").alias("_v")) for n, c in values.items()])
+    counted = (
+        df.select(F.struct(*keys).alias("_g"), F.explode(entries).alias("_e"))
+        .groupBy("_g", "_e._name", "_e._v")
+        .agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_b", value_bucket(F.col("_v")))
     )
-    counted = long.groupBy(*keys, "_name", "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    group = [*keys, "_name"]
-    running = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    buckets = (
-        counted.groupBy(*group, "_b")
-        .agg(F.sum("_c").alias("_n"))
-        .select(
-            *group,
-            "_b",
-            (F.sum("_n").over(running) - F.col("_n")).alias("_before"),
-            F.col("_n"),
-            F.sum("_n").over(Window.partitionBy(*group)).alias("_total"),
-        )
-    )
+    found = counted.where(F.col("_v").isNotNull())
 
     def position(fraction: float) -> Column:
         return (F.col("_total") - 1) * F.lit(float(fraction))
@@ -127,45 +74,53 @@ def _split_quantiles(df: DataFrame, keys: list[str], names: list[str], fractions
     def inside(wanted: Column, start: Column, size: Column) -> Column:
         return (start <= wanted) & (wanted < start + size)
 
-    wanted_bucket = F.lit(False)
-    for fraction in set(fractions.values()):
-        for wanted in (lower(fraction), upper(fraction)):
-            wanted_bucket = wanted_bucket | inside(wanted, F.col("_before"), F.col("_n"))
-    within = (
-        Window.partitionBy(*group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    def holds_wanted(start: Column, size: Column) -> Column:
+        wanted = [end(fraction) for fraction in sorted(set(fractions.values())) for end in (lower, upper)]
+        return reduce(lambda x, y: x | y, [inside(w, start, size) for w in wanted])
+
+    def before(partition: Sequence[str], order: str) -> Column:
+        """Sum of ``_c`` over the rows in front."""
+        rows = Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return F.sum("_c").over(rows) - F.col("_c")
+
+    buckets = (
+        found.groupBy(*group, "_b")
+        .agg(F.sum("_c").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        .withColumns({"_start": before(group, "_b"), "_total": F.sum("_c").over(Window.partitionBy(*group))})
+        .where(holds_wanted(F.col("_start"), F.col("_c")))
+        .drop("_c")
     )
-    placed = counted.join(buckets.where(wanted_bucket).drop("_n"), [*group, "_b"]).withColumn(
-        "_start", F.col("_before") + F.sum("_c").over(within) - F.col("_c")
+    part = F.floor((F.col("_v") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)) * CELLS)
+    inner = found.join(buckets, [*group, "_b"]).withColumn("_p", F.coalesce(part, F.lit(0)))
+    cell = [*group, "_b", "_p"]
+    cells = (
+        inner.groupBy(*cell)
+        .agg(F.sum("_c").alias("_c"), F.first("_start").alias("_start"), F.first("_total").alias("_total"))
+        .withColumn("_start", F.col("_start") + before([*group, "_b"], "_p"))
+        .where(holds_wanted(F.col("_start"), F.col("_c")))
+        .select(*cell, F.col("_start").alias("_cell_start"))
     )
+    placed = inner.join(cells, cell).withColumn("_start", F.col("_cell_start") + before(cell, "_v"))
     picks = []
-    for name in names:
+    for name in values:
+        own = F.col("_name") == name
         for suffix, fraction in fractions.items():
-            own = F.col("_name") == name
-            for part, wanted in (("lo", lower(fraction)), ("hi", upper(fraction))):
+            for end, wanted in (("lo", lower(fraction)), ("hi", upper(fraction))):
                 hit = own & inside(wanted, F.col("_start"), F.col("_c"))
-                picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{part}_{name}{suffix}"))
-            picks.append(
-                F.max(F.when(own, position(fraction) - lower(fraction))).alias(f"_at_{name}{suffix}")
-            )
-    outputs = [
-        (
-            F.col(f"_lo_{name}{suffix}")
-            + (F.col(f"_hi_{name}{suffix}") - F.col(f"_lo_{name}{suffix}")) * F.col(f"_at_{name}{suffix}")
-        ).alias(f"{name}{suffix}")
-        for name in names
-        for suffix in fractions
-    ]
-    return placed.groupBy(*keys).agg(*picks).select(*keys, *outputs)
-
-
-def medians(
-    df: DataFrame,
-    keys: Sequence[str],
-    values: Mapping[str, Column],
-    oversized: DataFrame | None = None,
-    limit: int = GROUP_LIMIT,
-) -> DataFrame:
-    return quantiles(df, keys, values, {"": 0.5}, oversized, limit)
+                picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{end}_{name}{suffix}"))
+            picks.append(F.max(F.when(own, position(fraction) - lower(fraction))).alias(f"_at_{name}{suffix}"))
+
+    def between(name: str) -> Column:
+        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        return (low + (high - low) * F.col(f"_at_{name}")).alias(name)
+
+    names = [f"{n}{x}" for n in values for x in fractions]
+    outputs = placed.groupBy("_g").agg(*picks).select("_g", *map(between, names))
+    return counted.select("_g").distinct().join(outputs, "_g", "left").select("_g.*", *names)
+
+
+def medians(df: DataFrame, keys: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
+    return quantiles(df, keys, values, {"": 0.5})
 
 
 def position_by_value_desc(

@@ -34,10 +34,11 @@ def invalid_revenue(snapshots: DataFrame) -> DataFrame:
 
 
 def product_revenue_profiles(snapshots: DataFrame) -> DataFrame:
-    """One profile per product row, themes without a label included."""
+    """One profile per product row, themes without a label included.
+
+    Invalid revenue, which has no class, is not left out: it is a violation that stops the run before this stage."""
     return (
         snapshots.withColumn("_class", classify_observable_revenue(F.col("revenue_absolute")))
-        .where(F.col("_class").isNotNull())
         .select(
             *PERIOD,
             "source_app_id",

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from themelens.constants import DIMENSIONS, LEADER_TYPES, PERIOD, THEME
 from themelens.functions.numeric import count_where, is_close, total
 from themelens.functions.text import normalize_genre
-from themelens.operators.calendar import is_natural_month
+from themelens.operators.calendar import is_natural_month, month_gaps
+from themelens.operators.proxy import invalid_revenue
 
 PROVENANCE = ("scope_country", "device_type", "category", "data_model")
 LABEL_COLUMNS = ("game_theme", "game_genre", *DIMENSIONS, "earliest_release_date", "release_date_ww")
@@ -191,6 +192,28 @@ def period_violations(snapshots: DataFrame) -> DataFrame:
     )
 
 
+class InvalidInputError(ValueError):
+    """The stored snapshots break a rule; ``args[0]`` lists violations (scope, period, rule, rows)."""
+
+
+def input_violations(snapshots: DataFrame) -> DataFrame:
+    """(period, rule, row_count) of everything that scores, models, backtests and classes must not be computed from:
+    a month missing before a stored one, the period rules, products without an id and invalid revenue."""
+
+    def counted(df: DataFrame, rule: str) -> DataFrame:
+        return df.groupBy(*PERIOD).agg(F.count(F.lit(1)).alias("row_count")).withColumn("rule", F.lit(rule))
+
+    months = snapshots.select(*PERIOD).distinct()
+    gaps = months.join(month_gaps(months).drop("previous_start"), ["scope_name", "cadence", "period_start"], "left_semi")
+    return (
+        period_violations(snapshots)
+        .unionByName(counted(gaps, "month_before_missing"))
+        .unionByName(counted(snapshots.where(F.col("unified_app_id").isNull()), "product_without_id"))
+        .unionByName(counted(invalid_revenue(snapshots), "invalid_revenue"))
+        .select(*PERIOD, "rule", "row_count")
+    )
+
+
 def _missing(left: DataFrame, right: DataFrame, keys: Sequence[str], rule: str) -> DataFrame:
     """Number of distinct keys of ``left`` without a partner, one row per rule."""
     keys = list(keys)

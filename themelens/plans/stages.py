@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from themelens.operators import backtest, decision, model, monthly, opportunity, proxy, trend
+from themelens.operators import backtest, calendar, decision, model, monthly, opportunity, proxy, quality, trend
 from themelens.session import scratch_dir
 
 
@@ -47,7 +47,17 @@ class Stages:
 
     # AGG: monthly totals, theme metrics, opportunity evidence.
     def _facts(self) -> DataFrame:
-        return monthly.with_neighbour_months(monthly.attach_metadata(self.snapshots, self.metadata))
+        products = monthly.attach_metadata(self.snapshots, self.metadata)
+        return monthly.with_neighbour_months(products, calendar.stored_months(self.snapshots))
+
+    def _violations(self) -> DataFrame:
+        return quality.input_violations(self.snapshots)
+
+    def require_valid_input(self) -> None:
+        """Stop with the violations if the snapshots break a rule that scores, models and classes rely on."""
+        found = self.violations.limit(20).collect()
+        if found:
+            raise quality.InvalidInputError(found)
 
     def _totals(self) -> DataFrame:
         return monthly.monthly_market_totals(self.facts)
@@ -72,9 +82,11 @@ class Stages:
 
     # Score and model.
     def _scores(self) -> DataFrame:
+        self.require_valid_input()
         return trend.trend_scores(self.totals, self.themes)
 
     def _grid(self) -> DataFrame:
+        self.require_valid_input()
         return model.model_grid(self.totals, self.structure)
 
     def _horizons(self) -> DataFrame:
@@ -103,9 +115,11 @@ class Stages:
 
     # Proxy and decisions.
     def _profiles(self) -> DataFrame:
+        self.require_valid_input()
         return proxy.product_revenue_profiles(self.snapshots)
 
     def _proxies(self) -> DataFrame:
+        self.require_valid_input()
         return proxy.theme_proxy_metrics(self.snapshots)
 
     def _fits(self) -> DataFrame:

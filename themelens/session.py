@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,10 +28,13 @@ def build_session(master: str | None = None, app_name: str = "themelens", **conf
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh directory below the folder the cluster shares in ``spark.checkpoint.dir``.
 
-    Only when that setting is absent (local tests) a temporary folder is used instead.
+    Without that setting a temporary folder of this machine is used, but only where all executors run on it (a
+    ``local`` master); elsewhere the setting is required, as executors cannot read each other's disks.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/themelens-{uuid.uuid4().hex}"

@@ -42,21 +42,56 @@ METADATA_ITEM = T.StructType(
 )
 
 
+def read_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """One response per file -> its payload, file name and the columns of partition folders."""
+    files = spark.read.text(path, wholetext=True)
+    folders = [c for c in files.columns if c != "value"]
+    return files.select(F.col("value").alias("payload"), F.input_file_name().alias("source"), *folders)
+
+
 def read_market_json(spark: SparkSession, path: str) -> DataFrame:
     """One response per file -> one row per product with its position in the response."""
-    documents = spark.read.text(path, wholetext=True).select(
-        F.col("value").alias("payload"), F.input_file_name().alias("source")
-    )
-    return parse_market_payloads(documents)
+    return parse_market_payloads(read_payloads(spark, path))
+
+
+def _payload_items() -> Column:
+    """The items of a JSON array as JSON texts; NULL unless the whole payload is one array."""
+    is_array = F.col("payload").rlike(r"(?s)^\s*\[.*\]\s*$")
+    return F.when(is_array, F.from_json("payload", T.ArrayType(T.StringType())))
 
 
 def parse_market_payloads(documents: DataFrame) -> DataFrame:
-    """``payload`` JSON array text -> typed rows; other columns are kept, positions start at 1."""
+    """``payload`` JSON array text -> typed rows; other columns are kept, positions start at 1.
+
+    Every item gives a row: what is no object, or has a field of the wrong type, is marked in ``errors``. Payloads that
+    are no array give no row here; :func:`rejected_market_rows` lists them.
+    """
+    keep = [c for c in documents.columns if c != "payload"]
+    checked = T.StructType([*MARKET_ITEM.fields, T.StructField("_corrupt", T.StringType())])
+    parsed = F.from_json("_text", checked, {"columnNameOfCorruptRecord": "_corrupt"})
+    is_object = F.coalesce(F.col("_text").rlike(r"(?s)^\s*\{"), F.lit(False))
+    items = (
+        documents.select(*keep, F.posexplode(_payload_items()).alias("_p", "_text"))
+        .select(*keep, (F.col("_p") + 1).alias("position"), is_object.alias("_object"), F.when(is_object, parsed).alias("_item"))
+        .select(*keep, "position", "_object", "_item.*")
+        .withColumn(
+            "_broken", F.when(~F.col("_object"), "not_an_object").when(F.col("_corrupt").isNotNull(), "malformed_field")
+        )
+    )
+    return normalize_market_items(items.drop("_object", "_corrupt"))
+
+
+def rejected_market_rows(documents: DataFrame) -> DataFrame:
+    """What ingestion does not let through: the other columns of ``documents``, position and error.
+
+    One row without a position for a payload that is no JSON array, and one for each error of an item.
+    """
     keep = [c for c in documents.columns if c != "payload"]
-    items = documents.select(
-        *keep, F.posexplode(F.from_json("payload", T.ArrayType(MARKET_ITEM))).alias("_p", "_item")
-    ).select(*keep, (F.col("_p") + 1).alias("position"), "_item.*")
-    return normalize_market_items(items)
+    payloads = documents.where(_payload_items().isNull()).select(
+        *keep, F.lit(None).cast("int").alias("position"), F.lit("invalid_payload").alias("error")
+    )
+    items = parse_market_payloads(documents).select(*keep, "position", F.explode("errors").alias("error"))
+    return payloads.unionByName(items)
 
 
 def merged_tags() -> Column:
@@ -71,6 +106,8 @@ def merged_tags() -> Column:
 def normalize_market_items(items: DataFrame) -> DataFrame:
     """Ids, merged tags, label columns and dates; ``errors`` lists what makes a row invalid and
     ``date_notes`` the optional dates that did not parse."""
+    if "_broken" not in items.columns:
+        items = items.withColumn("_broken", F.lit(None).cast("string"))
     zoned = F.col("date").rlike(r"(Z|[+-]\d{2}:?\d{2})$")
     source_date = F.when(zoned, F.try_to_timestamp("date"))
     rows = items.withColumn("tags", merged_tags()).withColumns(
@@ -83,8 +120,11 @@ def normalize_market_items(items: DataFrame) -> DataFrame:
             F.when(F.col("source_app_id").isNull(), F.lit("invalid_app_id")),
             F.when(F.col("source_date").isNull(), F.lit("invalid_date")),
             F.when(F.col("tags").isNull(), F.lit("missing_tags")),
+            F.col("_broken"),
         )
     )
+    # An item that could not be read says so alone.
+    errors = F.when(F.col("_broken") == "not_an_object", F.array("_broken")).otherwise(errors)
     notes = F.array_compact(
         F.array(
             *[
@@ -98,7 +138,7 @@ def normalize_market_items(items: DataFrame) -> DataFrame:
         rows.withColumns({"errors": errors, "date_notes": notes})
         .withColumn("unified_app_id", normalize_opaque_id(explicit))
         .withColumnRenamed("country", "source_country")
-        .drop("app_id", "date", "custom_tags", "entities", "aggregate_tags")
+        .drop("app_id", "date", "custom_tags", "entities", "aggregate_tags", "_broken")
     )
 
 
@@ -111,6 +151,8 @@ def select_market_records(
 ) -> DataFrame:
     """First ``final_top_n`` eligible rows of each response in source order, with their rank position.
 
+    Rows with errors are not eligible.
+
     Spark keeps at most ``final_top_n`` rows per response and map task, so the ranking never gathers a
     whole response list.
     """
@@ -119,7 +161,8 @@ def select_market_records(
     genres = sorted({genre.strip().casefold() for genre in allowed_genres})
     if not genres or "" in genres:
         raise ValueError("allowed genre names must be non-empty")
-    eligible = rows.where(normalize_genre(F.col("game_genre")).isin(*genres))
+    valid = rows.where(F.size("errors") == 0) if "errors" in rows.columns else rows
+    eligible = valid.where(normalize_genre(F.col("game_genre")).isin(*genres))
     if exclude_country is not None:
         eligible = eligible.where(~F.col("most_popular_country_by_revenue").eqNullSafe(F.lit(exclude_country)))
     window = Window.partitionBy(*response).orderBy("position")
@@ -231,10 +274,11 @@ def metadata_cache_lookup(ids: DataFrame, cache: DataFrame, as_of: str, max_age_
 
 
 def combine_metadata(fresh: DataFrame, fetched: DataFrame, selected: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(usable metadata, problems): ids supplied by both sides and selected ids nobody supplied."""
+    """(usable metadata, problems): ids supplied by both sides, which are not usable, and selected ids nobody supplied."""
     both = fresh.select("unified_app_id").join(fetched, "unified_app_id", "left_semi")
-    combined = fresh.unionByName(fetched)
-    open_ids = selected.select("unified_app_id").distinct().join(combined, "unified_app_id", "left_anti")
+    supplied = fresh.unionByName(fetched)
+    open_ids = selected.select("unified_app_id").distinct().join(supplied, "unified_app_id", "left_anti")
+    combined = supplied.join(both.distinct(), "unified_app_id", "left_anti")
     problems = both.withColumn("violation", F.lit("supplied_twice")).unionByName(
         open_ids.withColumn("violation", F.lit("unresolved"))
     )

@@ -1,19 +1,31 @@
 """Period-replacing Parquet tables that several stages switch together.
 
-Every write goes to a new directory; a small manifest of (table, period, path) rows is written last and
-decides what readers see. A replacement costs only the replaced periods, a target period without rows
-simply loses its entry, and a failed run leaves the previous manifest in force.
+Every write goes to a new directory; a small manifest of (table, period, path) rows is written last and decides what
+readers see. A period is (scope_name, cadence, period_start, period_end), so scopes and cadences that begin on one day
+are replaced apart. A replacement costs only the replaced periods, a target period without rows simply loses its entry,
+and a failed run leaves the previous manifest in force.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_MANIFEST = "table_name string, period_start string, path string"
+from themelens.constants import PERIOD
+
+#: (scope_name, cadence, period_start, period_end), dates as ISO text.
+Period = tuple[str, str, str, str]
+
+_KEYS = tuple(f"{name}_key" for name in PERIOD)
+_MANIFEST = "table_name string, " + ", ".join(f"{name} string" for name in PERIOD) + ", path string"
+
+
+class StaleVersionError(RuntimeError):
+    """Another writer has committed since this one began; nothing of this write is visible."""
 
 
 class PeriodStore:
@@ -21,79 +33,86 @@ class PeriodStore:
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(target)
-
-    def _versions(self) -> list[int]:
-        """Numbers of the finished manifests, oldest first."""
-        if not self._exists(f"{self.root}/manifest"):
-            return []
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
-        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(folder)
-        names = [file.getPath().getName() for file in files]
-        return sorted(
-            int(name.removeprefix("v=")) for name in names if self._exists(f"{self.root}/manifest/{name}/_SUCCESS")
-        )
-
-    def manifest(self) -> list[tuple[str, str, str]]:
-        """Current entries; their number is months times tables, never rows of data."""
-        versions = self._versions()
-        if not versions:
+    def _names(self, path: str) -> list[str]:
+        """Names in a folder; none if it does not exist."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [file.getPath().getName() for file in files.listStatus(folder)] if files.exists(folder) else []
+
+    def _version(self) -> int:
+        """Number of the newest finished manifest, 0 before the first."""
+        names = self._names(f"{self.root}/manifest")
+        done = [name for name in names if "_SUCCESS" in self._names(f"{self.root}/manifest/{name}")]
+        return max((int(name.removeprefix("v=")) for name in done), default=0)
+
+    def manifest(self, version: int | None = None) -> list[tuple[str, Period, str]]:
+        """(table, period, path) of a version; their number is periods times tables, never rows of data."""
+        version = self._version() if version is None else version
+        if not version:
             return []
-        rows = self.spark.read.schema(_MANIFEST).json(f"{self.root}/manifest/v={versions[-1]}").collect()
-        return [tuple(row) for row in rows]
+        rows = self.spark.read.schema(_MANIFEST).json(f"{self.root}/manifest/v={version}").collect()
+        return [(row[0], tuple(row[1:-1]), row[-1]) for row in rows]
 
-    def replace_range(self, tables: Mapping[str, DataFrame], periods: Sequence[str]) -> None:
-        """Replace the given periods (ISO month starts) in all tables at once.
+    def replace_range(self, tables: Mapping[str, DataFrame], periods: Collection[Period]) -> None:
+        """Replace the given periods in all tables at once.
 
-        Rows outside of ``periods`` are refused; a period without rows is cleared.
+        Rows outside of ``periods`` are refused; a period without rows is cleared. The new version follows the one that
+        was current at the start; if another writer has taken its number meanwhile, the write is refused.
         """
-        version = uuid.uuid4().hex
-        entries = [e for e in self.manifest() if not (e[0] in tables and e[1] in set(periods))]
+        base, targets = self._version(), {tuple(map(str, period)) for period in periods}
+        entries = [e for e in self.manifest(base) if not (e[0] in tables and e[1] in targets)]
         for name, rows in tables.items():
-            path = f"{self.root}/data/{name}/{version}"
-            keyed = rows.withColumn("period_key", F.date_format("period_start", "yyyy-MM-dd"))
+            path = f"{self.root}/data/{name}/{uuid.uuid4().hex}"
+            keyed = rows.withColumns({k: F.col(c).cast("string") for k, c in zip(_KEYS, PERIOD, strict=True)})
             # Rebalancing sizes the files: small periods share a task, a hot period is split over many.
-            keyed = keyed.hint("rebalance", "period_key")
-            keyed.write.partitionBy("period_key").option("compression", "zstd").parquet(path)
+            keyed.hint("rebalance", *_KEYS).write.partitionBy(*_KEYS).option("compression", "zstd").parquet(path)
             # The written folders, not a second pass over the data, tell which periods have rows.
-            written = self._written_periods(path)
-            outside = sorted(set(written) - set(periods))
+            written = self._written(path, ())
+            outside = sorted(set(written) - targets)
             if outside:
                 raise ValueError(f"{name} holds periods outside the target range: {outside}")
-            entries += [(name, p, f"{path}/period_key={p}") for p in written]
-        number = (self._versions() or [0])[-1] + 1
-        frame = self.spark.createDataFrame(entries, _MANIFEST) if entries else self.spark.createDataFrame([], _MANIFEST)
-        frame.coalesce(1).write.json(f"{self.root}/manifest/v={number}")
-
-    def _written_periods(self, path: str) -> list[str]:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(folder)
-        names = [file.getPath().getName() for file in files]
-        return [name.split("=", 1)[1] for name in names if name.startswith("period_key=")]
-
-    def replace_period(self, table: str, rows: DataFrame, period: str) -> None:
+            entries += [(name, period, folder) for period, folder in written.items()]
+        flat = [(name, *period, path) for name, period, path in entries]
+        frame = self.spark.createDataFrame(flat, _MANIFEST).coalesce(1)
+        if f"v={base + 1}" in self._names(f"{self.root}/manifest"):
+            raise StaleVersionError(f"version {base + 1} of {self.root} was written by someone else")
+        frame.write.mode("errorifexists").json(f"{self.root}/manifest/v={base + 1}")
+
+    def _written(self, path: str, values: tuple[str, ...]) -> dict[Period, str]:
+        if len(values) == len(_KEYS):
+            return {values: path}
+        found: dict[Period, str] = {}
+        for name in self._names(path):
+            if name.startswith(f"{_KEYS[len(values)]}="):
+                found |= self._written(f"{path}/{name}", (*values, unquote(name.split("=", 1)[1])))
+        return found
+
+    def replace_period(self, table: str, rows: DataFrame, period: Period) -> None:
         self.replace_range({table: rows}, [period])
 
-    def read(self, table: str, periods: Sequence[str] | None = None) -> DataFrame:
+    def read(self, table: str, periods: Collection[Period] | None = None) -> DataFrame:
         """Rows of the current version, optionally only some periods (whole folders are skipped)."""
-        paths = [p for name, period, p in self.manifest() if name == table and (periods is None or period in periods)]
+        wanted = None if periods is None else {tuple(map(str, period)) for period in periods}
+        paths = [path for name, period, path in self.manifest() if name == table and (wanted is None or period in wanted)]
         if not paths:
             raise LookupError(f"table {table} has no stored rows for the requested periods")
         return self.spark.read.parquet(*paths)
 
 
-def upsert_metadata(stored: DataFrame, new: DataFrame) -> DataFrame:
-    """Stored rows with new ones on top; the latest fetched row of an id wins, other ids stay."""
+def upsert_metadata(stored: DataFrame, new: DataFrame, position: str | None = None) -> DataFrame:
+    """Stored rows with new ones on top; the latest fetched row of an id wins, other ids stay.
+
+    Of new rows fetched at the same time the one last in the payload wins, ``position`` naming the column of ``new``
+    that holds the place in it; without one, the greatest row by its columns, so that reruns agree.
+    """
     columns = [c for c in stored.columns if c != "unified_app_id"]
-    ranked = stored.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    place = F.lit(0).cast("long") if position is None else F.col(position).cast("long")
+    ranked = stored.withColumns({"_new": F.lit(0), "_place": F.lit(0).cast("long")}).unionByName(
+        new.withColumns({"_new": F.lit(1), "_place": place}).select("unified_app_id", *columns, "_new", "_place")
+    )
     return (
         ranked.groupBy("unified_app_id")
-        .agg(F.max_by(F.struct(*columns), F.struct("_new", "fetched_at")).alias("_row"))
+        .agg(F.max_by(F.struct(*columns), F.struct("_new", "fetched_at", "_place", *columns)).alias("_row"))
         .select("unified_app_id", "_row.*")
     )
 
