@@ -203,3 +203,22 @@ def report(docs: DataFrame) -> DataFrame:
     return remove_repeats(docs).select(
         "doc_id", "n_words", total.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+#: The same spans in DuckDB: all windows are written out and counted.
+ORACLE = """
+WITH docs AS (
+  SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words
+  FROM {documents}),
+windows AS (
+  SELECT place, i, array_to_string(words[i:i + 34], ' ') AS own
+  FROM (SELECT place, words, unnest(range(1, len(words) - 33)) AS i FROM docs)),
+repeated AS (SELECT place, i FROM (SELECT place, i, count(*) OVER (PARTITION BY own) AS times FROM windows) WHERE times > 1),
+removed AS (SELECT DISTINCT place, i FROM (SELECT place, i + unnest(range(0, 35)) AS i FROM repeated)),
+numbered AS (SELECT place, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM docs),
+kept AS (
+  SELECT place, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM numbered ANTI JOIN removed USING (place, i)
+  GROUP BY place)
+SELECT doc_id, len(words)::BIGINT AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (place)
+"""

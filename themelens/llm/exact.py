@@ -203,3 +203,14 @@ def duplicates(docs: DataFrame) -> DataFrame:
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The kept rows, all columns."""
     return select_rows(docs, row_key("doc_id", "text"), classes(docs).where("chosen").select("key", "copies"))
+
+
+#: The same groups in DuckDB, by the normalised text itself.
+ORACLE = """
+WITH docs AS (
+  SELECT doc_id, length(coalesce(text, '')) AS size, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS own
+  FROM {documents})
+SELECT doc_id, first(doc_id) OVER same AS keep_id, count(*) OVER (PARTITION BY own) AS group_size,
+  row_number() OVER same = 1 AS kept, sha256(own) AS text_sha256
+FROM docs WINDOW same AS (PARTITION BY own ORDER BY size DESC, doc_id NULLS LAST)
+"""

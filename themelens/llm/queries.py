@@ -25,7 +25,11 @@ QUERIES: dict[str, Query] = {
     "op10_repeated_spans": lambda spark, sf_dir: automata.report(documents(spark, sf_dir)),
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_mix_sources": mixing.ORACLE.format(documents="documents")}
+ORACLE_SQL: dict[str, str] = {
+    "op3_mix_sources": mixing.ORACLE.format(documents="documents"),
+    "op7_exact_duplicates": exact.ORACLE.format(documents="documents"),
+    "op10_repeated_spans": automata.ORACLE.format(documents="documents"),
+}
 
 
 def registered() -> tuple[dict[str, Query], dict[str, str]]:
