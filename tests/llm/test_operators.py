@@ -304,7 +304,7 @@ def test_quotient_filters_merge_without_loss():
     assert dict(zip(values.tolist(), counts.tolist(), strict=True)) == dict(total)
 
 
-@pytest.mark.parametrize("hot", [1, 2000])
+@pytest.mark.parametrize("hot", [1, 5000])
 @pytest.mark.parametrize(("module", "window"), [(suffixes, 200), (automata, 35)])
 def test_repeated_spans(spark, monkeypatch, module, window, hot):
     monkeypatch.setattr(repeats, "HOT", hot)

@@ -7,9 +7,9 @@ hash of its units.
 
 1. All documents' (gram, snippet) hashes are counted. Grams that occur once are done: none of their windows repeats.
 2. Grams whose snippets are all equal are done too: all of their windows repeat.
-3. The snippets of other grams are shipped, all of a gram to one shard, and resolved there exactly (suffix array or
-   automaton). Grams with more than ``HOT`` occurrences, which would make a large shard, are spread out window by
-   window instead, and windows are counted by 128-bit hash.
+3. The different snippets of other grams are shipped with their numbers, all of a gram to one shard, and resolved there
+   exactly (suffix array or automaton). Grams with more than ``HOT`` different snippets, which would make a large shard,
+   are spread out window by window instead, and windows are counted by 128-bit hash.
 
 Counting combines before it shuffles; texts travel only for the last step of a document, with its spans.
 """
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from themelens.llm.common import Bitmap, body, chunks, row_key, stored
 
-#: Occurrences of a gram above which its windows are spread out.
-HOT = 2000
+#: Different snippets of a gram above which its windows are spread out (1.8 MB of bytes at most below).
+HOT = 5000
 #: Units handled at once, and the bytes of a batch of texts.
 STEP = 1 << 19
 BATCH = 1 << 19
@@ -195,31 +195,28 @@ def repeated_windows(docs: DataFrame, units: Units) -> DataFrame:
     found = stored(
         texts.mapInArrow(emit, "key string, start long, n int, gram long, snippet long, content binary"), "snippets"
     )
-    status = grams.select("gram", "same", F.col("n").alias("occurrences"))
+    status = grams.select("gram", "same")
     whole = found.select("key", "start", "n", "gram").join(status.where("same"), "gram").select("key", "start", "n")
     rest = found.where("content is not null").join(status.where("not same"), "gram")
+    # Equal snippets are one, with a weight: copies of a passage do not make a gram large, different contexts do.
+    distinct = stored(
+        rest.groupBy("gram", "content").agg(F.count("*").alias("weight"), F.min("snippet").alias("snippet")), "distinct"
+    )
+    large = distinct.groupBy("gram").agg(F.count("*").alias("many")).where(F.col("many") > HOT).select("gram")
+    result = "gram long, snippet long, spans array<struct<start:int,n:int>>"
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by gram and snippet; whole grams are resolved together, about STEP bytes at a time."""
+        """Rows come by gram; whole grams are resolved together, about STEP bytes at a time."""
+        span = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())]))
 
         def shard(rows: list[tuple]) -> pa.RecordBatch:
-            place: dict[bytes, int] = {}
-            number = [place.setdefault(content, len(place)) for *_, content in rows]
-            weights = np.bincount(number).tolist()
-            flags = [_runs(x) for x in units.repeated(list(place), weights)]
-            keys, starts, counts = [], [], []
-            for (_, key, start, _), k in zip(rows, number, strict=True):
-                own, length = flags[k]
-                keys += [key] * len(own)
-                starts.append(own + start)
-                counts.append(length)
+            flags = units.repeated([row[3] for row in rows], [row[2] for row in rows])
+            spans = [
+                [{"start": a, "n": n} for a, n in zip(*(x.tolist() for x in _runs(own)), strict=True)] for own in flags
+            ]
             return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys, pa.string()),
-                    pa.array(np.concatenate(starts).astype(np.int64)),
-                    pa.array(np.concatenate(counts).astype(np.int32)),
-                ],
-                ["key", "start", "n"],
+                [pa.array([row[0] for row in rows]), pa.array([row[1] for row in rows]), pa.array(spans, span)],
+                ["gram", "snippet", "spans"],
             )
 
         rows: list[tuple] = []
@@ -234,45 +231,57 @@ def repeated_windows(docs: DataFrame, units: Units) -> DataFrame:
         if rows:
             yield shard(rows)
 
+    ordered = distinct.select("gram", "snippet", "weight", "content")
     sharded = (
-        rest.where(F.col("occurrences") <= HOT)
-        .select("gram", "key", "start", "content")
+        ordered.join(large, "gram", "left_anti")
         .repartition("gram")
         .sortWithinPartitions("gram")
-        .mapInArrow(resolve, "key string, start long, n int")
+        .mapInArrow(resolve, result)
+        .where(F.size("spans") > 0)
     )
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, rows=256, size=STEP):
             source, starts, names = [], [], []
-            for row, (start, content) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            for row, content in enumerate(batch.column(3).to_pylist()):
                 own = [xxhash.xxh3_128_digest(x) for x in units.windows(content)]
                 source += [row] * len(own)
-                starts += range(start, start + len(own))
+                starts += range(len(own))
                 names += own
             halves = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+            taken = pa.array(source, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(source, pa.int64())),
-                    pa.array(starts, pa.int64()),
+                    *(batch.column(k).take(taken) for k in range(3)),
+                    pa.array(starts, pa.int32()),
                     pa.array(halves[:, 0].copy()),
                     pa.array(halves[:, 1].copy()),
                 ],
-                ["key", "start", "a", "b"],
+                ["gram", "snippet", "weight", "start", "a", "b"],
             )
 
     windows = stored(
-        rest.where(F.col("occurrences") > HOT)
-        .select("key", "start", "content")
-        .mapInArrow(spread, "key string, start long, a long, b long"),
+        ordered.join(large, "gram").mapInArrow(
+            spread, "gram long, snippet long, weight long, start int, a long, b long"
+        ),
         "windows",
     )
-    often = windows.groupBy("a", "b").agg(F.count("*").alias("times")).where("times > 1")
-    single = windows.join(often, ["a", "b"]).select("key", "start", F.lit(1).alias("n"))
-    spans = whole.unionByName(sharded).unionByName(single)
+    often = windows.groupBy("a", "b").agg(F.sum("weight").alias("times")).where("times > 1")
+    single = (
+        windows.join(often, ["a", "b"])
+        .groupBy("gram", "snippet")
+        .agg(F.sort_array(F.collect_list(F.struct("start", F.lit(1).alias("n")))).alias("spans"))
+    )
+    parts = (
+        rest.select("key", F.col("start").alias("first"), "gram", "snippet")
+        .join(sharded.unionByName(single), ["gram", "snippet"])
+        .select("key", "first", F.explode("spans").alias("span"))
+        .select("key", (F.col("first") + F.col("span.start")).alias("start"), F.col("span.n").alias("n"))
+    )
     # Equal rows have one key; each start counts once.
     return (
-        spans.groupBy("key", "start")
+        whole.unionByName(parts)
+        .groupBy("key", "start")
         .agg(F.max("n").alias("n"))
         .groupBy("key")
         .agg(F.sort_array(F.collect_list(F.struct("start", "n"))).alias("spans"))
