@@ -15,42 +15,50 @@ def facts_of(spark, snapshots, metadatas):
 
 @pytest.fixture(scope="module")
 def worked(spark):
+    """Ranks on both sides of 100 and 500, an empty and a NULL label, a NULL measure, a product without metadata."""
     snapshots = [
-        snapshot(FEB, "app-a", 1, "Unknown", 10.0, 100.0),
-        snapshot(FEB, "app-b", 100, "Unknown", 20.0, None),
-        snapshot(FEB, "app-c", 500, "N/A", 30.0, 300.0),
-        snapshot(FEB, "app-d", 501, "", None, 400.0),
-        snapshot(FEB, "app-e", 600, None, 40.0, 500.0),
-        snapshot(JAN, "app-a", 1, "Unknown", None, None),
-        snapshot(JAN, "app-x", 2, "Unknown", None, None),
+        snapshot(FEB, "p-one", 2, "Farm", 8.0, 50.0),
+        snapshot(FEB, "p-two", 100, "Farm", 24.0, None),
+        snapshot(FEB, "p-three", 101, "Farm", None, 70.0),
+        snapshot(FEB, "p-four", 500, "", 8.0, 80.0),
+        snapshot(FEB, "p-five", 501, None, 40.0, 0.0),
+        snapshot(JAN, "p-one", 5, "Farm", None, None),
+        snapshot(JAN, "p-old", 6, "Farm", None, None),
     ]
-    names = [metadata("app-a", "Publisher 1"), metadata("app-b", "Publisher 1"), metadata("app-c", "Publisher 2"), metadata("app-d", None)]
+    names = [metadata("p-one", "Pub A"), metadata("p-two", "Pub A"), metadata("p-three", "Pub B"), metadata("p-four", None)]
     return facts_of(spark, snapshots, names)
 
 
 def test_totals_keep_null_apart_from_zero(worked):
     totals = rows_by(monthly.monthly_market_totals(worked), "period_start")
     feb = totals[datetime.date(2024, 2, 1)]
-    assert (feb["snapshot_count"], feb["theme_present_count"], feb["theme_missing_count"], feb["metadata_coverage_count"]) == (5, 4, 1, 4)
-    assert (feb["units_absolute_coverage_count"], feb["units_absolute_sum"]) == (4, 100.0)
-    assert (feb["revenue_absolute_coverage_count"], feb["revenue_absolute_sum"]) == (4, 1300.0)
+    assert [feb[f"{n}_count"] for n in ("snapshot", "theme_present", "theme_missing", "metadata_coverage")] == [5, 4, 1, 4]
+    assert (feb["units_absolute_coverage_count"], feb["units_absolute_sum"]) == (4, 80.0)
+    assert (feb["revenue_absolute_coverage_count"], feb["revenue_absolute_sum"]) == (4, 200.0)
     jan = totals[datetime.date(2024, 1, 1)]
-    assert jan["units_absolute_sum"] is None and jan["units_absolute_coverage_count"] == 0
+    assert (jan["units_absolute_coverage_count"], jan["units_absolute_sum"]) == (0, None)
 
 
 def test_theme_metrics_of_raw_labels(worked):
     themes = monthly.theme_monthly_metrics(worked, monthly.monthly_market_totals(worked))
     got = rows_by(themes, "period_start", "game_theme")
-    assert {k[1] for k in got if k[0].month == 2} == {"Unknown", "N/A", ""}
-    row = got[datetime.date(2024, 2, 1), "Unknown"]
-    assert (row["product_count"], row["product_share"], row["average_rank"], row["median_rank"]) == (2, 0.4, 50.5, 50.5)
-    assert row["units_absolute_share"] == pytest.approx(0.3)
-    assert row["revenue_absolute_share"] == pytest.approx(100 / 1300)
-    assert (row["new_entry_count"], row["returning_product_count"], row["new_entry_share"]) == (1, 1, 0.5)
-    assert (row["publisher_count"], row["top_publisher_product_share"]) == (1, 1.0)
-    assert got[datetime.date(2024, 2, 1), ""]["units_absolute_share"] is None
-    january = got[datetime.date(2024, 1, 1), "Unknown"]
+    assert {theme for start, theme in got if start.month == 2} == {"Farm", ""}
+    farm, blank = got[datetime.date(2024, 2, 1), "Farm"], got[datetime.date(2024, 2, 1), ""]
+    assert (farm["product_count"], farm["top_100_count"], farm["top_500_count"]) == (3, 2, 3)
+    assert (farm["average_rank"], farm["median_rank"]) == (pytest.approx(203 / 3), 100.0)
+    assert [farm[f"{n}_share"] for n in ("product", "units_absolute", "revenue_absolute")] == pytest.approx([0.6, 0.4, 0.6])
+    assert (farm["new_entry_count"], farm["returning_product_count"], farm["new_entry_share"]) == (2, 1, pytest.approx(2 / 3))
+    assert (farm["publisher_count"], farm["top_publisher_product_share"]) == (2, pytest.approx(2 / 3))
+    assert (blank["top_500_count"], blank["units_absolute_share"], blank["publisher_count"]) == (1, pytest.approx(0.1), 0)
+    january = got[datetime.date(2024, 1, 1), "Farm"]
     assert january["has_previous_month"] is False and january["new_entry_count"] is None
+    assert january["units_absolute_share"] is None
+
+
+def test_products_without_id_are_no_neighbours(spark):
+    rows = [snapshot(m, None, k, "T", 1.0, 1.0) for m in (JAN, FEB) for k in (1, 2)] + [snapshot(FEB, "a", 3, "T", 1.0, 1.0)]
+    got = facts_of(spark, rows, [metadata("a", None)]).where("period_start = '2024-02-01'").collect()
+    assert len(got) == 3 and all(r.previous is None and r.is_market_new for r in got)
 
 
 @pytest.fixture(scope="module")

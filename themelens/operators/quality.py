@@ -118,12 +118,9 @@ def month_quality(
     )
 
 
-def with_missing_months(quality: DataFrame, wanted: DataFrame, scope_name: str, cadence: str = "monthly") -> DataFrame:
-    """One row per wanted month; months without data get zero counts and NULL ratios."""
-    keys = wanted.select(
-        F.lit(scope_name).alias("scope_name"), F.lit(cadence).alias("cadence"), "period_start", "period_end"
-    )
-    joined = keys.join(quality, PERIOD, "left")
+def with_missing_months(quality: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row per wanted period of a scope; those without data get zero counts and NULL ratios."""
+    joined = wanted.select(*PERIOD).join(quality, PERIOD, "left")
     fills = {}
     for field in quality.schema.fields:
         if field.name.endswith("_count"):

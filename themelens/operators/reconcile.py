@@ -67,6 +67,20 @@ def changed_fields(desired: str = "d", existing: str = "e") -> Column:
     return F.array_compact(F.array(*tests))
 
 
+def changed_values(desired: str = "d", existing: str = "e") -> Column:
+    """(field, number, text) of the fields that differ, with the new value: what an update has to write."""
+    wanted = [
+        F.struct(
+            F.lit(name).alias("field"),
+            (F.col(f"{desired}.field_{name}") if kind == "number" else F.lit(None)).cast("double").alias("number"),
+            (F.lit(None) if kind == "number" else F.col(f"{desired}.field_{name}")).cast("string").alias("text"),
+        )
+        for name, kind in SYNC_FIELDS
+    ]
+    names = changed_fields(desired, existing)
+    return F.filter(F.array(*wanted), lambda x: F.array_contains(names, x["field"]))
+
+
 def reconcile(desired: DataFrame, existing: DataFrame) -> DataFrame:
     """create / update / unchanged / stale per managed key.
 
@@ -82,7 +96,7 @@ def reconcile(desired: DataFrame, existing: DataFrame) -> DataFrame:
     duplicates = grouped.where(F.col("_n") > 1).agg(F.count(F.lit(1))).scalar()
     ours = desired.select("managed_key", F.struct(*[f"field_{name}" for name in SYNC_COLUMNS]).alias("d"))
     pairs = ours.join(grouped, "managed_key", "full_outer").withColumn("e", F.col("_first.fields"))
-    pairs = pairs.withColumn("_changed", changed_fields()).withColumn("_duplicates", duplicates)
+    pairs = pairs.withColumns({"_changed": changed_fields(), "_values": changed_values(), "_duplicates": duplicates})
     action = (
         F.when(F.col("d").isNull(), "stale")
         .when(F.col("_n") > 1, "duplicate")
@@ -97,6 +111,7 @@ def reconcile(desired: DataFrame, existing: DataFrame) -> DataFrame:
         F.col("_first.record_id").alias("record_id"),
         action.alias("action"),
         F.when(action == "update", F.array_join("_changed", ",")).alias("changed"),
+        F.when(action == "update", F.col("_values")).alias("changes"),
     )
 
 
@@ -109,25 +124,27 @@ def reconciliation_summary(plan: DataFrame, existing: DataFrame) -> DataFrame:
     return actions.unionByName(classes)
 
 
-def write_batches(rows: DataFrame, groups: Sequence[str], order: Sequence[str], size: int = 100) -> DataFrame:
-    """Number fixed-size batches in (groups, order) order.
+def write_batches(
+    rows: DataFrame, groups: Sequence[str], order: Sequence[str], size: int = 100, within: Sequence[str] = ()
+) -> DataFrame:
+    """Number fixed-size batches in (groups, order) order, for each value of ``within`` (scope, action) apart.
 
-    Positions are the row number inside a group (one month of themes) plus the sizes of the groups
-    before it, so only one row per group is ordered globally.
+    Positions are the row number inside a group plus the sizes of the groups before it, so only one row per group is
+    ordered for a value of ``within``. ``groups`` are periods; with others the number of groups must stay as small.
     """
     if not 1 <= size <= 1000:
         raise ValueError("batch size must be between 1 and 1000")
-    groups = list(groups)
-    before = Window.orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*within, *(name for name in groups if name not in within)]
+    before = Window.partitionBy(*within).orderBy(*groups).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        rows.groupBy(*groups)
+        rows.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
-    inside = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return (
-        rows.join(offsets, groups)
+        rows.join(offsets, keys)
         .withColumn("batch_number", F.floor((F.col("_offset") + inside - 1) / size) + 1)
         .drop("_offset")
     )

@@ -42,8 +42,16 @@ def column_expression(name: str) -> str:
     return f"floor({name}::DOUBLE * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS {name}"
 
 
-def query(columns: str, tail: str, *blocks: str) -> str:
-    """``columns`` (blank separated) of ``tail`` on top of the named blocks and everything they need."""
+#: Scopes of the test data, and how the text of a block names the one it is computed for.
+SCOPES = ("market", "niche")
+SCOPE = "'market'"
+
+
+def query(columns: str, tail: str, *blocks: str, merge: str = "") -> str:
+    """``columns`` (blank separated) of ``tail`` on top of the named blocks and everything they need.
+
+    Results of the scopes are put together: all rows, or with ``merge`` the distinct ones or sums of ``row_count``.
+    """
     needed: list[str] = []
 
     def add(name: str) -> None:
@@ -59,7 +67,19 @@ def query(columns: str, tail: str, *blocks: str) -> str:
         add(name)
     ctes = ",\n".join(f"{name} AS MATERIALIZED ({BLOCKS[name]})" for name in needed)
     selected = ",\n  ".join(column_expression(c) for c in columns.split())
-    return f"WITH {ctes}\nSELECT {selected}\n{tail}" if needed else f"SELECT {selected}\n{tail}"
+    if not needed:
+        return f"SELECT {selected}\n{tail}"
+    one = f"WITH {ctes}\nSELECT {selected}\n{tail}"
+    if "snap" not in needed:
+        return one
+    # Scopes have nothing to do with each other, so the reference computes each alone.
+    both = "\nUNION ALL\n".join(f"SELECT * FROM ({one.replace(SCOPE, f"'{scope}'")})" for scope in SCOPES)
+    if merge == "distinct":
+        return f"SELECT DISTINCT * FROM ({both})"
+    if merge == "sum":
+        rest = ", ".join(c for c in columns.split() if c != "row_count")
+        return f"SELECT {rest}, sum(row_count)::BIGINT AS row_count FROM ({both}) GROUP BY ALL"
+    return both
 
 
 K = "scope_name, cadence, period_start, period_end"
@@ -77,7 +97,7 @@ BLOCKS: dict[str, str] = {}
 BLOCKS["sold"] = """
   SELECT date_trunc('month', l_shipdate)::DATE AS period_start, l_partkey,
          round(sum(l_quantity), 2) AS units, round(sum(l_extendedprice), 2) AS revenue
-  FROM lineitem GROUP BY 1, 2"""
+  FROM lineitem WHERE (l_suppkey % 3 = 0) = ('market' = 'niche') GROUP BY 1, 2"""
 BLOCKS["shipped"] = "SELECT l_partkey, min(l_shipdate)::DATE AS first_shipped, min(l_suppkey) AS s FROM lineitem GROUP BY 1"
 BLOCKS["snap"] = """
   SELECT 'market' AS scope_name, 'monthly' AS cadence, period_start, last_day(period_start) AS period_end,

@@ -67,10 +67,12 @@ def comparable(df: DataFrame) -> DataFrame:
     return df.select(*[column(field) for field in df.schema.fields])
 
 
-def simple(name: str, build: Callable[[Stages], DataFrame], columns: str, tail: str, *blocks: str) -> None:
+def simple(
+    name: str, build: Callable[[Stages], DataFrame], columns: str, tail: str, *blocks: str, merge: str = ""
+) -> None:
     """Query over the stage tables, cut to the columns the reference SQL selects."""
     names = columns.split()
-    QUERIES[name] = Query(lambda run, spark, sf_dir: build(run).select(*names), sql.query(columns, tail, *blocks))
+    QUERIES[name] = Query(lambda run, spark, sf_dir: build(run).select(*names), sql.query(columns, tail, *blocks, merge=merge))
 
 
 TC, PC = sql.THEME_COLUMNS, sql.PERIOD_COLUMNS
@@ -696,6 +698,7 @@ simple(
     """FROM (SELECT unified_app_id, 'unrequested' AS violation FROM meta WHERE length(unified_app_id) <= 1
       UNION ALL SELECT unified_app_id, 'duplicate' FROM meta WHERE ios_app_id IS NULL AND name IS NULL
       UNION ALL SELECT DISTINCT unified_app_id, 'missing' FROM snap ANTI JOIN meta USING (unified_app_id) WHERE length(unified_app_id) > 1)""",
+    merge="distinct",
 )
 simple(
     "distinct_ids_first_seen",
@@ -714,6 +717,7 @@ simple(
     "unified_app_id status",
     """FROM (SELECT i.unified_app_id, CASE WHEN fetched_at IS NULL THEN 'missing' WHEN fetched_at >= TIMESTAMP '2001-12-17 00:00:00' THEN 'fresh' ELSE 'stale' END AS status
       FROM (SELECT DISTINCT unified_app_id FROM snap) i LEFT JOIN meta m USING (unified_app_id))""",
+    merge="distinct",
 )
 
 
@@ -731,12 +735,13 @@ simple(
     "unified_app_id violation",
     """FROM (SELECT unified_app_id, 'supplied_twice' AS violation FROM meta WHERE fetched_at = TIMESTAMP '2001-12-17 00:00:00'
       UNION ALL SELECT DISTINCT unified_app_id, 'unresolved' FROM snap ANTI JOIN meta USING (unified_app_id))""",
+    merge="distinct",
 )
 simple(
     "read_range",
-    lambda run: market_json.read_range(run.structure, "1996-01-01", "1997-12-31", scope_name="market", game_theme="Brand#7"),
+    lambda run: market_json.read_range(run.structure, "1996-01-01", "1997-12-31", scope_name="niche", game_theme="Brand#7"),
     f"{TC} product_count downloads_sum",
-    "FROM structure WHERE period_start BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' AND game_theme = 'Brand#7'",
+    "FROM structure WHERE period_start BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' AND game_theme = 'Brand#7' AND scope_name = 'niche'",
 )
 simple("latest_period", lambda run: market_json.latest_period(run.snapshots), PC, f"FROM (SELECT {sql.K} FROM months ORDER BY period_start DESC LIMIT 1)")
 simple(
@@ -744,6 +749,7 @@ simple(
     lambda run: market_json.read_by_ids(run.metadata, run.snapshots.where(F.col("game_theme") == "Unknown")),
     "unified_app_id name publisher_display_name",
     "FROM meta WHERE unified_app_id IN (SELECT unified_app_id FROM snap WHERE game_theme = 'Unknown')",
+    merge="distinct",
 )
 
 # Table maintenance: written, replaced and read back.
@@ -770,7 +776,7 @@ simple(
     "replace_range",
     _replaced,
     f"{TC} product_count units_absolute_sum",
-    """FROM (SELECT * FROM themes WHERE scope_name <> 'market' OR period_start NOT IN (DATE '1995-02-01', DATE '1995-03-01')
+    """FROM (SELECT * FROM themes WHERE scope_name <> 'mar' || 'ket' OR period_start NOT IN (DATE '1995-02-01', DATE '1995-03-01')
         OR (period_start = DATE '1995-02-01' AND product_count >= 20)
       UNION ALL SELECT * REPLACE ('weekly' AS cadence) FROM themes)""",
 )
@@ -791,7 +797,7 @@ simple(
     "replace_period",
     _replaced_snapshots,
     f"{PC} snapshot_count downloads_sum",
-    f"""FROM (SELECT {sql.K}, count(*) AS snapshot_count, round(sum(CASE WHEN scope_name = 'market' AND period_start = DATE '1995-03-01' THEN 1.0 ELSE units_absolute END), 6) AS downloads_sum
+    f"""FROM (SELECT {sql.K}, count(*) AS snapshot_count, round(sum(CASE WHEN scope_name = 'mar' || 'ket' AND period_start = DATE '1995-03-01' THEN 1.0 ELSE units_absolute END), 6) AS downloads_sum
       FROM snap GROUP BY {sql.K})""",
 )
 simple(
@@ -839,7 +845,7 @@ simple(
         run.snapshots.where((F.month("period_start") != 2) | (F.col("scope_name") != "market")),
     ),
     PC,
-    "FROM months WHERE month(period_start) = 2 AND scope_name = 'market'",
+    "FROM months WHERE month(period_start) = 2 AND scope_name = 'mar' || 'ket'",
 )
 
 # Quality.
@@ -878,8 +884,10 @@ simple("structural_issue_count", _quality, f"{PC} structural_issue_count", "FROM
 
 
 def _with_missing(run: Stages) -> DataFrame:
-    wanted = run.totals.select(F.explode(F.array("period_start", F.add_months("period_start", 2))).alias("period_start")).distinct()
-    return quality.with_missing_months(_quality(run), wanted.withColumn("period_end", F.last_day("period_start")), "market")
+    """Two months more than are stored are asked for, of either scope."""
+    months = F.explode(F.array("period_start", F.add_months("period_start", 2))).alias("period_start")
+    wanted = run.totals.select("scope_name", "cadence", months).distinct()
+    return quality.with_missing_months(_quality(run), wanted.withColumn("period_end", F.last_day("period_start")))
 
 
 simple(
@@ -919,16 +927,23 @@ simple(
     """FROM (SELECT * FROM (VALUES ('theme_without_structure', 0), ('structure_without_theme', 0), ('theme_without_growth', 0), ('growth_without_theme', 0),
       ('dimension_without_theme', 0), ('leader_without_theme', 0), ('unknown_leader_type', 0)) v(rule, row_count)
       UNION ALL SELECT 'leader_ranks_not_contiguous', count(*) FROM leaders WHERE evidence_type = 'revenue_leader' AND evidence_rank = 3)""",
+    merge="sum",
 )
+#: Season profiles without June, as the check below gets them.
+_SEASON_LEFT = f"""SELECT count(*) FILTER (is_peak_month) AS peaks, count(*) FILTER (is_trough_month) AS troughs, avg(seasonal_index) AS mean
+  FROM season WHERE calendar_month <> 6 GROUP BY {sql.KT}, metric_name"""
 simple(
     "model_checks",
     lambda run: quality.model_checks(
         run.horizons, run.seasonality.where(F.col("calendar_month") != 6), run.summaries, run.scores.where(F.col("game_theme") != "Unknown")
-    ).where(~F.col("rule").isin("season_mean_not_one", "season_without_one_peak_and_trough")),
+    ),
     "rule row_count",
     f"""FROM (SELECT * FROM (VALUES ('horizon_without_summary', 0), ('season_without_summary', 0), ('score_without_history', 0)) v(rule, row_count)
       UNION ALL SELECT 'history_without_score', count(*) FROM summaries WHERE has_6m_history AND game_theme = 'Unknown'
-      UNION ALL SELECT 'season_not_twelve_months', count(*) FROM (SELECT DISTINCT {sql.KT}, metric_name FROM season))""",
+      UNION ALL SELECT 'season_not_twelve_months', count(*) FROM (SELECT DISTINCT {sql.KT}, metric_name FROM season)
+      UNION ALL SELECT 'season_without_one_peak_and_trough', count(*) FROM ({_SEASON_LEFT}) WHERE peaks <> 1 OR troughs <> 1
+      UNION ALL SELECT 'season_mean_not_one', count(*) FROM ({_SEASON_LEFT}) WHERE abs(mean - 1) > 1e-9 * greatest(abs(mean), 1))""",
+    merge="sum",
 )
 simple(
     "backtest_checks",
@@ -938,6 +953,7 @@ simple(
     "rule row_count",
     """FROM (SELECT * FROM (VALUES ('feature_registry_incomplete', 0), ('outcome_month_not_stored', 0), ('outcome_month_not_at_horizon', 0)) v(rule, row_count)
       UNION ALL SELECT 'outcome_without_decision_theme', count(DISTINCT decision_period_start) FROM outcomes WHERE game_theme = 'N/A')""",
+    merge="sum",
 )
 simple(
     "decision_checks",
@@ -952,6 +968,7 @@ simple(
     """FROM (SELECT * FROM (VALUES ('duplicate_decision', 0), ('not_three_windows', 0), ('window_marked_as_forecast', 0), ('risk_without_decision', 0),
       ('migration_source_not_validated', 0), ('migration_target_not_observed', 0)) v(rule, row_count)
       UNION ALL SELECT 'decision_without_windows', count(*) FROM themes WHERE game_theme = 'N/A')""",
+    merge="sum",
 )
 simple(
     "value_checks",
@@ -960,6 +977,33 @@ simple(
     ).where(F.col("row_count") > 0),
     "table_name rule row_count",
     "FROM (SELECT 'structure' AS table_name, 'product_share_between_0_and_1' AS rule, count(*) AS row_count FROM structure WHERE product_share * 20 > 1.000000001)",
+    merge="sum",
+)
+
+
+def _with_bad_rows(run: Stages) -> DataFrame:
+    """One scope without its Julys, negative revenue, and products of a label without id and with ranks below one."""
+    other = F.col("game_theme") == "N/A"
+    strange = (F.col("game_theme") == "Unknown") & (F.month("period_start") == 4)
+    return run.snapshots.where((F.month("period_start") != 7) | (F.col("scope_name") == "market")).withColumns(
+        {
+            "revenue_absolute": F.when(strange, -1.0).otherwise(F.col("revenue_absolute")),
+            "unified_app_id": F.when(other, None).otherwise(F.col("unified_app_id")),
+            "rank_position": F.when(other, -F.col("rank_position")).otherwise(F.col("rank_position")),
+        }
+    )
+
+
+simple(
+    "input_violations",
+    lambda run: quality.input_violations(_with_bad_rows(run)),
+    f"{PC} rule row_count",
+    f"""FROM (SELECT {sql.K}, 'invalid_revenue' AS rule, count(*) AS row_count FROM snap WHERE game_theme = 'Unknown' AND month(period_start) = 4 GROUP BY ALL
+      UNION ALL SELECT {sql.K}, 'product_without_id', count(*) FROM snap WHERE game_theme = 'N/A' GROUP BY ALL
+      UNION ALL SELECT {sql.K}, 'rank_not_positive', count(*) FROM snap WHERE game_theme = 'N/A' GROUP BY ALL
+      UNION ALL SELECT {sql.K}, 'duplicate_product', 1 FROM snap WHERE game_theme = 'N/A' GROUP BY ALL HAVING count(*) > 1
+      UNION ALL SELECT {sql.K}, 'month_before_missing', 1 FROM months WHERE month(period_start) = 8 AND scope_name = 'niche' AND has_previous_month)
+    WHERE NOT (month(period_start) = 7 AND scope_name = 'niche')""",
 )
 simple(
     "run_summary",
@@ -969,6 +1013,7 @@ simple(
       UNION ALL SELECT 'source_units_coverage', sum(units_absolute_coverage_count) FROM totals UNION ALL SELECT 'source_revenue_coverage', sum(revenue_absolute_coverage_count) FROM totals
       UNION ALL SELECT 'themes', count(*) FROM themes UNION ALL SELECT 'structure', count(*) FROM structure UNION ALL SELECT 'leaders', count(*) FROM leaders
       UNION ALL SELECT 'dimension_' || dimension_type, count(*) FROM dims GROUP BY 1)""",
+    merge="sum",
 )
 
 # Reconciliation of the score table with an external record table.
@@ -1045,12 +1090,16 @@ simple(
     """FROM (SELECT CASE WHEN game_theme = 'Unknown' AND month(period_start) <> 1 THEN 'duplicate' ELSE 'blocked' END AS action, count(*) AS row_count FROM desired GROUP BY 1
       UNION ALL SELECT 'managed', count(*) + count(*) FILTER (game_theme = 'Unknown') FROM desired WHERE month(period_start) <> 1 AND game_theme <> 'N/A'
       UNION ALL SELECT 'unmanaged_blank', count(*) FROM desired WHERE month(period_start) <> 1 AND game_theme = 'N/A')""",
+    merge="sum",
 )
 simple(
     "changed_fields",
-    lambda run: reconcile.reconcile(_desired(run), _existing(run, False)).where(F.col("action") == "update"),
-    "managed_key changed",
-    "FROM (SELECT managed_key, 'confidence_score' AS changed FROM desired WHERE month(period_start) = 6 AND game_theme <> 'N/A')",
+    lambda run: reconcile.reconcile(_desired(run), _existing(run, False))
+    .select("managed_key", "changed", F.explode("changes").alias("c"))
+    .select("managed_key", "changed", F.col("c.number").alias("new_number"), F.col("c.text").alias("name")),
+    "managed_key changed new_number name",
+    """FROM (SELECT managed_key, 'confidence_score' AS changed, confidence_score AS new_number, NULL::VARCHAR AS name
+      FROM desired WHERE month(period_start) = 6 AND game_theme <> 'N/A')""",
 )
 simple(
     "normalize_cells",
@@ -1068,9 +1117,21 @@ simple(
     "part_id name amount",
     "FROM (SELECT p_partkey AS part_id, replace(p_name, ' ', '') AS name, CASE WHEN p_partkey % 3 = 0 THEN p_retailprice END AS amount FROM part)",
 )
+
+
+def _batches(run: Stages) -> DataFrame:
+    """Batches over what is to be written: the rows to create and the rows to update of each scope."""
+    desired = _desired(run)
+    plan = reconcile.reconcile(desired, _existing(run, False)).where(F.col("action").isin("create", "update"))
+    rows = desired.join(plan.select("managed_key", "action"), "managed_key")
+    return reconcile.write_batches(rows, PERIOD, ["game_theme"], 100, ["scope_name", "action"])
+
+
 simple(
     "write_batches",
-    lambda run: reconcile.write_batches(_desired(run), PERIOD, ["game_theme"], 100),
-    f"{TC} managed_key batch_number",
-    "FROM (SELECT *, (place - 1) // 100 + 1 AS batch_number FROM desired)",
+    _batches,
+    f"{TC} managed_key action batch_number",
+    """FROM (SELECT *, (row_number() OVER (PARTITION BY scope_name, action ORDER BY period_start, game_theme) - 1) // 100 + 1 AS batch_number FROM
+      (SELECT *, CASE WHEN month(period_start) = 1 OR game_theme = 'N/A' THEN 'create' ELSE 'update' END AS action
+       FROM desired WHERE game_theme = 'N/A' OR month(period_start) IN (1, 6)))""",
 )

@@ -18,17 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def market_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (month, part)."""
+    """One row per (scope, month, part): a third of the suppliers make a scope of their own, with the same parts."""
     sold = (
         table(spark, sf_dir, "lineitem")
         .withColumn("period_start", F.trunc("l_shipdate", "month"))
-        .groupBy("period_start", "l_partkey")
+        .withColumn("scope_name", F.when(F.col("l_suppkey") % 3 == 0, "niche").otherwise("market"))
+        .groupBy("scope_name", "period_start", "l_partkey")
         .agg(
             F.round(F.sum("l_quantity"), 2).alias("units"),
             F.round(F.sum("l_extendedprice"), 2).alias("revenue"),
         )
     )
-    ranked = position_by_value_desc(sold, ["period_start"], "units", "l_partkey", "rank_position")
+    ranked = position_by_value_desc(sold, ["scope_name", "period_start"], "units", "l_partkey", "rank_position")
     first_shipped = (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_partkey")
@@ -66,7 +67,7 @@ def market_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         ranked.join(part, ranked["l_partkey"] == part["p_partkey"])
         .join(first_shipped, "l_partkey")
         .select(
-            F.lit("market").alias("scope_name"),
+            "scope_name",
             F.lit("monthly").alias("cadence"),
             F.col("period_start"),
             F.last_day("period_start").alias("period_end"),
