@@ -39,7 +39,7 @@ def column_expression(name: str) -> str:
         return f"{name}::BIGINT AS {name}"
     if _OTHER.match(name):
         return name
-    return f"floor({name}::DOUBLE * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS {name}"
+    return f"floor({name}::DOUBLE * 1000000.0::DOUBLE + 0.50001::DOUBLE) / 1000000.0::DOUBLE AS {name}"
 
 
 #: Scopes of the test data, and how the text of a block names the one it is computed for.
