@@ -24,7 +24,7 @@ def run(spark):
                 rank += 1
                 units = float((t + 1) * 10 + (i * (t - 3)) + j)
                 snapshots.append(
-                    snapshot(period, f"{t}-{j}", rank, f"theme-{t}", max(units, 1.0), None if t == 5 and i == 15 else units + 2, subgenre=f"g{j % 2}")
+                    snapshot(period, f"{t}-{j}", rank, f"theme-{t}", max(units, 1.0), None if t == 5 and i == 15 else max(units + 2, 0.0), subgenre=f"g{j % 2}")
                 )
     rows, names = frames(spark, snapshots, [metadata(f"{t}-{j}", f"P{j}") for t in range(7) for j in range(5)])
     return Stages(spark, rows, names, root=scratch_dir(spark))
