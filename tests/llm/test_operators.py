@@ -399,3 +399,18 @@ def test_personal_data(spark):
     assert f"term:{start}:{start + 7}" in found[703].spans
     clean = {r.doc_id: r.text for r in personal.sanitise(table(spark, rows)).collect()}
     assert "[email]" in clean[700] and "@" not in clean[700] and clean[104] is None and clean[5] == corpus()[5][1]
+
+
+def test_terms_far_from_the_entity_are_found_and_marked_throughout(spark):
+    filler = [" ".join(f"w{k}x{j}" for j in range(20)) for k in range(8)]
+    far = [f"jo.doe@mail.example {filler[k]} by{k} Zorblax, {filler[k][::-1]} zorblax" for k in range(4)]
+    other, none = f"ann.lee@mail.example {filler[5]} met zorblax", f"{filler[6]} (zorblax) wrote"
+    rows = corpus() + [(700 + k, t, "en", "s", 0) for k, t in enumerate([*far, other, none])]
+    found = {r.doc_id: r for r in personal.report(table(spark, rows, extra=True)).collect()}
+    for k, t in enumerate([*far, other]):
+        places = [m.span() for m in re.finditer(r"[Zz]orblax,?", t)]
+        assert [f"term:{a}:{b}" for a, b in places] == [s for s in found[700 + k].spans.split(",") if s.startswith("term")]
+    clean = {r.doc_id: r.text for r in personal.sanitise(table(spark, rows)).collect()}
+    assert clean[702] == f"[email] {filler[2]} by2 [term] {filler[2][::-1]} [term]"
+    assert clean[704] == f"[email] {filler[5]} met [term]" and clean[705] == f"{filler[6]} [term] wrote"
+    assert clean[5] == corpus()[5][1]
