@@ -414,3 +414,20 @@ def test_terms_far_from_the_entity_are_found_and_marked_throughout(spark):
     assert clean[702] == f"[email] {filler[2]} by2 [term] {filler[2][::-1]} [term]"
     assert clean[704] == f"[email] {filler[5]} met [term]" and clean[705] == f"{filler[6]} [term] wrote"
     assert clean[5] == corpus()[5][1]
+
+
+def test_ids_are_those_of_the_plain_call_where_a_text_holds_a_special_token(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a{end}b", end, f"{end} {end}", f"one {end} two", f"one  {end}\n{end}  two", f" {end}x{end} ", f"<|endoftext {end}>", "plain"]
+    ids = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids[0] == [64, 50256, 65]
+    docs = table(spark, [(k, t, "en", "s", 0) for k, t in enumerate(texts)])
+    found = sorted(tokenfile.write_and_read(docs).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_tokens, r.ids_crc32) for r in found] == [(len(i) + 1, crc([*i, 2])) for i in ids]
+    assert [r.start for r in found] == np.cumsum([0, *(len(i) + 1 for i in ids[:-1])]).tolist()
+    packed = sorted(packing.pack(docs).collect(), key=lambda r: r.doc_id)
+    assert [(r.length, r.ids_crc32) for r in packed] == [(len(i) + 1, crc([*i, 0])) for i in ids]

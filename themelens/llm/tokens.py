@@ -38,7 +38,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(location(tokenizer))
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
