@@ -7,7 +7,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from themelens.llm import automata, exact, language, mixing, packing, personal, quality, simhash, suffixes, tokenfile
+from themelens.llm import (
+    automata,
+    exact,
+    language,
+    manifest,
+    mixing,
+    packing,
+    personal,
+    quality,
+    simhash,
+    suffixes,
+    tokenfile,
+)
 from themelens.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +35,7 @@ QUERIES: dict[str, Query] = {
     "op8_suffix_array": lambda spark, sf_dir: suffixes.report(documents(spark, sf_dir)),
     "op9_personal_data": lambda spark, sf_dir: personal.report(documents(spark, sf_dir)),
     "op10_repeated_spans": lambda spark, sf_dir: automata.report(documents(spark, sf_dir)),
+    "op11_merkle_manifest": lambda spark, sf_dir: manifest.report(documents(spark, sf_dir)),
 }
 
 ORACLE_SQL: dict[str, str] = {
