@@ -17,6 +17,7 @@ from themelens.llm import (
     personal,
     quality,
     simhash,
+    spelling,
     suffixes,
     tokenfile,
 )
@@ -36,6 +37,7 @@ QUERIES: dict[str, Query] = {
     "op9_personal_data": lambda spark, sf_dir: personal.report(documents(spark, sf_dir)),
     "op10_repeated_spans": lambda spark, sf_dir: automata.report(documents(spark, sf_dir)),
     "op11_merkle_manifest": lambda spark, sf_dir: manifest.report(documents(spark, sf_dir)),
+    "op12_spelling_variants": lambda spark, sf_dir: spelling.report(documents(spark, sf_dir)),
 }
 
 ORACLE_SQL: dict[str, str] = {
