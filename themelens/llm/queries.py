@@ -16,6 +16,7 @@ from themelens.llm import (
     packing,
     personal,
     quality,
+    secrets,
     simhash,
     spelling,
     suffixes,
@@ -38,6 +39,7 @@ QUERIES: dict[str, Query] = {
     "op10_repeated_spans": lambda spark, sf_dir: automata.report(documents(spark, sf_dir)),
     "op11_merkle_manifest": lambda spark, sf_dir: manifest.report(documents(spark, sf_dir)),
     "op12_spelling_variants": lambda spark, sf_dir: spelling.report(documents(spark, sf_dir)),
+    "op13_secret_scan": lambda spark, sf_dir: secrets.report(documents(spark, sf_dir)),
 }
 
 ORACLE_SQL: dict[str, str] = {
