@@ -133,6 +133,9 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Con
             for k, c in found:
                 left[k] -= times * c
     whole.update(best_fit(lengths, left, capacity))
+    # Rounding can cost more than the program gains where few pieces have many lengths.
+    plain = best_fit(lengths, np.array([histogram[k] for k in lengths.tolist()], np.int64), capacity)
+    whole = min(whole, plain, key=Counter.total)
     named: Counter[Configuration] = Counter()
     for found, times in whole.items():
         named[tuple((int(lengths[k]), c) for k, c in found)] += times
