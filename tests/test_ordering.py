@@ -17,11 +17,18 @@ def sample(seed=7, n=400):
     return pd.DataFrame(rows, columns=["id", "g", "v", "w"])
 
 
-def test_quantiles_equal_pandas(spark):
+@pytest.mark.parametrize("gathered", [1 << 18, 150, 0])
+@pytest.mark.parametrize("sizes", [None, "id >= 0"])
+def test_quantiles_equal_pandas(spark, gathered, sizes):
     pdf = sample()
     df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "id int, g string, v double, w int")
     got = ordering.quantiles(
-        df, ["g"], {"v": F.col("v"), "w": F.col("w")}, {"_p25": 0.25, "_p50": 0.5, "_p75": 0.75}
+        df,
+        ["g"],
+        {"v": F.col("v"), "w": F.col("w")},
+        {"_p25": 0.25, "_p50": 0.5, "_p75": 0.75},
+        sizes and df.where(sizes).groupBy("g").agg((2 * F.count("*")).alias("_n")),
+        gathered,
     ).toPandas()
     want = pdf.groupby("g")[["v", "w"]].quantile([0.25, 0.5, 0.75])
     assert len(got) == pdf.g.nunique()
@@ -33,15 +40,16 @@ def test_quantiles_equal_pandas(spark):
 
 def test_a_group_without_values_keeps_its_row(spark):
     df = spark.createDataFrame([("a", None), ("a", None), ("b", 2.0), (None, 4.0)], "g string, v double")
-    got = [(r.g, r.m) for r in ordering.medians(df, ["g"], {"m": F.col("v")}).collect()]
-    assert sorted(got, key=str) == sorted([("a", None), ("b", 2.0), (None, 4.0)], key=str)
+    for gathered in (10, 1, 0):
+        got = [(r.g, r.m) for r in ordering.quantiles(df, ["g"], {"m": F.col("v")}, {"": 0.5}, None, gathered).collect()]
+        assert sorted(got, key=str) == sorted([("a", None), ("b", 2.0), (None, 4.0)], key=str)
 
 
 def test_a_narrow_band_of_values_is_split(spark):
     """200,000 values in few logarithmic buckets: no part that is ordered holds more than a few hundred."""
     df = spark.range(200_000).select(F.lit("g").alias("g"), (100 + F.col("id") / 200_000).alias("v"))
     assert df.select(ordering.value_bucket(F.col("v"))).distinct().count() <= 4
-    got = ordering.quantiles(df, ["g"], {"v": F.col("v")}, {"_a": 0.25, "_b": 0.5}).first()
+    got = ordering.spread_quantiles(df, ["g"], {"v": F.col("v")}, {"_a": 0.25, "_b": 0.5}).first()
     assert (got.v_a, got.v_b) == (pytest.approx(100 + 0.25 * 199_999 / 200_000), pytest.approx(100 + 0.5 * 199_999 / 200_000))
 
 

@@ -481,7 +481,11 @@ def feature_metrics(outcomes: DataFrame, totals: DataFrame, ranked: DataFrame) -
     )
     selected = (F.col("pair_count") >= MIN_COHORT) & F.col("feature_top")
     middle = quantiles(
-        ranked, PAIR, {"_all": F.col("outcome"), "_picked": F.when(selected, F.col("outcome"))}, {"": 0.5}
+        ranked,
+        PAIR,
+        {"_all": F.col("outcome"), "_picked": F.when(selected, F.col("outcome"))},
+        {"": 0.5},
+        candidates.withColumnRenamed("_candidates", "_n"),
     )
     joined = (
         feature_registry(totals)
@@ -579,7 +583,9 @@ def segment_metrics(outcomes: DataFrame, totals: DataFrame) -> DataFrame:
             *[F.sum(c).alias(f"_{c}") for c in ("rows", "n", "total", "flagged", "top", "positive")],
         )
     )
-    middle = quantiles(rows, keys, {"_q": F.col("outcome")}, QUARTILES)
+    # No segment of a horizon has more rows than the horizon.
+    sizes = outcomes.groupBy(*horizon).agg(F.count(F.lit(1)).alias("_n"))
+    middle = quantiles(rows, keys, {"_q": F.col("outcome")}, QUARTILES, sizes)
     rate = share(F.col("_top"), F.col("_flagged"))
     base_rate = share(F.col("_all_top"), F.col("_all_population"))
     top_low, top_high = wilson_bounds(F.col("_top"), F.col("_flagged"))

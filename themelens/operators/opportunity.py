@@ -721,6 +721,8 @@ def dimension_metrics(facts: DataFrame, totals: DataFrame, themes: DataFrame) ->
             "downloads_median_per_covered_product": F.col("units_absolute"),
             "revenue_usd_median_per_covered_product": F.col("revenue_absolute"),
         },
+        # No label of a theme has more rows than the theme.
+        themes.select(*THEME, F.col("product_count").alias("_n")),
     )
     theme = themes.select(
         *THEME,

@@ -18,6 +18,9 @@ BUCKETS_PER_E_FOLD = 256
 #: Parts into which a bucket that holds a wanted position is cut.
 CELLS = 4096
 
+#: Rows of a group up to which its values are gathered in one aggregation buffer.
+GATHERED = 1 << 18
+
 
 def value_bucket(value: Column) -> Column:
     """Non-decreasing bucket number: logarithmic, so heavy-tailed measures spread evenly.
@@ -40,13 +43,44 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit:
 
 
 def quantiles(
-    df: DataFrame, keys: Sequence[str], values: Mapping[str, Column], fractions: Mapping[str, float]
+    df: DataFrame,
+    keys: Sequence[str],
+    values: Mapping[str, Column],
+    fractions: Mapping[str, float],
+    sizes: DataFrame | None = None,
+    gathered: int = GATHERED,
 ) -> DataFrame:
-    """Exact linear quantiles of several columns per group, the same way for groups of any size.
+    """Exact linear quantiles of several columns per group, for groups of any size.
 
     ``values`` maps a name to a column and ``fractions`` a suffix to a fraction; the result has one column
     ``name + suffix`` each. NULL values are left out; a group without any value keeps its row, with NULLs.
 
+    Groups of up to ``gathered`` rows are aggregated in one pass: their buffers are bounded. Larger ones, of which there
+    are at most rows / ``gathered``, are taken by :func:`spread_quantiles`. ``sizes`` (some of the keys and ``_n``, at
+    least the rows of each such group) tells them apart without a count, if it is at hand.
+    """
+    if sizes is None:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    known = [c for c in sizes.columns if c != "_n"]
+    large = sizes.where(F.col("_n") > gathered).select(F.struct(*known).alias("_large"))
+    names = [f"{n}{x}" for n in values for x in fractions]
+    columns = [
+        F.percentile(column.cast("double"), F.lit(float(fraction))).alias(f"{name}{suffix}")
+        for name, column in values.items()
+        for suffix, fraction in fractions.items()
+    ]
+    if large.isEmpty():
+        return df.groupBy(*keys).agg(*columns).select(*keys, *names)
+    same = F.struct(*known) == F.col("_large")
+    small = df.join(large, same, "left_anti").groupBy(*keys).agg(*columns)
+    return small.select(*keys, *names).unionByName(spread_quantiles(df.join(large, same, "left_semi"), keys, values, fractions))
+
+
+def spread_quantiles(
+    df: DataFrame, keys: Sequence[str], values: Mapping[str, Column], fractions: Mapping[str, float]
+) -> DataFrame:
+    """The same as :func:`quantiles` without a bound on the rows of a group or on its different values.
+
     Equal values are counted (combined before the shuffle). The counts of logarithmic buckets tell which buckets hold a
     wanted position; those buckets are cut again into ``CELLS`` equal parts between their least and greatest value, so a
     narrow band of values is split as well, and values are ordered only inside the parts that hold a wanted position.
@@ -119,8 +153,10 @@ def quantiles(
     return counted.select("_g").distinct().join(outputs, "_g", "left").select("_g.*", *names)
 
 
-def medians(df: DataFrame, keys: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
-    return quantiles(df, keys, values, {"": 0.5})
+def medians(
+    df: DataFrame, keys: Sequence[str], values: Mapping[str, Column], sizes: DataFrame | None = None
+) -> DataFrame:
+    return quantiles(df, keys, values, {"": 0.5}, sizes)
 
 
 def position_by_value_desc(
