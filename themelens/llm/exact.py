@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from themelens.llm.common import SPACE, Bitmap, body, row_key, select_rows, stored
+from themelens.llm.common import SPACE, Bitmap, body, broadcast_if_small, row_key, select_rows, stored
 
 
 class CountingQuotientFilter:
@@ -164,15 +164,17 @@ def classes(docs: DataFrame) -> DataFrame:
         .select(F.sha2(F.col("bytes").cast("binary"), 256).alias("sha"), "group_size"),
         "groups",
     )
-    distinct = stored(
-        keys.groupBy("doc_id", "key", "sha").agg(F.first("length").alias("length"), F.count("*").alias("copies")), "distinct"
-    )
+    # The first of a group by its digest: minima combine before the shuffle, so the copies of a text do not meet.
     order = F.struct(-F.col("length"), F.col("doc_id").isNull(), F.col("doc_id"), "key")
-    first = distinct.join(groups, "sha").groupBy("sha", "group_size").agg(
-        F.min(F.struct(order.alias("o"), "doc_id", "key")).alias("first")
+    often = keys.where(routed("fingerprint")).groupBy("sha").agg(F.min(F.struct(order.alias("o"), "doc_id", "key")).alias("first"))
+    first = stored(
+        often.join(groups, "sha").select(
+            "sha", "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.key").alias("keep_key")
+        ),
+        "first",
     )
-    first = first.select("sha", "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.key").alias("keep_key"))
-    found = distinct.join(first, "sha", "left")
+    distinct = keys.groupBy("doc_id", "key", "sha").agg(F.count("*").alias("copies"))
+    found = distinct.join(broadcast_if_small(first), "sha", "left")
     return found.select(
         "key",
         "doc_id",
