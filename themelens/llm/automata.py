@@ -13,11 +13,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themelens.llm.common import chunks
-from themelens.llm.repeats import Pieces, Units, covered, cut_at, hashes, sums, with_spans
+from themelens.llm.repeats import HOT, Pieces, Units, covered, cut_at, hashes, sums, with_spans
 
 #: Fixed value of the contract.
 WINDOW = 35
@@ -27,8 +28,9 @@ _CODES = np.random.default_rng(10).integers(1, 1 << 63, 256, np.uint64) * np.uin
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-#: Bytes whose words are hashed at once.
+#: Bytes whose words are hashed at once; length from which a word's code is a hash of its bytes in one call.
 BYTES_AT_ONCE = 1 << 20
+LONG_WORD = 1 << 12
 
 
 class SuffixAutomaton:
@@ -115,11 +117,18 @@ class Words(Units):
             start = 0
             while start < len(text):
                 end = min(start + BYTES_AT_ONCE, len(text))
-                if end < len(text):  # up to the last white space, so that no word is cut
-                    spaces = np.flatnonzero(_SPACE[text[start:end]])
-                    end = start + int(spaces[-1]) + 1 if len(spaces) else len(text)
-                first, last, codes = words_of(text[start:end], np.zeros(1, np.int64))
-                parts.append((first + start, last + start, codes))
+                spaces = np.flatnonzero(_SPACE[text[start:end]])
+                if end == len(text) or len(spaces):  # up to the last white space, so that no word is cut
+                    end = end if end == len(text) else start + int(spaces[-1]) + 1
+                    first, last, codes = words_of(text[start:end], np.zeros(1, np.int64))
+                    parts.append((first + start, last + start, codes))
+                else:  # one word, whose end lies further on
+                    while end < len(text) and not len(spaces):
+                        further = min(end + BYTES_AT_ONCE, len(text))
+                        spaces = np.flatnonzero(_SPACE[text[end:further]])
+                        end = end + int(spaces[0]) if len(spaces) else further
+                    ends = np.array([start]), np.array([end])
+                    parts.append((*ends, long_codes(text, *ends)))
                 start = end
             if parts:
                 first, last, codes = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -129,11 +138,6 @@ class Words(Units):
     def content(self, pieces: Pieces, start: int, end: int) -> bytes:
         return b" ".join(pieces.data[pieces.first[start] : pieces.last[end - 1]].tobytes().split())
 
-    def windows(self, content: bytes) -> Iterator[bytes]:
-        words = content.split(b" ")
-        for start in range(len(words) - WINDOW + 1):
-            yield b" ".join(words[start : start + WINDOW])
-
     def repeated(self, snippets: list[bytes], weights: list[int]) -> Iterable[np.ndarray]:
         names: dict[bytes, int] = {}
         sequences = [[names.setdefault(w, len(names)) for w in x.split(b" ")] for x in snippets]
@@ -156,7 +160,14 @@ def words_of(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     before = starts[starts > 0] - 1
     ends[before] = letter[before]
     first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    return first, last, hashes(sums(_CODES[data]), first, last)
+    codes = hashes(sums(_CODES[data]), first, last)
+    long = np.flatnonzero(last - first >= LONG_WORD)
+    codes[long] = long_codes(data, first[long], last[long])
+    return first, last, codes
+
+
+def long_codes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(first.tolist(), last.tolist(), strict=True)], np.uint64)
 
 
 class Spelled(Pieces):
@@ -165,7 +176,7 @@ class Spelled(Pieces):
         self.data, self.first, self.last = data, first, last
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, removed (maximal runs of removed words) and kept (words joined by one space) of every row.
 
     A null text has no words. Texts of fewer words than the window stay. Equal rows repeat each other.
@@ -187,7 +198,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_words", "removed", "kept"],
             )
 
-    rows = with_spans(docs, Words())
+    rows = with_spans(docs, Words(), hot)
     schema = rows.select(
         "doc_id",
         F.lit(0).cast("long").alias("n_words"),
@@ -197,10 +208,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(cut, schema)
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256."""
     total = F.aggregate("removed", F.lit(0).cast("long"), lambda n, run: n + run["end"] - run["start"])
-    return remove_repeats(docs).select(
+    return remove_repeats(docs, hot).select(
         "doc_id", "n_words", total.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256")
     )
 

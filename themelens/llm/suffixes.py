@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themelens.llm.common import chunks
-from themelens.llm.repeats import Pieces, Units, covered, cut_at, with_spans
+from themelens.llm.repeats import HOT, Pieces, Units, covered, cut_at, with_spans
 
 #: Fixed value of the contract.
 WINDOW = 200
@@ -81,10 +81,6 @@ class Bytes(Units):
     def content(self, pieces: Pieces, start: int, end: int) -> bytes:
         return pieces.data[start:end].tobytes()
 
-    def windows(self, content: bytes) -> Iterator[bytes]:
-        for start in range(len(content) - WINDOW + 1):
-            yield content[start : start + WINDOW]
-
     def repeated(self, snippets: list[bytes], weights: list[int]) -> Iterable[np.ndarray]:
         data = np.frombuffer(b"".join(snippets), np.uint8)
         lengths = np.array([len(x) for x in snippets])
@@ -111,7 +107,7 @@ class Raw(Pieces):
         self.data = data
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, removed (maximal runs of removed bytes) and kept (the remaining bytes) of every row.
 
     A null text has no bytes. Texts shorter than the window stay. Equal rows repeat each other and lose all windows.
@@ -132,7 +128,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_bytes", "removed", "kept"],
             )
 
-    rows = with_spans(docs, Bytes())
+    rows = with_spans(docs, Bytes(), hot)
     schema = rows.select(
         "doc_id",
         F.lit(0).cast("long").alias("n_bytes"),
@@ -142,10 +138,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(cut, schema)
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256."""
     total = F.aggregate("removed", F.lit(0).cast("long"), lambda n, run: n + run["end"] - run["start"])
-    return remove_repeats(docs).select(
+    return remove_repeats(docs, hot).select(
         "doc_id",
         "n_bytes",
         total.alias("n_removed"),
