@@ -141,9 +141,13 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(rows, model).select("row.doc_id", "row.held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, floor: float = 0.5) -> DataFrame:
-    """Documents with a determined language of posterior ``floor`` or more, all columns; the rest are rejected."""
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """Documents with a determined language, all columns; texts that are null or without a letter are rejected.
+
+    Without any row to learn from no language is known, and what has a letter stays. Repeated rows stay repeated.
+    """
     model = train(docs.where(remainder() != 1))
     rows = docs.select(F.struct("*").alias("row"), body().alias("text"))
-    kept = predict(rows, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= floor))
-    return kept.select("row.*")
+    if not model.languages:
+        return rows.where(F.regexp_like("text", F.lit(r"\p{L}"))).select("row.*")
+    return predict(rows, model).where(F.col("lang_pred") != UNDETERMINED).select("row.*")
