@@ -11,7 +11,14 @@ from themelens.operators import calendar, quality, reconcile
 from themelens.plans.stages import Stages
 from themelens.session import scratch_dir
 from themelens.sources import market_json
-from themelens.sources.store import PeriodStore, StaleVersionError, export_sorted, readback_differences, upsert_metadata
+from themelens.sources.store import (
+    PeriodTable,
+    export_sorted,
+    readback_differences,
+    replace_period,
+    replace_range,
+    upsert_metadata,
+)
 
 FLAT = [
     {"app_id": 7, "country": "US", "date": "2024-01-31T00:00:00Z", "units_absolute": 5, "custom_tags": {"Game Theme": "Farm", "Game Genre": " Puzzle", "Release Date (WW)": "2020/02/30"}},
@@ -77,43 +84,39 @@ def test_cache_age_limit_is_inclusive(spark):
 
 def test_replacing_a_range_is_repeatable_and_clears_empty_periods(spark):
     rows, _ = frames(spark, [snapshot((2024, m), f"a{i}", i + 1, "T", 1.0, 1.0) for m in (1, 2, 3) for i in range(3)], [metadata("a", None)])
-    store = PeriodStore(spark, scratch_dir(spark))
-    rows = rows.unionByName(rows.where("period_start < '2024-02-15'").withColumn("scope_name", F.lit("other")))
+    rows = rows.unionByName(rows.where("period_start < '2024-02-15'").withColumn("scope_name", F.lit("7 a/b=%")))
+    rows = rows.unionByName(rows.withColumn("cadence", F.lit("weekly")))
+    table = PeriodTable(spark, scratch_dir(spark), rows.schema)
+    assert table.read().isEmpty() and table.periods() == []
     everything = [tuple(row) for row in rows.select(*PERIOD).distinct().collect()]
-    months = {p[2].month: p for p in everything if p[0] != "other"}
-    store.replace_range({"snapshots": rows}, everything)
-    store.replace_range({"snapshots": rows}, everything)
-    assert readback_differences(rows, store.read("snapshots")).isEmpty()
-    less = rows.where("period_start = '2024-02-01' and rank_position = 1")
-    less = less.where("scope_name <> 'other'")
-    store.replace_range({"snapshots": less, "other": less}, [months[2], months[3]])
-    counts = store.read("snapshots").groupBy("scope_name", "period_start").agg(F.count(F.lit(1)).alias("n"))
-    kept = {(r.scope_name == "other", r.period_start.month, r.n) for r in counts.collect()}
-    assert kept == {(False, 1, 3), (False, 2, 1), (True, 1, 3), (True, 2, 3)}  # the other scope survives
-    assert store.read("other").count() == 1
-    with pytest.raises(ValueError):
-        store.replace_range({"snapshots": rows}, [months[1]])
-    assert store.read("snapshots").count() == 10  # the refused write changed nothing
-    with pytest.raises(LookupError):
-        store.read("snapshots", [months[3]])
-
-
-def test_a_writer_that_began_before_another_committed_is_refused(spark, monkeypatch):
-    rows, _ = frames(spark, [snapshot((2024, m), "a", 1, "T", 1.0, 1.0) for m in (1, 2)], [metadata("a", None)])
-    periods = [tuple(row) for row in rows.select(*PERIOD).orderBy("period_start").collect()]
-    root = scratch_dir(spark)
-    slow, fast = PeriodStore(spark, root), PeriodStore(spark, root)
-    written = slow._written
-
-    def overtaken(path, values):
-        if not values:
-            fast.replace_period("t", rows.where("month(period_start) = 2"), periods[1])
-        return written(path, values)
-
-    monkeypatch.setattr(slow, "_written", overtaken)
-    with pytest.raises(StaleVersionError):
-        slow.replace_period("t", rows.where("month(period_start) = 1"), periods[0])
-    assert [r.period_start.month for r in fast.read("t").collect()] == [2]
+    for _ in range(2):
+        replace_range({table: rows}, everything)
+    assert readback_differences(rows, table.read()).isEmpty() and table.read().dtypes == rows.dtypes
+    assert table.periods() == sorted(tuple(map(str, p)) for p in everything)
+    months = {p[2].month: p for p in everything if p[:2] == ("s", "monthly")}
+    less = rows.where("period_start = '2024-02-01' and rank_position = 1 and scope_name = 's' and cadence = 'monthly'")
+    replace_range({table: less}, [months[2], months[3]])
+    counts = table.read().groupBy("scope_name", "cadence", F.month("period_start").alias("m")).agg(F.count(F.lit(1)).alias("n"))
+    kept = {tuple(r) for r in counts.where("scope_name = 's'").collect()}
+    weekly = {("s", "weekly", m, 3) for m in (1, 2, 3)}
+    assert kept == weekly | {("s", "monthly", 1, 3), ("s", "monthly", 2, 1)}  # the other cadence survives
+    assert table.read([months[2]]).count() == 1 and table.read([months[3]]).isEmpty()
+    before = table.read().count()
+    with pytest.raises(Exception, match="outside the target range"):
+        replace_range({table: rows}, [months[1]])
+    assert table.read().count() == before  # the refused write changed nothing
+    replace_period(table, less.limit(0), months[2])
+    assert months[2] not in {tuple(p) for p in table.read().select(*PERIOD).distinct().collect()}
+
+
+def test_only_folders_of_the_wanted_periods_are_read(spark):
+    rows, _ = frames(spark, [snapshot((2024, m), "a", 1, "T", 1.0, 1.0) for m in range(1, 13)], [metadata("a", None)])
+    table = PeriodTable(spark, scratch_dir(spark), rows.schema)
+    table.write(rows)
+    wanted = [tuple(row) for row in rows.where("month(period_start) in (3, 4)").select(*PERIOD).collect()]
+    read = table.read(wanted)
+    assert read.count() == 2
+    assert "PartitionFilters: [period_start" in read._jdf.queryExecution().executedPlan().toString()
 
 
 def test_upsert_export_and_missing_months(spark):

@@ -42,15 +42,16 @@ def column_expression(name: str) -> str:
     return f"floor({name}::DOUBLE * 1000000.0::DOUBLE + 0.50001::DOUBLE) / 1000000.0::DOUBLE AS {name}"
 
 
-#: Scopes of the test data, and how the text of a block names the one it is computed for.
+#: Scopes of the test data, and the parameter of the scope that a query's text is computed for.
 SCOPES = ("market", "niche")
-SCOPE = "'market'"
+SCOPE = "$scope"
 
 
-def query(columns: str, tail: str, *blocks: str, merge: str = "") -> str:
+def query(columns: str, tail: str, *blocks: str, merge: str = "", changed: str = "") -> str:
     """``columns`` (blank separated) of ``tail`` on top of the named blocks and everything they need.
 
     Results of the scopes are put together: all rows, or with ``merge`` the distinct ones or sums of ``row_count``.
+    ``changed`` selects from ``{snap}``, the snapshots, what everything is computed from instead.
     """
     needed: list[str] = []
 
@@ -65,7 +66,10 @@ def query(columns: str, tail: str, *blocks: str, merge: str = "") -> str:
 
     for name in blocks or [b for b in BLOCKS if re.search(rf"\b{b}\b", tail)]:
         add(name)
-    ctes = ",\n".join(f"{name} AS MATERIALIZED ({BLOCKS[name]})" for name in needed)
+    texts = {name: BLOCKS[name] for name in needed}
+    if changed:
+        texts["snap"] = changed.format(snap=f"({texts['snap']})")
+    ctes = ",\n".join(f"{name} AS MATERIALIZED ({text})" for name, text in texts.items())
     selected = ",\n  ".join(column_expression(c) for c in columns.split())
     if not needed:
         return f"SELECT {selected}\n{tail}"
@@ -97,10 +101,10 @@ BLOCKS: dict[str, str] = {}
 BLOCKS["sold"] = """
   SELECT date_trunc('month', l_shipdate)::DATE AS period_start, l_partkey,
          round(sum(l_quantity), 2) AS units, round(sum(l_extendedprice), 2) AS revenue
-  FROM lineitem WHERE (l_suppkey % 3 = 0) = ('market' = 'niche') GROUP BY 1, 2"""
+  FROM lineitem WHERE (l_suppkey % 3 = 0) = ($scope = 'niche') GROUP BY 1, 2"""
 BLOCKS["shipped"] = "SELECT l_partkey, min(l_shipdate)::DATE AS first_shipped, min(l_suppkey) AS s FROM lineitem GROUP BY 1"
 BLOCKS["snap"] = """
-  SELECT 'market' AS scope_name, 'monthly' AS cadence, period_start, last_day(period_start) AS period_end,
+  SELECT $scope AS scope_name, 'monthly' AS cadence, period_start, last_day(period_start) AS period_end,
     row_number() OVER (PARTITION BY period_start ORDER BY units DESC, k) AS rank_position,
     k::VARCHAR AS source_app_id, k::VARCHAR AS unified_app_id,
     'WW' AS scope_country, 'total' AS device_type, 7003 AS category, 'DM_2025_Q2' AS data_model,
@@ -805,7 +809,7 @@ BLOCKS["correlation_heads"] = f"""
   SELECT *, positive_spearman_cohort_count / correlation_cohort_count::DOUBLE AS positive_spearman_cohort_ratio,
     {wilson('positive_spearman_cohort_count', 'correlation_cohort_count', True)} AS positive_spearman_ci_low,
     {wilson('positive_spearman_cohort_count', 'correlation_cohort_count', False)} AS positive_spearman_ci_high
-  FROM (SELECT 'market' AS scope_name, 'monthly' AS cadence, outcome_horizon_months, feature_name, outcome_name, count(*) AS correlation_cohort_count, avg(spearman) AS mean_spearman,
+  FROM (SELECT $scope AS scope_name, 'monthly' AS cadence, outcome_horizon_months, feature_name, outcome_name, count(*) AS correlation_cohort_count, avg(spearman) AS mean_spearman,
       quantile_cont(spearman, 0.5) AS median_spearman, quantile_cont(spearman, 0.25) AS p25_spearman, quantile_cont(spearman, 0.75) AS p75_spearman,
       count(*) FILTER (round(spearman, 12) > 0) AS positive_spearman_cohort_count FROM correlations GROUP BY ALL)"""
 _positive = "y > 0 AND NOT abs(y) <= greatest(1e-9 * abs(y), 1e-12)"
@@ -859,7 +863,7 @@ BLOCKS["segment_rows"] = "\n UNION ALL ".join(
     for x in SEGMENTS
 )
 BLOCKS["segment_results"] = f"""
-  SELECT 'market' AS scope_name, 'monthly' AS cadence, (SELECT min(period_start) FROM totals) AS backtest_start,
+  SELECT $scope AS scope_name, 'monthly' AS cadence, (SELECT min(period_start) FROM totals) AS backtest_start,
     (SELECT max(period_start) FROM totals) AS backtest_end, s.*, 'BACKTEST001_V1' AS backtest_policy_version,
     eligible_row_count / candidate_row_count::DOUBLE AS coverage_ratio, candidate_row_count / all_rows::DOUBLE AS segment_row_share,
     top / nullif(flagged, 0)::DOUBLE AS future_top_quintile_rate, flagged AS future_top_quintile_eligible_count, top AS future_top_quintile_count,

@@ -25,10 +25,11 @@ from themelens.operators import (
     trend,
 )
 from themelens.plans import oracle as sql
+from themelens.plans import refresh
 from themelens.plans.stages import Stages, run_for
 from themelens.session import scratch_dir
 from themelens.sources import driver_tables, market_json
-from themelens.sources.store import PeriodStore, export_sorted, readback_differences, upsert_metadata
+from themelens.sources.store import PeriodTable, export_sorted, only_periods, readback_differences, replace_period, replace_range, upsert_metadata
 
 
 @dataclass(frozen=True)
@@ -69,11 +70,18 @@ def comparable(df: DataFrame) -> DataFrame:
 
 
 def simple(
-    name: str, build: Callable[[Stages], DataFrame], columns: str, tail: str, *blocks: str, merge: str = ""
+    name: str,
+    build: Callable[[Stages], DataFrame],
+    columns: str,
+    tail: str,
+    *blocks: str,
+    merge: str = "",
+    changed: str = "",
 ) -> None:
     """Query over the stage tables, cut to the columns the reference SQL selects."""
     names = columns.split()
-    QUERIES[name] = Query(lambda run, spark, sf_dir: build(run).select(*names), sql.query(columns, tail, *blocks, merge=merge))
+    text = sql.query(columns, tail, *blocks, merge=merge, changed=changed)
+    QUERIES[name] = Query(lambda run, spark, sf_dir: build(run).select(*names), text)
 
 
 TC, PC = sql.THEME_COLUMNS, sql.PERIOD_COLUMNS
@@ -414,7 +422,7 @@ simple(
     "oriented_spearman",
     lambda run: backtest.oriented_spearman(run.table("ranked_pairs")),
     f"{PAIR} decision_period_start spearman",
-    "FROM (SELECT 'market' AS scope_name, 'monthly' AS cadence, * FROM correlations)",
+    "FROM (SELECT $scope AS scope_name, 'monthly' AS cadence, * FROM correlations)",
 )
 simple(
     "spearman_distribution",
@@ -426,13 +434,13 @@ simple(
     "top_quintile_lift",
     lambda run: backtest.top_quintile_lift(run.table("ranked_pairs")),
     f"{PAIR} {sql.LIFT_COLUMNS}",
-    f"FROM (SELECT 'market' AS scope_name, 'monthly' AS cadence, *, {sql._lift} FROM pair_counts)",
+    f"FROM (SELECT $scope AS scope_name, 'monthly' AS cadence, *, {sql._lift} FROM pair_counts)",
 )
 simple(
     "positive_change_rate",
     lambda run: backtest.positive_change_rates(run.table("ranked_pairs")),
     f"{PAIR} {sql.POSITIVE_COLUMNS}",
-    f"FROM (SELECT 'market' AS scope_name, 'monthly' AS cadence, *, {sql._positives} FROM pair_counts) WHERE outcome_name LIKE '%absolute_change'",
+    f"FROM (SELECT $scope AS scope_name, 'monthly' AS cadence, *, {sql._positives} FROM pair_counts) WHERE outcome_name LIKE '%absolute_change'",
 )
 simple(
     "backtest_feature_metrics",
@@ -762,34 +770,37 @@ def _periods(totals: DataFrame) -> list[tuple]:
     return [tuple(row) for row in totals.select(*PERIOD).collect()]
 
 
+def _period_table(run: Stages, rows: DataFrame) -> PeriodTable:
+    """``rows`` as a table of their own, partitioned by period."""
+    table = PeriodTable(run.spark, scratch_dir(run.spark), rows.schema)
+    table.write(rows)
+    return table
+
+
 def _replaced(run: Stages) -> DataFrame:
     """All months of two cadences stored, then two months of one replaced: February by fewer rows, March by none."""
-    store = PeriodStore(run.spark, scratch_dir(run.spark))
-    both = [df.unionByName(df.withColumn("cadence", F.lit("weekly"))) for df in (run.themes, run.totals)]
-    store.replace_range({"themes": both[0], "totals": both[1]}, _periods(both[1]))
+    table = _period_table(run, run.themes.unionByName(run.themes.withColumn("cadence", F.lit("weekly"))))
     target = (F.col("scope_name") == "market") & (F.col("cadence") == "monthly") & F.col("period_start").isin(*_REPLACED)
     kept = (F.month("period_start") == 2) & (F.col("product_count") >= 20)
-    store.replace_range({"themes": run.themes.where(target & kept)}, _periods(run.totals.where(target)))
-    return store.read("themes")
+    replace_range({table: run.themes.where(target & kept)}, _periods(run.totals.where(target)))
+    return table.read()
 
 
 simple(
     "replace_range",
     _replaced,
     f"{TC} product_count units_absolute_sum",
-    """FROM (SELECT * FROM themes WHERE scope_name <> 'mar' || 'ket' OR period_start NOT IN (DATE '1995-02-01', DATE '1995-03-01')
+    """FROM (SELECT * FROM themes WHERE scope_name <> 'market' OR period_start NOT IN (DATE '1995-02-01', DATE '1995-03-01')
         OR (period_start = DATE '1995-02-01' AND product_count >= 20)
       UNION ALL SELECT * REPLACE ('weekly' AS cadence) FROM themes)""",
 )
 
 
 def _replaced_snapshots(run: Stages) -> DataFrame:
-    store = PeriodStore(run.spark, scratch_dir(run.spark))
-    store.replace_range({"snapshots": run.snapshots}, _periods(run.totals))
+    table = _period_table(run, run.snapshots)
     period = ("market", "monthly", "1995-03-01", "1995-03-31")
-    march = run.snapshots.where((F.col("period_start") == F.lit(period[2]).cast("date")) & (F.col("scope_name") == period[0]))
-    store.replace_period("snapshots", march.withColumn("units_absolute", F.lit(1.0)), period)
-    return store.read("snapshots").groupBy(*PERIOD).agg(
+    replace_period(table, only_periods(run.snapshots, [period]).withColumn("units_absolute", F.lit(1.0)), period)
+    return table.read().groupBy(*PERIOD).agg(
         F.count(F.lit(1)).alias("snapshot_count"), F.round(F.sum("units_absolute"), 6).alias("downloads_sum")
     )
 
@@ -798,9 +809,74 @@ simple(
     "replace_period",
     _replaced_snapshots,
     f"{PC} snapshot_count downloads_sum",
-    f"""FROM (SELECT {sql.K}, count(*) AS snapshot_count, round(sum(CASE WHEN scope_name = 'mar' || 'ket' AND period_start = DATE '1995-03-01' THEN 1.0 ELSE units_absolute END), 6) AS downloads_sum
+    f"""FROM (SELECT {sql.K}, count(*) AS snapshot_count, round(sum(CASE WHEN scope_name = 'market' AND period_start = DATE '1995-03-01' THEN 1.0 ELSE units_absolute END), 6) AS downloads_sum
       FROM snap GROUP BY {sql.K})""",
 )
+# The range run: two months of one scope sell twice as much, a label leaves them, and what they reach is recomputed.
+_CHANGED = "scope_name = 'market' AND period_start IN (DATE '1995-03-01', DATE '1995-06-01')"
+_PATCH = f"""SELECT * REPLACE (CASE WHEN {_CHANGED} THEN 2 * units_absolute ELSE units_absolute END AS units_absolute,
+    CASE WHEN {_CHANGED} AND game_theme = 'Unknown' THEN NULL ELSE game_theme END AS game_theme) FROM {{snap}}"""
+_CHAIN = ("totals", "themes", "top_ten", "structure", "growth", "scores", "horizons", "seasonality", "summaries", "outcomes")
+_REFRESHED: dict[tuple[str, str], tuple[refresh.RangeRun, dict]] = {}
+
+
+def _refreshed(run: Stages) -> tuple[refresh.RangeRun, dict]:
+    """The stage tables after the change, refreshed once for all queries of an application."""
+    key = (run.spark.sparkContext.applicationId, run.root)
+    if key not in _REFRESHED:
+        stored = refresh.RangeRun(run.spark, run.metadata)
+        stored.load(run, _CHAIN)
+        there = F.expr(_CHANGED)
+        rows = run.snapshots.where(there).withColumns(
+            {
+                "units_absolute": 2 * F.col("units_absolute"),
+                "game_theme": F.when(F.col("game_theme") != "Unknown", F.col("game_theme")),
+            }
+        )
+        _REFRESHED[key] = stored, stored.refresh(rows, _periods(run.totals.where(there)))
+    return _REFRESHED[key]
+
+
+simple(
+    "range_run",
+    lambda run: refresh.summary(run.spark, _refreshed(run)[1]),
+    f"stage_name {PC}",
+    f"""FROM (SELECT DISTINCT stage_name, {sql.K} FROM months CROSS JOIN (VALUES ('snapshots', 0, 0), ('totals', 0, 0), ('themes', 0, 1), ('top_ten', 0, 0),
+        ('structure', 0, 0), ('growth', 0, 1), ('scores', 0, 6), ('horizons', 0, 35), ('seasonality', 0, 35), ('summaries', 0, 9999), ('outcomes', 3, 9999)) r(stage_name, before, after)
+      JOIN (VALUES (DATE '1995-03-01'), (DATE '1995-06-01')) c(month) ON scope_name = 'market'
+        AND period_start BETWEEN month - to_months(before) AND month + to_months(after))""",
+)
+simple(
+    "range_run_structure",
+    lambda run: _refreshed(run)[0].table("structure"),
+    f"{TC} product_count downloads_sum downloads_share median_rank top_1_publisher_downloads_share downloads_product_hhi",
+    "FROM structure",
+    changed=_PATCH,
+)
+simple(
+    "range_run_scores",
+    lambda run: _refreshed(run)[0].table("scores"),
+    f"{TC} window_month_count product_count trend_score trend_rank confidence_score is_actionable exclusion_reason",
+    "FROM scores",
+    changed=_PATCH,
+)
+simple(
+    "range_run_summaries",
+    lambda run: _refreshed(run)[0].table("summaries"),
+    f"{TC} history_month_count first_active_month active_months_to_date direction_6m direction_12m direction_36m"
+    " median_normalized_slope_36m stability_band_12m lifecycle_stage downloads_peak_calendar_month downloads_seasonality_amplitude",
+    "FROM summaries",
+    changed=_PATCH,
+)
+simple(
+    "range_run_outcomes",
+    lambda run: _refreshed(run)[0].table("outcomes"),
+    "scope_name cadence decision_period_start outcome_horizon_months game_theme decision_downloads_share future_downloads_share"
+    " downloads_share_absolute_change downloads_share_change_direction future_downloads_share_percentile future_downloads_share_top_quintile"
+    " decision_top_500_turnover_rate lifecycle_stage",
+    "FROM outcomes",
+    changed=_PATCH,
+)
 simple(
     "upsert_metadata",
     lambda run: upsert_metadata(
@@ -826,10 +902,8 @@ simple("export_sorted_parquet", _exported, f"{TC} trend_rank trend_score is_acti
 def _stored_differently(run: Stages) -> DataFrame:
     """The payload against what a store gives back after a write that counted one too many each May."""
     payload = run.totals.select(*PERIOD, "snapshot_count")
-    store = PeriodStore(run.spark, scratch_dir(run.spark))
     wrong = F.col("snapshot_count") + F.when(F.month("period_start") == 5, 1).otherwise(0)
-    store.replace_range({"totals": payload.withColumn("snapshot_count", wrong)}, _periods(payload))
-    return readback_differences(payload, store.read("totals"))
+    return readback_differences(payload, _period_table(run, payload.withColumn("snapshot_count", wrong)).read())
 
 
 simple(
@@ -846,7 +920,7 @@ simple(
         run.snapshots.where((F.month("period_start") != 2) | (F.col("scope_name") != "market")),
     ),
     PC,
-    "FROM months WHERE month(period_start) = 2 AND scope_name = 'mar' || 'ket'",
+    "FROM months WHERE month(period_start) = 2 AND scope_name = 'market'",
 )
 
 # Quality.
@@ -896,7 +970,7 @@ simple(
     _with_missing,
     f"{PC} status snapshot_count downloads_coverage_ratio downloads_sum ranks_are_contiguous",
     """FROM (SELECT scope_name, cadence, period_start, period_end, status, snapshot_count, downloads_coverage_ratio, downloads_sum, ranks_are_contiguous FROM quality
-      UNION ALL SELECT 'market', 'monthly', m::DATE, last_day(m::DATE), 'missing', 0, NULL, NULL, FALSE
+      UNION ALL SELECT $scope, 'monthly', m::DATE, last_day(m::DATE), 'missing', 0, NULL, NULL, FALSE
       FROM (SELECT max(period_start) + to_months(unnest([1, 2])) AS m FROM quality))""",
 )
 simple(
@@ -904,7 +978,7 @@ simple(
     lambda run: quality.range_summary(_with_missing(run), run.snapshots),
     "scope_name requested_month_count present_month_count missing_month_count total_snapshot_count minimum_snapshot_count maximum_snapshot_count"
     " average_snapshots structural_issue_count provenance_variant_count structurally_complete",
-    """FROM (SELECT 'market' AS scope_name, count(*) + 2 AS requested_month_count, count(*) AS present_month_count, 2 AS missing_month_count,
+    """FROM (SELECT $scope AS scope_name, count(*) + 2 AS requested_month_count, count(*) AS present_month_count, 2 AS missing_month_count,
       sum(snapshot_count) AS total_snapshot_count, min(snapshot_count) AS minimum_snapshot_count, max(snapshot_count) AS maximum_snapshot_count,
       avg(snapshot_count) AS average_snapshots, sum(structural_issue_count) AS structural_issue_count, 1 AS provenance_variant_count, FALSE AS structurally_complete FROM quality)""",
 )

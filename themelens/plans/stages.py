@@ -40,6 +40,10 @@ class Stages:
             self._tables[name] = self.spark.read.parquet(path)
         return self._tables[name]
 
+    def hold(self, name: str, rows: DataFrame) -> None:
+        """Take ``rows`` as the table of a stage instead of computing it."""
+        self._tables[name] = rows
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

@@ -1,102 +1,109 @@
-"""Period-replacing Parquet tables that several stages switch together.
+"""Period tables: Parquet partitioned by period, replaced by Spark's dynamic partition overwrite.
 
-Every write goes to a new directory; a small manifest of (table, period, path) rows is written last and decides what
-readers see. A period is (scope_name, cadence, period_start, period_end), so scopes and cadences that begin on one day
-are replaced apart. A replacement costs only the replaced periods, a target period without rows simply loses its entry,
-and a failed run leaves the previous manifest in force.
+A period is (scope_name, cadence, period_start, period_end), so scopes and cadences that begin on one day are replaced
+apart. A write commits all of its periods together or none; target periods without rows are cleared after it by removing
+their folders. Replacing is idempotent: a failed run is repeated. Concurrent writers are a table format's business.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Collection, Mapping, Sequence
+from collections.abc import Collection, Iterable, Mapping, Sequence
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from themelens.constants import PERIOD
 
-#: (scope_name, cadence, period_start, period_end), dates as ISO text.
-Period = tuple[str, str, str, str]
-
-_KEYS = tuple(f"{name}_key" for name in PERIOD)
-_MANIFEST = "table_name string, " + ", ".join(f"{name} string" for name in PERIOD) + ", path string"
-
-
-class StaleVersionError(RuntimeError):
-    """Another writer has committed since this one began; nothing of this write is visible."""
-
-
-class PeriodStore:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
-        self.root = root.rstrip("/")
-
-    def _names(self, path: str) -> list[str]:
-        """Names in a folder; none if it does not exist."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return [file.getPath().getName() for file in files.listStatus(folder)] if files.exists(folder) else []
-
-    def _version(self) -> int:
-        """Number of the newest finished manifest, 0 before the first."""
-        names = self._names(f"{self.root}/manifest")
-        done = [name for name in names if "_SUCCESS" in self._names(f"{self.root}/manifest/{name}")]
-        return max((int(name.removeprefix("v=")) for name in done), default=0)
-
-    def manifest(self, version: int | None = None) -> list[tuple[str, Period, str]]:
-        """(table, period, path) of a version; their number is periods times tables, never rows of data."""
-        version = self._version() if version is None else version
-        if not version:
-            return []
-        rows = self.spark.read.schema(_MANIFEST).json(f"{self.root}/manifest/v={version}").collect()
-        return [(row[0], tuple(row[1:-1]), row[-1]) for row in rows]
-
-    def replace_range(self, tables: Mapping[str, DataFrame], periods: Collection[Period]) -> None:
-        """Replace the given periods in all tables at once.
-
-        Rows outside of ``periods`` are refused; a period without rows is cleared. The new version follows the one that
-        was current at the start; if another writer has taken its number meanwhile, the write is refused.
-        """
-        base, targets = self._version(), {tuple(map(str, period)) for period in periods}
-        entries = [e for e in self.manifest(base) if not (e[0] in tables and e[1] in targets)]
-        for name, rows in tables.items():
-            path = f"{self.root}/data/{name}/{uuid.uuid4().hex}"
-            keyed = rows.withColumns({k: F.col(c).cast("string") for k, c in zip(_KEYS, PERIOD, strict=True)})
-            # Rebalancing sizes the files: small periods share a task, a hot period is split over many.
-            keyed.hint("rebalance", *_KEYS).write.partitionBy(*_KEYS).option("compression", "zstd").parquet(path)
-            # The written folders, not a second pass over the data, tell which periods have rows.
-            written = self._written(path, ())
-            outside = sorted(set(written) - targets)
-            if outside:
-                raise ValueError(f"{name} holds periods outside the target range: {outside}")
-            entries += [(name, period, folder) for period, folder in written.items()]
-        flat = [(name, *period, path) for name, period, path in entries]
-        frame = self.spark.createDataFrame(flat, _MANIFEST).coalesce(1)
-        if f"v={base + 1}" in self._names(f"{self.root}/manifest"):
-            raise StaleVersionError(f"version {base + 1} of {self.root} was written by someone else")
-        frame.write.mode("errorifexists").json(f"{self.root}/manifest/v={base + 1}")
-
-    def _written(self, path: str, values: tuple[str, ...]) -> dict[Period, str]:
-        if len(values) == len(_KEYS):
-            return {values: path}
-        found: dict[Period, str] = {}
-        for name in self._names(path):
-            if name.startswith(f"{_KEYS[len(values)]}="):
-                found |= self._written(f"{path}/{name}", (*values, unquote(name.split("=", 1)[1])))
-        return found
-
-    def replace_period(self, table: str, rows: DataFrame, period: Period) -> None:
-        self.replace_range({table: rows}, [period])
-
-    def read(self, table: str, periods: Collection[Period] | None = None) -> DataFrame:
-        """Rows of the current version, optionally only some periods (whole folders are skipped)."""
-        wanted = None if periods is None else {tuple(map(str, period)) for period in periods}
-        paths = [path for name, period, path in self.manifest() if name == table and (wanted is None or period in wanted)]
-        if not paths:
-            raise LookupError(f"table {table} has no stored rows for the requested periods")
-        return self.spark.read.parquet(*paths)
+#: (scope_name, cadence, period_start, period_end), dates as ISO text or date.
+Period = tuple
+
+_PERIODS = "scope_name string, cadence string, period_start date, period_end date"
+
+
+def period_frame(spark: SparkSession, periods: Iterable[Period]) -> DataFrame:
+    """The periods as rows; they number months times scopes, never rows of data."""
+    named = [tuple(map(str, period)) for period in periods]
+    rows = spark.createDataFrame(named, ", ".join(f"{c} string" for c in PERIOD))
+    return rows.select("scope_name", "cadence", F.col("period_start").cast("date"), F.col("period_end").cast("date"))
+
+
+def only_periods(rows: DataFrame, periods: Collection[Period]) -> DataFrame:
+    """Rows of the given periods. The months prune the folders of a partitioned table, the join tells scopes apart."""
+    months = sorted({str(period[2]) for period in periods})
+    inside = rows.where(F.col("period_start").isin(*[F.lit(m).cast("date") for m in months]))
+    return inside.join(F.broadcast(period_frame(rows.sparkSession, periods)), PERIOD, "left_semi")
+
+
+class PeriodTable:
+    """A table below one folder. Its schema is the writer's, so a scope named ``7`` stays text."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType):
+        self.spark, self.path = spark, path.rstrip("/")
+        own = [f for f in schema.fields if f.name not in PERIOD]
+        self.schema = StructType([*own, *[schema[c] for c in PERIOD]])
+        self.columns = schema.names
+
+    def write(self, rows: DataFrame, periods: Collection[Period] | None = None) -> None:
+        """Replace the periods that ``rows`` hold. With ``periods``, a row of another one fails the write before anything
+        is visible."""
+        if periods is not None:
+            wanted = period_frame(self.spark, periods).withColumn("_wanted", F.lit(True))
+            named = F.concat_ws(" ", *[F.col(c).cast("string") for c in PERIOD])
+            refused = F.raise_error(F.concat(F.lit(f"{self.path}: a period outside the target range: "), named))
+            rows = (
+                rows.join(F.broadcast(wanted), PERIOD, "left")
+                .withColumn("cadence", F.when(F.col("_wanted"), F.col("cadence")).otherwise(refused))
+                .drop("_wanted")
+            )
+        # Rebalancing sizes the files: small periods share a task, a hot period is split over many.
+        rows = rows.select(*self.schema.names).hint("rebalance", *PERIOD)
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+        writer.partitionBy(*PERIOD).parquet(self.path)
+
+    def clear(self, periods: Iterable[Period]) -> None:
+        wanted = {tuple(map(str, period)) for period in periods}
+        for period, folder in self._folders().items() if wanted else ():
+            if period in wanted:
+                own = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+                own.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(own, True)
+
+    def _folders(self) -> dict[Period, str]:
+        """Folders of the stored periods, by one listing."""
+        pattern = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *(f"{c}=*" for c in PERIOD)]))
+        found = pattern.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(pattern)
+        paths = [status.getPath().toString() for status in found or ()]
+        return {tuple(unquote(part.partition("=")[2]) for part in p.split("/")[-len(PERIOD) :]): p for p in paths}
+
+    def periods(self) -> list[Period]:
+        """The stored periods, from the folders alone."""
+        return sorted(self._folders())
+
+    def read(self, periods: Collection[Period] | None = None) -> DataFrame:
+        """All rows, or those of some periods (other folders are skipped)."""
+        own = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not own.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(own):
+            return self.spark.createDataFrame([], self.schema).select(*self.columns)
+        rows = self.spark.read.schema(self.schema).parquet(self.path).select(*self.columns)
+        return rows if periods is None else only_periods(rows, periods)
+
+
+def replace_range(tables: Mapping[PeriodTable, DataFrame], periods: Collection[Period]) -> None:
+    """Replace the given periods in each of the tables.
+
+    Rows outside of ``periods`` are refused; a period without rows is cleared. Each row set should be stored or cheap: it is
+    read for its periods and once more for the write.
+    """
+    targets = {tuple(map(str, period)) for period in periods}
+    for table, rows in tables.items():
+        held = {tuple(map(str, row)) for row in rows.select(*PERIOD).distinct().collect()}
+        table.write(rows, targets)
+        table.clear(targets - held)
+
+
+def replace_period(table: PeriodTable, rows: DataFrame, period: Period) -> None:
+    replace_range({table: rows}, [period])
 
 
 def upsert_metadata(stored: DataFrame, new: DataFrame, position: str | None = None) -> DataFrame:
