@@ -29,7 +29,7 @@ _OTHER = re.compile(
     r"|monetization_proxy|classification_reason|observable_revenue_state|\w+_band|\w+_state|category_fit_summary"
     r"|confidence|recommendation|\w+_code|\w+_references|risk_code|severity|evidence_availability|source_metric_name"
     r"|fit_state|evidence_limitations|\w+_game_subgenre|hypothesis_status|\w+_codes|requires_product_validation"
-    r"|name|status|violation|\w+_key|distribution|value|month|compared_table|missing_table|table_name|rule|source"
+    r"|name|status|violation|\w+_key|distribution|value|month|compared_table|missing_table|table_name|stage_name|rule|source"
     r"|android_app_id|publisher_resolution_source|action|changed|ranks_are_contiguous|exceeds_configured_cap|structurally_complete)$"
 )
 

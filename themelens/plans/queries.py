@@ -816,7 +816,7 @@ simple(
 _CHANGED = "scope_name = 'market' AND period_start IN (DATE '1995-03-01', DATE '1995-06-01')"
 _PATCH = f"""SELECT * REPLACE (CASE WHEN {_CHANGED} THEN 2 * units_absolute ELSE units_absolute END AS units_absolute,
     CASE WHEN {_CHANGED} AND game_theme = 'Unknown' THEN NULL ELSE game_theme END AS game_theme) FROM {{snap}}"""
-_CHAIN = ("totals", "themes", "top_ten", "structure", "growth", "scores", "horizons", "seasonality", "summaries", "outcomes")
+_CHAIN = ("totals", "themes", "top_ten", "structure", "growth", "scores")
 _REFRESHED: dict[tuple[str, str], tuple[refresh.RangeRun, dict]] = {}
 
 
@@ -839,42 +839,34 @@ def _refreshed(run: Stages) -> tuple[refresh.RangeRun, dict]:
 
 simple(
     "range_run",
-    lambda run: refresh.summary(run.spark, _refreshed(run)[1]),
+    lambda run: refresh.summary(
+        run.spark, refresh.stale_periods(_periods(run.totals.where(F.expr(_CHANGED))), _periods(run.totals))
+    ),
     f"stage_name {PC}",
     f"""FROM (SELECT DISTINCT stage_name, {sql.K} FROM months CROSS JOIN (VALUES ('snapshots', 0, 0), ('totals', 0, 0), ('themes', 0, 1), ('top_ten', 0, 0),
-        ('structure', 0, 0), ('growth', 0, 1), ('scores', 0, 6), ('horizons', 0, 35), ('seasonality', 0, 35), ('summaries', 0, 9999), ('outcomes', 3, 9999)) r(stage_name, before, after)
+        ('structure', 0, 0), ('growth', 0, 1), ('dimensions', 0, 1), ('leaders', 0, 1), ('scores', 0, 6), ('horizons', 0, 35), ('seasonality', 0, 35), ('summaries', 0, 9999), ('outcomes', 3, 9999)) r(stage_name, before, after)
       JOIN (VALUES (DATE '1995-03-01'), (DATE '1995-06-01')) c(month) ON scope_name = 'market'
         AND period_start BETWEEN month - to_months(before) AND month + to_months(after))""",
 )
 simple(
     "range_run_structure",
     lambda run: _refreshed(run)[0].table("structure"),
-    f"{TC} product_count downloads_sum downloads_share median_rank top_1_publisher_downloads_share downloads_product_hhi",
+    sql.STRUCTURE_COLUMNS,
     "FROM structure",
     changed=_PATCH,
 )
 simple(
     "range_run_scores",
     lambda run: _refreshed(run)[0].table("scores"),
-    f"{TC} window_month_count product_count trend_score trend_rank confidence_score is_actionable exclusion_reason",
+    sql.SCORE_COLUMNS,
     "FROM scores",
     changed=_PATCH,
 )
 simple(
-    "range_run_summaries",
-    lambda run: _refreshed(run)[0].table("summaries"),
-    f"{TC} history_month_count first_active_month active_months_to_date direction_6m direction_12m direction_36m"
-    " median_normalized_slope_36m stability_band_12m lifecycle_stage downloads_peak_calendar_month downloads_seasonality_amplitude",
-    "FROM summaries",
-    changed=_PATCH,
-)
-simple(
-    "range_run_outcomes",
-    lambda run: _refreshed(run)[0].table("outcomes"),
-    "scope_name cadence decision_period_start outcome_horizon_months game_theme decision_downloads_share future_downloads_share"
-    " downloads_share_absolute_change downloads_share_change_direction future_downloads_share_percentile future_downloads_share_top_quintile"
-    " decision_top_500_turnover_rate lifecycle_stage",
-    "FROM outcomes",
+    "range_run_growth",
+    lambda run: _refreshed(run)[0].table("growth"),
+    f"{TC} {MEMBERSHIP} {' '.join((*opportunity.TURNOVER_COLUMNS, *opportunity.RETENTION_COLUMNS, *opportunity.DECOMPOSITION_COLUMNS))}",
+    "FROM growth",
     changed=_PATCH,
 )
 simple(
