@@ -46,6 +46,8 @@ ORACLE_SQL: dict[str, str] = {
     "op3_mix_sources": mixing.ORACLE.format(documents="documents"),
     "op7_exact_duplicates": exact.ORACLE.format(documents="documents"),
     "op10_repeated_spans": automata.ORACLE.format(documents="documents"),
+    "op11_merkle_manifest": manifest.oracle(),
+    "op12_spelling_variants": spelling.ORACLE.format(documents="documents"),
 }
 
 

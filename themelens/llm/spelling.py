@@ -339,3 +339,39 @@ def forms(near: DataFrame, dominance: int = DOMINANCE) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """word, form, root, n, n_near and form_n of the words of all texts. Null and empty texts have no words."""
     return forms(near_words(counted(docs, SLIP))).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+#: The same in DuckDB: pairs share what is left of them without one letter, or one is left of the other.
+ORACLE = """
+WITH RECURSIVE runs AS MATERIALIZED (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT coalesce(doc_id::VARCHAR, '') AS doc_id,
+      translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM {documents}) WHERE length(run) >= 6 GROUP BY ALL),
+hashed AS MATERIALIZED (
+  SELECT run, n, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT,
+      list_transform(range(length(bytes) // 2), lambda i: (16 * (instr('0123456789ABCDEF', bytes[2 * i + 1]) - 1) + instr('0123456789ABCDEF', bytes[2 * i + 2]) - 1)::UBIGINT)),
+    lambda s, b: list_reduce(list_prepend(xor(s, b), list_transform(range(8), lambda k: k::UBIGINT)),
+      lambda t, k: CASE WHEN t & 1 = 1 THEN xor(t >> 1, 3988292384::UBIGINT) ELSE t >> 1 END)))::BIGINT AS h
+  FROM (SELECT *, hex(doc_id || ':' || run) AS bytes FROM runs)),
+words AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+shorter AS MATERIALIZED (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS MATERIALIZED (
+  SELECT a.word, b.word AS other FROM shorter a JOIN shorter b USING (rest, i) WHERE a.word <> b.word
+  UNION SELECT s.word, w.word FROM shorter s JOIN words w ON s.rest = w.word
+  UNION SELECT w.word, s.word FROM shorter s JOIN words w ON s.rest = w.word),
+best AS MATERIALIZED (
+  SELECT near.word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS other_n
+  FROM near JOIN words ON other = words.word GROUP BY near.word),
+forms AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+followed AS (
+  SELECT word, word AS root FROM forms UNION ALL SELECT f.word, g.form FROM followed f JOIN forms g ON f.root = g.word WHERE g.form IS NOT NULL)
+SELECT w.word, w.form, f.root, w.n, w.n_near, w.form_n
+FROM forms w JOIN followed f ON f.word = w.word JOIN forms g ON f.root = g.word AND g.form IS NULL
+"""
