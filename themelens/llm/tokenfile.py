@@ -6,10 +6,12 @@ a segment: whole documents in order, their lengths, and one packed payload:
     magic "PFR1" | ids | blocks | exceptions          4 x uint32
     minimum of each block                             uint32
     width of each block                               uint8
-    start of each block in the packed bytes           uint32 (the index: any block is read alone)
+    start of each block in the packed words           uint32 (the index: any block is read alone)
     start of each block's exceptions, and their end   uint32
     exceptions: place in the block, value             uint8, uint32
-    packed bytes
+    packed words                                      uint64
+
+A width's block is two lanes of 64 values; value ``j`` of a lane lies at bit ``j * width`` of its ``width`` words.
 
 A block holds 128 ids less their minimum, in the width that ``FITTING`` of 128 fit in; the others are exceptions.
 """
@@ -38,6 +40,35 @@ END = 2
 SEGMENT = 1 << 18
 
 
+def _packed(values: np.ndarray, width: int) -> np.ndarray:
+    """Words (blocks x 2 * width) of blocks of values, in two lanes that are shifted together for all blocks."""
+    blocks = len(values)
+    mask = np.uint64((1 << width) - 1)
+    lanes = np.ascontiguousarray((values.astype(np.uint64) & mask).reshape(2 * blocks, 64).T)
+    words = np.zeros((width, 2 * blocks), np.uint64)
+    for j, lane in enumerate(lanes):
+        word, shift = divmod(j * width, 64)
+        words[word] |= lane << np.uint64(shift)
+        if shift + width > 64:
+            words[word + 1] |= lane >> np.uint64(64 - shift)
+    return np.ascontiguousarray(words.T).reshape(blocks, 2 * width)
+
+
+def _unpacked(words: np.ndarray, width: int) -> np.ndarray:
+    """Blocks of values from their words."""
+    blocks = len(words)
+    words = np.ascontiguousarray(words.reshape(2 * blocks, width).T)
+    lanes = np.empty((64, 2 * blocks), np.uint32)
+    mask = np.uint64((1 << width) - 1)
+    for j in range(64):
+        word, shift = divmod(j * width, 64)
+        value = words[word] >> np.uint64(shift)
+        if shift + width > 64:
+            value |= words[word + 1] << np.uint64(64 - shift)
+        lanes[j] = value & mask
+    return np.ascontiguousarray(lanes.T).reshape(blocks, BLOCK)
+
+
 def pack(ids: np.ndarray) -> bytes:
     """Blocks of a sequence of unsigned 32-bit ids."""
     n, blocks = len(ids), -(-len(ids) // BLOCK)
@@ -46,17 +77,14 @@ def pack(ids: np.ndarray) -> bytes:
     rest = padded - least[:, None]
     fitting = np.partition(rest, FITTING - 1, axis=1)[:, FITTING - 1]
     width = np.frexp(fitting.astype(np.float64))[1].astype(np.uint8)
-    outside = (rest.astype(np.uint64) >> width[:, None].astype(np.uint64)) > 0
-    block, place = np.nonzero(outside)
+    most = ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+    block, place = np.divmod(np.flatnonzero(rest > most[:, None]), BLOCK)
     exceptions = np.concatenate([[0], np.cumsum(np.bincount(block, minlength=blocks))])
-    start = np.concatenate([[0], np.cumsum(width.astype(np.int64) * (BLOCK // 8))])
-    packed = np.zeros(int(start[-1]), np.uint8)
+    start = np.concatenate([[0], np.cumsum(width.astype(np.int64) * (BLOCK // 64))])
+    packed = np.zeros(int(start[-1]), "<u8")
     for w in np.unique(width[width > 0]).tolist():
         own = np.flatnonzero(width == w)
-        low = rest[own].astype(">u4").view(np.uint8).reshape(len(own), BLOCK, 4)
-        bits = np.unpackbits(low, axis=2)[:, :, 32 - w :]
-        size = w * BLOCK // 8
-        packed[start[own][:, None] + np.arange(size)] = np.packbits(bits.reshape(len(own), -1), axis=1)
+        packed[start[own][:, None] + np.arange(w * BLOCK // 64)] = _packed(rest[own], w)
     return b"".join(
         x.tobytes()
         for x in (
@@ -83,7 +111,7 @@ def unpack(data: bytes, first: int = 0, end: int | None = None) -> np.ndarray:
         parts.append(np.frombuffer(data, kind, count, at))
         at += parts[-1].nbytes
     least, width, start, exceptions, place, value = parts
-    packed = np.frombuffer(data, np.uint8, offset=at)
+    packed = np.frombuffer(data, "<u8", (len(data) - at) // 8, at)
     end = n if end is None else min(end, n)
     a, b = first // BLOCK, -(-end // BLOCK)
     if first >= end:
@@ -92,10 +120,8 @@ def unpack(data: bytes, first: int = 0, end: int | None = None) -> np.ndarray:
     for w in np.unique(width[a:b]).tolist():
         if w:
             own = np.flatnonzero(width[a:b] == w)
-            raw = packed[start[a:b][own].astype(np.int64)[:, None] + np.arange(w * BLOCK // 8)]
-            bits = np.zeros((len(own), BLOCK, 32), np.uint8)
-            bits[:, :, 32 - w :] = np.unpackbits(raw, axis=1).reshape(len(own), BLOCK, w)
-            out[own] = np.packbits(bits, axis=2).view(">u4").reshape(len(own), BLOCK)
+            raw = packed[start[a:b][own].astype(np.int64)[:, None] + np.arange(w * BLOCK // 64)]
+            out[own] = _unpacked(raw, w)
     kept = slice(int(exceptions[a]), int(exceptions[b]))
     out[np.repeat(np.arange(b - a), np.diff(exceptions[a : b + 1].astype(np.int64))), place[kept]] = value[kept]
     out += least[a:b, None]

@@ -10,6 +10,8 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from itertools import chain, compress
+from operator import not_
 
 import numpy as np
 
@@ -19,7 +21,6 @@ TOKENIZER = "byte_bpe_50k.json"
 REMEMBERED = 1_200_000
 LONGEST = 64
 
-_MORE_SPACE = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -32,31 +33,48 @@ def location(tokenizer: str) -> str:
     return public_tokenizers.path(tokenizer)
 
 
+def clean(word: str) -> bool:
+    """Whether no white space stands at the word's edges, so that the spaces around it are single ones."""
+    return word[:1].isspace() is word[-1:].isspace() is False and word != ""
+
+
 class Encoder:
     def __init__(self, tokenizer: str = TOKENIZER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(location(tokenizer))
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # of clean words only
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [_CUT.split(t) if _MORE_SPACE.search(t) else t.split(" ") for t in texts]
-        first = self._ids([words.pop(0) for words in cut])
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list(set().union(*cut).difference(self.known))
-        self.known.update(zip(new, self._ids([" " + word for word in new]), strict=True))
-        find = self.known.__getitem__
-        encoded = [head + b"".join(map(find, words)) for head, words in zip(first, cut, strict=True)]
-        for word in new:
-            if len(word) > LONGEST:
-                del self.known[word]
-        return encoded
+        find = self.known.get
+        heads, rests = [], []
+        gaps: list[tuple[list[bytes | None], list[int], list[str]]] = []
+        for text in texts:
+            head, *words = text.split(" ")
+            found = list(map(find, words))
+            if None in found or (words and not clean(head)):
+                new = list(compress(words, map(not_, found)))
+                if not all(map(clean, new)) or (words and not clean(head)):  # a space beside other white space
+                    head, *words = _CUT.split(text)
+                    found = list(map(find, words))
+                    new = list(compress(words, map(not_, found)))
+                gaps.append((found, list(compress(range(len(words)), map(not_, found))), new))
+            heads.append(head)
+            rests.append(found)
+        new = list(set(chain.from_iterable(words for *_, words in gaps)))
+        ids = dict(zip(new, self._ids([" " + word for word in new]), strict=True))
+        for found, places, words in gaps:
+            for place, word in zip(places, words, strict=True):
+                found[place] = ids[word]
+        self.known.update((word, own) for word, own in ids.items() if len(word) <= LONGEST and clean(word))
+        return [head + b"".join(rest) for head, rest in zip(self._ids(heads), rests, strict=True)]
 
 
 @lru_cache(maxsize=2)
