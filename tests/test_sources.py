@@ -13,11 +13,13 @@ from themelens.session import scratch_dir
 from themelens.sources import market_json
 from themelens.sources.store import (
     PeriodTable,
+    damaged_periods,
     export_sorted,
     readback_differences,
     replace_period,
     replace_range,
     upsert_metadata,
+    verified,
 )
 
 FLAT = [
@@ -109,6 +111,30 @@ def test_replacing_a_range_is_repeatable_and_clears_empty_periods(spark):
     assert months[2] not in {tuple(p) for p in table.read().select(*PERIOD).distinct().collect()}
 
 
+def test_only_periods_whose_digests_differ_are_compared(spark):
+    rows, _ = frames(spark, [snapshot((2024, m), f"a{i}", i + 1, "T", None, 1.0) for m in (1, 2, 3, 4) for i in range(3)], [metadata("a", None)])
+    table = PeriodTable(spark, scratch_dir(spark), rows.schema)
+    table.write(rows.orderBy(F.rand(1)))
+    assert damaged_periods(rows, table) == [] and verified(rows, table).isEmpty()
+    one = F.col("period_start") == F.lit("2024-02-01").cast("date")
+    # A value for a NULL and a NULL for a value in one row, a row that stands twice, a lost month.
+    first = F.col("rank_position") == 1
+    swapped = rows.where(one).withColumns(
+        {
+            "units_absolute": F.when(first, F.col("revenue_absolute")).otherwise(F.col("units_absolute")),
+            "revenue_absolute": F.when(~first, F.col("revenue_absolute")),
+        }
+    )
+    third = rows.where("month(period_start) = 3")
+    later = [tuple(r) for r in rows.where("month(period_start) > 1").select(*PERIOD).distinct().collect()]
+    replace_range({table: swapped.unionByName(third).unionByName(third.limit(1))}, later)
+    assert [p[2] for p in damaged_periods(rows, table)] == ["2024-02-01", "2024-03-01", "2024-04-01"]
+    found = verified(rows, table)
+    counts = {(r.m, r.violation): r["count"] for r in found.groupBy(F.month("period_start").alias("m"), "violation").count().collect()}
+    assert counts == {(2, "not_stored"): 1, (2, "not_expected"): 1, (3, "not_expected"): 1, (4, "not_stored"): 3}
+    assert table.read(damaged_periods(rows, table)).where("month(period_start) = 1").isEmpty()
+
+
 def test_only_folders_of_the_wanted_periods_are_read(spark):
     rows, _ = frames(spark, [snapshot((2024, m), "a", 1, "T", 1.0, 1.0) for m in range(1, 13)], [metadata("a", None)])
     table = PeriodTable(spark, scratch_dir(spark), rows.schema)

@@ -85,9 +85,8 @@ def missing_months(wanted: DataFrame, stored: DataFrame, refresh: bool = False)
 
 def planned_target_counts(periods: DataFrame, outcome_horizons: Sequence[int] = (1, 2, 3)) -> DataFrame:
     """How many target months a history of n months yields per feature window and outcome horizon."""
-    per_scope = periods.select("scope_name", "period_start").distinct().groupBy("scope_name").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    series = ["scope_name", "cadence"]
+    per_scope = periods.select(*series, "period_start").distinct().groupBy(*series).agg(F.count(F.lit(1)).alias("n"))
     plans = F.array(
         *[
             F.struct(F.lit(window).alias("window_months"), F.lit(horizon).alias("outcome_horizon_months"))
@@ -95,8 +94,8 @@ def planned_target_counts(periods: DataFrame, outcome_horizons: Sequence[int] =
             for horizon in (0, *outcome_horizons)
         ]
     )
-    return per_scope.select("scope_name", "n", F.explode(plans).alias("p")).select(
-        "scope_name",
+    return per_scope.select(*series, "n", F.explode(plans).alias("p")).select(
+        *series,
         "p.window_months",
         "p.outcome_horizon_months",
         F.greatest(F.col("n") - F.col("p.window_months") + 1 - F.col("p.outcome_horizon_months"), F.lit(0)).alias(

@@ -104,7 +104,7 @@ def horizon_metrics(grid: DataFrame) -> DataFrame:
         deviation = F.when(low == high, F.lit(0.0)).otherwise(F.stddev_pop(value).over(frame))
         first = F.first(value).over(frame)
         slope = F.when(low == high, F.lit(0.0)).otherwise(F.regr_slope(value, index).over(frame))
-        fit = F.when(low != high, F.regr_r2(value, index).over(frame))
+        fit = F.when(low != high, F.round(F.regr_r2(value, index).over(frame), TIE_DIGITS))
         change = value - first
         peak_index = F.max_by(index, F.struct(value, index)).over(frame)
         up, down, flat = [count_where(F.col("_step") == s).over(steps) for s in (1, -1, 0)]

@@ -134,13 +134,14 @@ def range_summary(months: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Present and missing months, row statistics and whether the range is structurally complete."""
     present = F.col("status") == "present"
     rows = F.when(present, F.col("snapshot_count"))
+    series = ["scope_name", "cadence"]
     variants = (
-        snapshots.select("scope_name", *PROVENANCE)
+        snapshots.select(*series, *PROVENANCE)
         .distinct()
-        .groupBy("scope_name")
+        .groupBy(*series)
         .agg(F.count(F.lit(1)).alias("provenance_variant_count"))
     )
-    summary = months.groupBy("scope_name").agg(
+    summary = months.groupBy(*series).agg(
         F.count(F.lit(1)).alias("requested_month_count"),
         count_where(present).alias("present_month_count"),
         count_where(~present).alias("missing_month_count"),
@@ -158,7 +159,7 @@ def range_summary(months: DataFrame, snapshots: DataFrame) -> DataFrame:
         & (F.col("_mismatches") == 0)
     )
     return (
-        summary.join(variants, "scope_name", "left")
+        summary.join(variants, series, "left")
         .withColumn("provenance_variant_count", F.coalesce("provenance_variant_count", F.lit(0)))
         .withColumn("structurally_complete", complete)
         .drop("_mismatches")

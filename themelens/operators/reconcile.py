@@ -15,8 +15,9 @@ SYNC_COLUMNS = [name for name, _ in SYNC_FIELDS]
 
 def desired_records(scores: DataFrame) -> DataFrame:
     """Managed key and the 21 projected fields per score row; dates become epoch milliseconds."""
-    latest = scores.groupBy("scope_name").agg(F.max("period_start").alias("_latest"))
-    rows = scores.join(latest, "scope_name").withColumn(
+    series = ["scope_name", "cadence"]
+    latest = scores.groupBy(*series).agg(F.max("period_start").alias("_latest"))
+    rows = scores.join(latest, series).withColumn(
         "is_latest_month", F.col("period_start") == F.col("_latest")
     )
     fields = []

@@ -39,7 +39,7 @@ def column_expression(name: str) -> str:
         return f"{name}::BIGINT AS {name}"
     if _OTHER.match(name):
         return name
-    return f"floor({name}::DOUBLE * 1000000.0::DOUBLE + 0.50001::DOUBLE) / 1000000.0::DOUBLE AS {name}"
+    return f"floor({name}::DOUBLE * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS {name}"
 
 
 #: Scopes of the test data, and the parameter of the scope that a query's text is computed for.
@@ -597,7 +597,7 @@ BLOCKS["horizons"] = f"""
       min(v) AS minimum_value, max(v) AS maximum_value,
       CASE WHEN min(v) = max(v) THEN 0.0 ELSE stddev_pop(v) END AS standard_deviation,
       max(CASE WHEN i = target - h + 1 THEN v END) AS first_value, max(CASE WHEN i = target THEN v END) AS latest_value,
-      CASE WHEN min(v) = max(v) THEN 0.0 ELSE regr_slope(v, i) END AS slope, CASE WHEN min(v) <> max(v) THEN regr_r2(v, i) END AS fit,
+      CASE WHEN min(v) = max(v) THEN 0.0 ELSE regr_slope(v, i) END AS slope, CASE WHEN min(v) <> max(v) THEN round(regr_r2(v, i), 12) END AS fit,
       max(CASE WHEN peak > 0 THEN (peak - v) / peak END) AS drawdown,
       arg_max(i, (v, i)) FILTER (v IS NOT NULL) AS peak_index,
       count(*) FILTER (v IS NOT NULL AND pv IS NOT NULL AND {_same}) AS flat,
