@@ -198,3 +198,64 @@ SYNC_FIELDS = (
     ("revenue_absolute_overindex", "number"),
     ("calculated_at", "date-time"),
 )
+
+# Members of enumerated columns.
+_DIRECTIONS = ("up", "down", "flat", "mixed", "insufficient_history")
+_STABILITY = ("stable", "variable", "volatile", "insufficient_history")
+_CHANGES = ("up", "down", "unchanged", "unavailable")
+_FITS = ("validated_fit", "observed_fit", "insufficient_evidence")
+_CONFIDENCE = ("low", "medium", "high")
+MEMBERS: dict[str, tuple[str | int, ...]] = {
+    "cadence": ("monthly",),
+    "dimension_type": DIMENSIONS,
+    "evidence_type": LEADER_TYPES,
+    "metric_name": MODEL_METRICS,
+    "horizon_month_count": HORIZONS,
+    "outcome_horizon_months": OUTCOME_HORIZONS,
+    "horizon_months": OUTCOME_HORIZONS,
+    "window_month_count": (6,),
+    "outcome_name": OUTCOMES,
+    "segment_name": SEGMENTS,
+    "feature_hypothesis": ("higher_better", "lower_better"),
+    "model_policy_version": (MODEL_POLICY,),
+    "backtest_policy_version": (BACKTEST_POLICY,),
+    "monetization_policy_version": (PROXY_POLICY,),
+    "decision_policy_version": (DECISION_POLICY,),
+    "lifecycle_stage": tuple(GROWTH_QUALITY),
+    "growth_quality_state": tuple(dict.fromkeys(GROWTH_QUALITY.values())),
+    **{f"direction_{horizon}m": _DIRECTIONS for horizon in HORIZONS},
+    **{f"stability_band_{horizon}m": _STABILITY for horizon in HORIZONS},
+    **{f"{metric}_change_direction": _CHANGES for metric in SHARE_METRICS},
+    "observable_revenue_state": ("unavailable", "zero", "positive"),
+    "monetization_proxy": PROXY_CLASSES,
+    "classification_reason": (
+        "observable_revenue_unavailable",
+        "observable_revenue_zero",
+        "observable_revenue_positive",
+    ),
+    "fit_state": _FITS,
+    "category_fit_summary": _FITS,
+    "market_size_band": ("strong", "moderate", "limited", "insufficient_evidence"),
+    "competitive_structure_risk_band": (
+        "lower_structural_risk",
+        "mixed_structural_risk",
+        "higher_structural_risk",
+        "insufficient_evidence",
+    ),
+    "confidence": _CONFIDENCE,
+    "severity": _CONFIDENCE,
+    "recommendation": (
+        "prioritize_validation",
+        "selective_validation",
+        "small_experiment",
+        "monitor",
+        "deprioritize",
+    ),
+    "evidence_availability": ("observed", "partial", "unavailable"),
+    "evidence_state": (
+        "supported_validation_window",
+        "selective_validation_window",
+        "experimental_window",
+        "caution_or_monitor",
+    ),
+}

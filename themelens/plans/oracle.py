@@ -1072,3 +1072,42 @@ BLOCKS["risks"] = "\n UNION ALL ".join(
     f" FROM decisions WHERE {condition}"
     for condition, code, severity, available, source in _risks
 )
+
+
+def rule_test(rule) -> str:
+    """SQL that is FALSE in rows without the rule."""
+    column, others = rule.column, rule.others
+    if rule.kind == "one_of":
+        return f"{column} IN ({', '.join(repr(member) for member in others)})"
+    if rule.kind == "between":
+        return f"({column} >= {others[0]} - 1e-9 AND {column} <= {others[1]} + 1e-9)"
+    if rule.kind == "at_least":
+        return f"{column} >= {others[0]}"
+    if rule.kind == "at_most" and column.endswith("_start"):
+        return f"{column} <= {others[0]}"
+    if rule.kind == "at_most":
+        return f"{column} - {others[0]} <= 1e-9 * greatest(abs({others[0]}), 1)"
+    if rule.kind == "covered_by":
+        return f"NOT (({others[0]} = 0 AND {column} IS NOT NULL) OR ({others[0]} <> 0 AND {column} IS NULL))"
+    if rule.kind == "adds_up":
+        return f"{others[0]} - {' - '.join(others[1:])} = 0"
+    return f"NOT (NOT {others[0]} AND {column} IS NOT NULL)"
+
+
+def rule_counts(table: str, relation: str, columns, rules, chosen: str, fault) -> str:
+    """Rows of ``relation`` without each rule, and of copies of the chosen rows with each rule's ``fault``."""
+    changes: dict[str, str] = {}
+    for rule in rules:
+        for name, value in fault(rule).items():
+            changes[name] = f"CASE WHEN fault_rule = '{rule.name}' THEN {value} ELSE {changes.get(name, name)} END"
+    names = ", ".join(f"'{rule.name}'" for rule in rules)
+    listed = ", ".join(columns)
+    changed = ", ".join(f"{changes[name]} AS {name}" if name in changes else name for name in columns)
+
+    def counted(source: str, test: str) -> str:
+        counts = ", ".join(f"count(*) FILTER (WHERE {test} AND NOT ({rule_test(rule)}))" for rule in rules)
+        return f"SELECT '{table}' AS table_name, '{source}' AS source, unnest([{names}]) AS rule, unnest([{counts}]) AS row_count"
+
+    return f"""{counted('stored', 'TRUE')} FROM {relation}
+      UNION ALL {counted('faulty', 'TRUE')} FROM (SELECT {changed}, fault_rule FROM
+        (SELECT {listed}, unnest([{names}]) AS fault_rule FROM {relation} WHERE {chosen}))"""

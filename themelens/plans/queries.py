@@ -22,6 +22,7 @@ from themelens.operators import (
     proxy,
     quality,
     reconcile,
+    rules,
     trend,
 )
 from themelens.plans import oracle as sql
@@ -1072,15 +1073,73 @@ simple(
       UNION ALL SELECT 'decision_without_windows', count(*) FROM themes WHERE game_theme = 'N/A')""",
     merge="sum",
 )
-simple(
-    "value_checks",
-    lambda run: quality.value_checks(
-        quality.standard_value_rules({"structure": run.structure.withColumn("product_share", F.col("product_share") * 20)})
-    ).where(F.col("row_count") > 0),
-    "table_name rule row_count",
-    "FROM (SELECT 'structure' AS table_name, 'product_share_between_0_and_1' AS rule, count(*) AS row_count FROM structure WHERE product_share * 20 > 1.000000001)",
-    merge="sum",
-)
+#: Tables of the value rules: (relation of the run, columns, relation of the reference SQL).
+CHECKED_TABLES: dict[str, tuple[Callable[[Stages], DataFrame], str, str]] = {
+    "snapshots": (lambda run: run.snapshots, f"{PC} rank_position", "snap"),
+    "totals": (lambda run: run.totals, TOTAL_COLUMNS, "totals"),
+    "themes": (lambda run: run.themes, THEME_METRICS, "themes"),
+    "structure": (lambda run: run.structure, sql.STRUCTURE_COLUMNS, "structure"),
+    "growth": (
+        lambda run: run.growth,
+        f"{TC} {MEMBERSHIP} {' '.join(opportunity.TURNOVER_COLUMNS + opportunity.RETENTION_COLUMNS + opportunity.DECOMPOSITION_COLUMNS)}",
+        "growth",
+    ),
+    "dimensions": (lambda run: run.dimensions, DIMENSION_METRICS, "dims"),
+    "leaders": (lambda run: run.leaders, f"{TC} evidence_type evidence_rank rank_position previous_rank_position", "leaders"),
+    "scores": (lambda run: run.scores, sql.SCORE_COLUMNS, "scores"),
+    "horizons": (lambda run: run.horizons, sql.HORIZON_COLUMNS, "horizons"),
+    "seasonality": (lambda run: run.seasonality, sql.SEASON_COLUMNS, "season"),
+    "summaries": (lambda run: run.summaries, sql.SUMMARY_COLUMNS, "summaries"),
+    "outcomes": (lambda run: run.outcomes, sql.OUTCOME_COLUMNS, "outcomes"),
+    "feature_metrics": (lambda run: run.table("feature_metrics"), sql.FEATURE_METRIC_COLUMNS, "feature_results"),
+    "segment_metrics": (lambda run: run.table("segment_metrics"), sql.SEGMENT_COLUMNS, "segment_results"),
+    "profiles": (lambda run: run.profiles, sql.PROFILE_COLUMNS, "profile_rows"),
+    "proxies": (lambda run: run.proxies, sql.PROXY_COLUMNS, "proxies"),
+    "fits": (lambda run: run.fits, sql.FIT_COLUMNS, "fits"),
+    "migrations": (lambda run: decision.migration_hypotheses(run.fits), sql.MIGRATION_COLUMNS, "migrations"),
+    "decisions": (lambda run: decision.decision_summaries(run.assessed), sql.DECISION_COLUMNS, "decisions"),
+    "windows": (
+        lambda run: decision.launch_window_assessments(run.assessed),
+        f"{TC} decision_policy_version horizon_months evidence_state confidence",
+        "(SELECT *, unnest([1, 2, 3]) AS horizon_months FROM decisions)",
+    ),
+    "risks": (
+        lambda run: decision.risk_rows(run.assessed),
+        f"{TC} decision_policy_version risk_code severity evidence_availability",
+        "risks",
+    ),
+}
+
+
+def _chosen(columns: str) -> str:
+    """Rows whose copies are broken: one month, or one horizon where a table has no months."""
+    names = columns.split()
+    month = next((name for name in ("period_start", "decision_period_start") if name in names), None)
+    return f"{month} = DATE '1995-03-01'" if month else "outcome_horizon_months = 2"
+
+
+def _value_checks(run: Stages) -> DataFrame:
+    """Rows without each rule: of the tables as they are, and of the copies made to break it."""
+    root, rows = scratch_dir(run.spark), []
+    for table, (build, columns, _) in CHECKED_TABLES.items():
+        names = columns.split()
+        own = rules.value_rules(table, names)
+        stored, fault = F.col("fault_rule").isNull(), F.col("fault_rule").isNotNull()
+        counts = {("stored", rule.name): rules.broken(rule, stored) for rule in own}
+        counts |= {("faulty", rule.name): rules.broken(rule, fault) for rule in own}
+        frame = rules.with_faults(build(run).select(*names), own, F.expr(_chosen(columns)))
+        rows += [(table, *key, number) for key, number in rules.write_checked(frame, f"{root}/{table}", counts).items()]
+    return run.spark.createDataFrame(rows, "table_name string, source string, rule string, row_count long")
+
+
+def _value_checks_sql() -> str:
+    return "FROM (" + "\nUNION ALL ".join(
+        sql.rule_counts(table, relation, columns.split(), rules.value_rules(table, columns.split()), _chosen(columns), rules.fault)
+        for table, (_, columns, relation) in CHECKED_TABLES.items()
+    ) + ")"
+
+
+simple("value_checks", _value_checks, "table_name source rule row_count", _value_checks_sql(), merge="sum")
 
 
 def _with_bad_rows(run: Stages) -> DataFrame:

@@ -11,12 +11,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from themelens.operators import backtest, calendar, decision, model, monthly, opportunity, proxy, quality, trend
+from themelens.operators import backtest, calendar, decision, model, monthly, opportunity, proxy, quality, rules, trend
 from themelens.session import scratch_dir
 
 
 class Stages:
-    """Lazily written stage tables over one snapshot and one metadata relation."""
+    """Lazily written stage tables over one snapshot and one metadata relation.
+
+    With ``check_values`` the value rules of each table are counted during its write, and a broken one stops the run.
+    """
 
     def __init__(
         self,
@@ -25,10 +28,12 @@ class Stages:
         metadata: DataFrame,
         root: str | None = None,
         source: str = "",
+        check_values: bool = False,
     ):
         self.spark = spark
         self.source = source
         self.root = root or scratch_dir(spark)
+        self.check_values = check_values
         self._sources = {"snapshots": snapshots, "metadata": metadata}
         self._tables: dict[str, DataFrame] = {}
 
@@ -36,7 +41,10 @@ class Stages:
         if name not in self._tables:
             path = f"{self.root}/{name}"
             build = self._sources[name] if name in self._sources else getattr(self, f"_{name}")()
-            build.write.mode("overwrite").parquet(path)
+            if self.check_values:
+                rules.write_valid(build, path, name)
+            else:
+                build.write.mode("overwrite").parquet(path)
             self._tables[name] = self.spark.read.parquet(path)
         return self._tables[name]
 
