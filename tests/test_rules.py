@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from builders import frames, metadata, snapshot
-from themelens.operators import rules
+from themelens.operators import presence, rules
 from themelens.plans.stages import Stages
 from themelens.session import scratch_dir
 
@@ -50,3 +50,25 @@ def test_a_broken_row_stops_the_run(spark, tables):
 
 def test_no_rows_break_nothing(spark, tables):
     rules.write_valid(tables.table("growth").limit(0), f"{scratch_dir(spark)}/t", "growth")
+
+
+def test_presence_masks_tell_every_missing_key(spark):
+    tables = {
+        "a": spark.createDataFrame([(1,), (1,), (2,), (None,)], "k int"),
+        "b": spark.createDataFrame([(2,), (3,)], "k int"),
+        "c": spark.createDataFrame([], "k int"),
+    }
+    pairs = {"a_b": ("a", "b"), "b_a": ("b", "a"), "b_c": ("b", "c"), "c_a": ("c", "a")}
+    found = presence.missing_keys(tables, ["k"], pairs)
+    assert {row.rule: row.row_count for row in found.collect()} == {"a_b": 2, "b_a": 1, "b_c": 2, "c_a": 0}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_one_stamp_a_series(spark):
+    schema = "scope_name string, cadence string, calculated_at timestamp"
+    first = spark.createDataFrame([("s", "monthly", None), ("t", "monthly", None)], schema)
+    stamped = first.withColumn("calculated_at", F.lit("2024-01-01").cast("timestamp"))
+    late = stamped.where("scope_name = 't'").withColumn("calculated_at", F.lit("2024-01-02").cast("timestamp"))
+    for tables, number in (([first], 0), ([stamped], 0), ([stamped, late], 1), ([stamped, first], 2), ([first.limit(0)], 0)):
+        assert presence.mixed_stamps(tables).first().row_count == number

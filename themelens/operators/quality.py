@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from themelens.constants import DIMENSIONS, LEADER_TYPES, PERIOD, THEME
 from themelens.functions.numeric import count_where, is_close, total
 from themelens.functions.text import normalize_genre
 from themelens.operators.calendar import is_natural_month, month_gaps
+from themelens.operators.presence import missing_keys, mixed_stamps, rule_counts
 from themelens.operators.proxy import invalid_revenue
 
 PROVENANCE = ("scope_country", "device_type", "category", "data_model")
@@ -212,65 +214,75 @@ def input_violations(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def _missing(left: DataFrame, right: DataFrame, keys: Sequence[str], rule: str) -> DataFrame:
-    """Number of distinct keys of ``left`` without a partner, one row per rule."""
-    keys = list(keys)
-    gap = left.select(*keys).distinct().join(right.select(*keys).distinct(), keys, "left_anti")
-    return gap.agg(F.count(F.lit(1)).alias("row_count")).withColumn("rule", F.lit(rule))
-
-
-def _broken(df: DataFrame, rule: str) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("row_count")).withColumn("rule", F.lit(rule))
-
-
 def _all(parts: Sequence[DataFrame]) -> DataFrame:
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found.select("rule", "row_count")
+    return reduce(DataFrame.unionByName, parts).select("rule", "row_count")
 
 
 def referential_checks(themes: DataFrame, structure: DataFrame, growth: DataFrame, dimensions: DataFrame, leaders: DataFrame) -> DataFrame:
     """Theme sets of all opportunity tables agree; leader ranks run 1..n up to three."""
+    tables = {"themes": themes, "structure": structure, "growth": growth, "dimensions": dimensions, "leaders": leaders}
     ranks = leaders.groupBy(*THEME, "evidence_type").agg(
         F.count(F.lit(1)).alias("_n"), F.max("evidence_rank").alias("_max"), F.min("evidence_rank").alias("_min")
     )
+    unknown = ~F.col("evidence_type").isin(*LEADER_TYPES)
     return _all(
         [
-            _missing(themes, structure, THEME, "theme_without_structure"),
-            _missing(structure, themes, THEME, "structure_without_theme"),
-            _missing(themes, growth, THEME, "theme_without_growth"),
-            _missing(growth, themes, THEME, "growth_without_theme"),
-            _missing(dimensions, themes, THEME, "dimension_without_theme"),
-            _missing(leaders, themes, THEME, "leader_without_theme"),
-            _broken(
-                ranks.where((F.col("_min") != 1) | (F.col("_max") != F.col("_n")) | (F.col("_max") > 3)),
-                "leader_ranks_not_contiguous",
+            missing_keys(
+                tables,
+                THEME,
+                {
+                    "theme_without_structure": ("themes", "structure"),
+                    "structure_without_theme": ("structure", "themes"),
+                    "theme_without_growth": ("themes", "growth"),
+                    "growth_without_theme": ("growth", "themes"),
+                    "dimension_without_theme": ("dimensions", "themes"),
+                    "leader_without_theme": ("leaders", "themes"),
+                },
+            ),
+            rule_counts(
+                ranks,
+                {"leader_ranks_not_contiguous": (F.col("_min") != 1) | (F.col("_max") != F.col("_n")) | (F.col("_max") > 3)},
             ),
-            _broken(leaders.where(~F.col("evidence_type").isin(*LEADER_TYPES)), "unknown_leader_type"),
+            rule_counts(leaders, {"unknown_leader_type": unknown}),
         ]
     )
 
 
 def model_checks(horizons: DataFrame, profiles: DataFrame, summaries: DataFrame, scores: DataFrame) -> DataFrame:
     """Horizon, season and score rows belong to a summary; a season profile is complete and averages one."""
-    keys = [*THEME, "metric_name"]
-    seasons = profiles.groupBy(*keys).agg(
+    tables = {
+        "horizons": horizons,
+        "profiles": profiles,
+        "summaries": summaries,
+        "scores": scores,
+        "history": summaries.where("has_6m_history"),
+    }
+    seasons = profiles.groupBy(*THEME, "metric_name").agg(
         F.count(F.lit(1)).alias("_n"),
         count_where(F.col("is_peak_month")).alias("_peaks"),
         count_where(F.col("is_trough_month")).alias("_troughs"),
         F.avg("seasonal_index").alias("_mean"),
     )
-    with_history = summaries.where("has_6m_history")
     return _all(
         [
-            _missing(horizons, summaries, THEME, "horizon_without_summary"),
-            _missing(profiles, summaries, THEME, "season_without_summary"),
-            _missing(scores, with_history, THEME, "score_without_history"),
-            _missing(with_history, scores, THEME, "history_without_score"),
-            _broken(seasons.where(F.col("_n") != 12), "season_not_twelve_months"),
-            _broken(seasons.where((F.col("_peaks") != 1) | (F.col("_troughs") != 1)), "season_without_one_peak_and_trough"),
-            _broken(seasons.where(~is_close(F.col("_mean"), F.lit(1.0), 1e-9, 1e-9)), "season_mean_not_one"),
+            missing_keys(
+                tables,
+                THEME,
+                {
+                    "horizon_without_summary": ("horizons", "summaries"),
+                    "season_without_summary": ("profiles", "summaries"),
+                    "score_without_history": ("scores", "history"),
+                    "history_without_score": ("history", "scores"),
+                },
+            ),
+            rule_counts(
+                seasons,
+                {
+                    "season_not_twelve_months": F.col("_n") != 12,
+                    "season_without_one_peak_and_trough": (F.col("_peaks") != 1) | (F.col("_troughs") != 1),
+                    "season_mean_not_one": ~is_close(F.col("_mean"), F.lit(1.0), 1e-9, 1e-9),
+                },
+            ),
         ]
     )
 
@@ -283,79 +295,68 @@ def backtest_checks(outcomes: DataFrame, features: DataFrame, totals: DataFrame,
         "scope_name", "cadence", F.col("period_start").alias("decision_period_start"), "game_theme"
     )
     shifted = F.add_months("decision_period_start", F.col("outcome_horizon_months"))
+    tables = {"outcomes": outcomes, "months": months, "decisions": decisions}
     return _all(
         [
-            _broken(registry.where(F.col("_n") != 228), "feature_registry_incomplete"),
-            _missing(outcomes, months, months.columns, "outcome_month_not_stored"),
-            _missing(outcomes, decisions, decisions.columns, "outcome_without_decision_theme"),
-            _broken(outcomes.where(F.col("outcome_period_start") != shifted), "outcome_month_not_at_horizon"),
+            rule_counts(registry, {"feature_registry_incomplete": F.col("_n") != 228}),
+            *[
+                missing_keys({"outcomes": outcomes, name: tables[name]}, tables[name].columns, {rule: ("outcomes", name)})
+                for name, rule in (
+                    ("months", "outcome_month_not_stored"),
+                    ("decisions", "outcome_without_decision_theme"),
+                )
+            ],
+            rule_counts(outcomes, {"outcome_month_not_at_horizon": F.col("outcome_period_start") != shifted}),
         ]
     )
 
 
 def decision_checks(summaries: DataFrame, windows: DataFrame, risks: DataFrame, fits: DataFrame, migrations: DataFrame) -> DataFrame:
-    """Unique decisions, three windows each, risks and migrations backed by their parents."""
-    twice = summaries.groupBy(*THEME).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    """Unique decisions, three windows each, risks and migrations backed by their parents, one stamp for all tables.
+
+    The stamp is checked over the tables that carry ``calculated_at``.
+    """
+    twice = summaries.groupBy(*THEME).agg(F.count(F.lit(1)).alias("_n"))
     per_theme = windows.groupBy(*THEME).agg(
         F.count(F.lit(1)).alias("_n"), F.min("horizon_months").alias("_a"), F.max("horizon_months").alias("_b")
     )
-    source = [*THEME, "validated_source_game_subgenre"]
-    target = [*THEME, "target_observed_game_subgenre"]
-    validated = fits.where(F.col("fit_state") == "validated_fit").withColumnRenamed("game_subgenre", source[-1])
-    observed = fits.where(F.col("fit_state") == "observed_fit").withColumnRenamed("game_subgenre", target[-1])
+    part = [*THEME, "game_subgenre"]
+    parts = {
+        "sources": migrations.withColumnRenamed("validated_source_game_subgenre", "game_subgenre"),
+        "targets": migrations.withColumnRenamed("target_observed_game_subgenre", "game_subgenre"),
+        "validated": fits.where(F.col("fit_state") == "validated_fit"),
+        "observed": fits.where(F.col("fit_state") == "observed_fit"),
+    }
+    stamped = [rows for rows in (summaries, windows, risks, fits, migrations) if "calculated_at" in rows.columns]
     return _all(
         [
-            _broken(twice, "duplicate_decision"),
-            _broken(per_theme.where((F.col("_n") != 3) | (F.col("_a") != 1) | (F.col("_b") != 3)), "not_three_windows"),
-            _broken(windows.where("is_forecast"), "window_marked_as_forecast"),
-            _missing(summaries, windows, THEME, "decision_without_windows"),
-            _missing(risks, summaries, THEME, "risk_without_decision"),
-            _missing(migrations, validated, source, "migration_source_not_validated"),
-            _missing(migrations, observed, target, "migration_target_not_observed"),
+            rule_counts(twice, {"duplicate_decision": F.col("_n") > 1}),
+            rule_counts(
+                per_theme, {"not_three_windows": (F.col("_n") != 3) | (F.col("_a") != 1) | (F.col("_b") != 3)}
+            ),
+            rule_counts(windows, {"window_marked_as_forecast": F.col("is_forecast")}),
+            missing_keys(
+                {"summaries": summaries, "windows": windows, "risks": risks},
+                THEME,
+                {
+                    "decision_without_windows": ("summaries", "windows"),
+                    "window_without_decision": ("windows", "summaries"),
+                    "risk_without_decision": ("risks", "summaries"),
+                },
+            ),
+            missing_keys(
+                parts,
+                part,
+                {
+                    "migration_source_not_validated": ("sources", "validated"),
+                    "migration_target_not_observed": ("targets", "observed"),
+                },
+            ),
+            *([mixed_stamps(stamped)] if stamped else []),
         ]
     )
 
 
-def value_checks(tables: Mapping[str, Mapping[str, tuple[DataFrame, Column]]]) -> DataFrame:
-    """Rows violating each (table, rule): one pass per table, rules unpivoted."""
-    parts = []
-    for table, rules in tables.items():
-        frames = {id(frame): frame for frame, _ in rules.values()}
-        if len(frames) != 1:
-            raise ValueError(f"rules of {table} must share one DataFrame")
-        frame = next(iter(frames.values()))
-        counts = frame.agg(*[count_where(~F.coalesce(ok, F.lit(True))).alias(rule) for rule, (_, ok) in rules.items()])
-        entries = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("row_count")) for r in rules])
-        parts.append(
-            counts.select(F.explode(entries).alias("_r")).select(
-                F.lit(table).alias("table_name"), "_r.rule", "_r.row_count"
-            )
-        )
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found
-
-
-def standard_value_rules(tables: Mapping[str, DataFrame]) -> dict[str, dict[str, tuple[DataFrame, Column]]]:
-    """Range, coverage and label rules for the stage tables, derived from their column names."""
-    rules: dict[str, dict[str, tuple[DataFrame, Column]]] = {}
-    for table, frame in tables.items():
-        own: dict[str, tuple[DataFrame, Column]] = {}
-        for name in frame.columns:
-            value = F.col(name)
-            if name.endswith("_share") or name.endswith(("_ratio", "_rate", "_percentile", "_hhi")):
-                if "relative" not in name and "to_mean" not in name and "growth_rate" not in name:
-                    own[f"{name}_between_0_and_1"] = (frame, value.between(-1e-9, 1 + 1e-9))
-            elif name.endswith("_count") and not name.startswith("direction_evidence"):
-                own[f"{name}_not_negative"] = (frame, value >= 0)
-            coverage = name.replace("_sum", "_coverage_count")
-            if name.endswith("_sum") and coverage in frame.columns:
-                own[f"{name}_null_iff_not_covered"] = (frame, value.isNull() == (F.col(coverage) == 0))
-        rules[table] = own
-    return rules
-
-
 def run_summary(totals: DataFrame, outputs: Mapping[str, DataFrame], dimensions: DataFrame) -> DataFrame:
     """Source, coverage and output row counts of one aggregation run as (name, row_count)."""
     sums = {

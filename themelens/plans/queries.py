@@ -6,7 +6,7 @@ import datetime
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -1021,14 +1021,38 @@ simple(
 )
 
 
+# Each check gets tables of which rows were taken or changed, so that every rule finds some.
+def _theme(name: str) -> Column:
+    return F.col("game_theme") == name
+
+
+def _in_month(number: int) -> Column:
+    return F.month("period_start") == number
+
+
 simple(
     "referential_checks",
     lambda run: quality.referential_checks(
-        run.themes, run.structure, run.growth, run.dimensions, run.leaders.where((F.col("evidence_rank") != 2) | (F.col("evidence_type") != "revenue_leader"))
+        run.themes.where(~_theme("Unknown")),
+        run.structure.where(~_theme("N/A")),
+        run.growth.where(~_in_month(3)),
+        run.dimensions,
+        run.leaders.where((F.col("evidence_rank") != 2) | (F.col("evidence_type") != "revenue_leader")).withColumn(
+            "evidence_type",
+            F.when(_in_month(5) & (F.col("evidence_type") == "downloads_growth_leader"), "other").otherwise(
+                F.col("evidence_type")
+            ),
+        ),
     ),
     "rule row_count",
-    """FROM (SELECT * FROM (VALUES ('theme_without_structure', 0), ('structure_without_theme', 0), ('theme_without_growth', 0), ('growth_without_theme', 0),
-      ('dimension_without_theme', 0), ('leader_without_theme', 0), ('unknown_leader_type', 0)) v(rule, row_count)
+    f"""FROM (SELECT 'theme_without_structure' AS rule, count(*) AS row_count FROM themes WHERE game_theme = 'N/A'
+      UNION ALL SELECT 'structure_without_theme', count(*) FROM structure WHERE game_theme = 'Unknown'
+      UNION ALL SELECT 'theme_without_growth', count(*) FROM themes WHERE game_theme <> 'Unknown' AND month(period_start) = 3
+      UNION ALL SELECT 'growth_without_theme', count(*) FROM growth WHERE game_theme = 'Unknown' AND month(period_start) <> 3
+      UNION ALL SELECT 'dimension_without_theme', count(DISTINCT ({sql.KT})) FROM dims WHERE game_theme = 'Unknown'
+      UNION ALL SELECT 'leader_without_theme', count(DISTINCT ({sql.KT})) FROM leaders WHERE game_theme = 'Unknown'
+        AND NOT (evidence_type = 'revenue_leader' AND evidence_rank = 2)
+      UNION ALL SELECT 'unknown_leader_type', count(*) FROM leaders WHERE evidence_type = 'downloads_growth_leader' AND month(period_start) = 5
       UNION ALL SELECT 'leader_ranks_not_contiguous', count(*) FROM leaders WHERE evidence_type = 'revenue_leader' AND evidence_rank = 3)""",
     merge="sum",
 )
@@ -1038,11 +1062,16 @@ _SEASON_LEFT = f"""SELECT count(*) FILTER (is_peak_month) AS peaks, count(*) FIL
 simple(
     "model_checks",
     lambda run: quality.model_checks(
-        run.horizons, run.seasonality.where(F.col("calendar_month") != 6), run.summaries, run.scores.where(F.col("game_theme") != "Unknown")
+        run.horizons,
+        run.seasonality.where(F.col("calendar_month") != 6),
+        run.summaries.where(~_in_month(2)),
+        run.scores.where(~_theme("Unknown")),
     ),
     "rule row_count",
-    f"""FROM (SELECT * FROM (VALUES ('horizon_without_summary', 0), ('season_without_summary', 0), ('score_without_history', 0)) v(rule, row_count)
-      UNION ALL SELECT 'history_without_score', count(*) FROM summaries WHERE has_6m_history AND game_theme = 'Unknown'
+    f"""FROM (SELECT 'horizon_without_summary' AS rule, count(DISTINCT ({sql.KT})) AS row_count FROM horizons WHERE month(period_start) = 2
+      UNION ALL SELECT 'season_without_summary', count(DISTINCT ({sql.KT})) FROM season WHERE month(period_start) = 2
+      UNION ALL SELECT 'score_without_history', count(*) FROM scores WHERE month(period_start) = 2 AND game_theme <> 'Unknown'
+      UNION ALL SELECT 'history_without_score', count(*) FROM summaries WHERE has_6m_history AND game_theme = 'Unknown' AND month(period_start) <> 2
       UNION ALL SELECT 'season_not_twelve_months', count(*) FROM (SELECT DISTINCT {sql.KT}, metric_name FROM season)
       UNION ALL SELECT 'season_without_one_peak_and_trough', count(*) FROM ({_SEASON_LEFT}) WHERE peaks <> 1 OR troughs <> 1
       UNION ALL SELECT 'season_mean_not_one', count(*) FROM ({_SEASON_LEFT}) WHERE abs(mean - 1) > 1e-9 * greatest(abs(mean), 1))""",
@@ -1051,26 +1080,55 @@ simple(
 simple(
     "backtest_checks",
     lambda run: quality.backtest_checks(
-        run.outcomes, run.table("feature_metrics"), run.totals, run.structure.where(F.col("game_theme") != "N/A")
+        run.outcomes.withColumn(
+            "outcome_period_start",
+            F.when(_theme("Unknown") & (F.col("outcome_horizon_months") == 3), F.col("decision_period_start")).otherwise(
+                F.col("outcome_period_start")
+            ),
+        ),
+        run.table("feature_metrics").where(F.col("feature_name") != "legacy_6m_momentum_score"),
+        run.totals.where(~_in_month(9)),
+        run.structure.where(~_theme("N/A")),
     ),
     "rule row_count",
-    """FROM (SELECT * FROM (VALUES ('feature_registry_incomplete', 0), ('outcome_month_not_stored', 0), ('outcome_month_not_at_horizon', 0)) v(rule, row_count)
+    """FROM (SELECT 'feature_registry_incomplete' AS rule, 1 AS row_count
+      UNION ALL SELECT 'outcome_month_not_stored', count(DISTINCT CASE WHEN game_theme = 'Unknown' AND outcome_horizon_months = 3
+        THEN decision_period_start ELSE outcome_period_start END) FROM outcomes
+        WHERE month(CASE WHEN game_theme = 'Unknown' AND outcome_horizon_months = 3 THEN decision_period_start ELSE outcome_period_start END) = 9
+      UNION ALL SELECT 'outcome_month_not_at_horizon', count(*) FROM outcomes WHERE game_theme = 'Unknown' AND outcome_horizon_months = 3
       UNION ALL SELECT 'outcome_without_decision_theme', count(DISTINCT decision_period_start) FROM outcomes WHERE game_theme = 'N/A')""",
     merge="sum",
 )
+
+
+def _faulty_decisions(run: Stages) -> DataFrame:
+    """Decision tables of one stamp but for the risks of one scope."""
+    stamp = F.lit("2002-01-01 00:00:00").cast("timestamp")
+    summaries = decision.decision_summaries(run.assessed).where(~_in_month(11))
+    windows = decision.launch_window_assessments(run.assessed).where(~_theme("N/A") & ~(_theme("Unknown") & (F.col("horizon_months") == 2)))
+    late = F.when(F.col("scope_name") == "niche", stamp + F.expr("INTERVAL 1 SECOND")).otherwise(stamp)
+    return quality.decision_checks(
+        summaries.unionByName(summaries.where(_theme("Unknown") & _in_month(3))).withColumn("calculated_at", stamp),
+        windows.withColumns({"is_forecast": _in_month(5) & (F.col("horizon_months") == 1), "calculated_at": stamp}),
+        decision.risk_rows(run.assessed).withColumn("calculated_at", late),
+        run.fits.where(~_in_month(6)),
+        decision.migration_hypotheses(run.fits),
+    )
+
+
 simple(
     "decision_checks",
-    lambda run: quality.decision_checks(
-        decision.decision_summaries(run.assessed),
-        decision.launch_window_assessments(run.assessed.where(F.col("game_theme") != "N/A")),
-        decision.risk_rows(run.assessed),
-        run.fits,
-        decision.migration_hypotheses(run.fits),
-    ),
+    _faulty_decisions,
     "rule row_count",
-    """FROM (SELECT * FROM (VALUES ('duplicate_decision', 0), ('not_three_windows', 0), ('window_marked_as_forecast', 0), ('risk_without_decision', 0),
-      ('migration_source_not_validated', 0), ('migration_target_not_observed', 0)) v(rule, row_count)
-      UNION ALL SELECT 'decision_without_windows', count(*) FROM themes WHERE game_theme = 'N/A')""",
+    f"""FROM (SELECT 'duplicate_decision' AS rule, count(*) AS row_count FROM decisions WHERE game_theme = 'Unknown' AND month(period_start) = 3
+      UNION ALL SELECT 'not_three_windows', count(*) FROM decisions WHERE game_theme = 'Unknown'
+      UNION ALL SELECT 'window_marked_as_forecast', count(*) FROM decisions WHERE game_theme <> 'N/A' AND month(period_start) = 5
+      UNION ALL SELECT 'decision_without_windows', count(*) FROM decisions WHERE game_theme = 'N/A' AND month(period_start) <> 11
+      UNION ALL SELECT 'window_without_decision', count(*) FROM decisions WHERE game_theme <> 'N/A' AND month(period_start) = 11
+      UNION ALL SELECT 'risk_without_decision', count(DISTINCT ({sql.KT})) FROM risks WHERE month(period_start) = 11
+      UNION ALL SELECT 'migration_source_not_validated', count(DISTINCT ({sql.KT}, validated_source_game_subgenre)) FROM migrations WHERE month(period_start) = 6
+      UNION ALL SELECT 'migration_target_not_observed', count(DISTINCT ({sql.KT}, target_observed_game_subgenre)) FROM migrations WHERE month(period_start) = 6
+      UNION ALL SELECT 'more_than_one_calculated_at', ($scope = 'niche')::INTEGER)""",
     merge="sum",
 )
 #: Tables of the value rules: (relation of the run, columns, relation of the reference SQL).
