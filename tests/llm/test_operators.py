@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -234,6 +235,66 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def plain_features(text):
+    """Hashed 2- and 3-grams one by one, in Python integers."""
+    codes, word = [ord(c) for c in text.lower()], 2**32 - 1
+
+    def mixed(h):
+        h ^= h >> 15
+        return ((h * 0x2C1B3C6D) & word) >> (32 - language.BITS)
+
+    for k in range(len(codes) - 1):
+        pair = (codes[k] * 0x9E3779B1 + codes[k + 1] * 0x85EBCA6B) & word
+        yield mixed(pair)
+        if k + 2 < len(codes):
+            triple = (pair * 0xC2B2AE35 + codes[k + 2] * 0x27D4EB2F) & word
+            yield mixed(triple ^ 0x165667B1)
+
+
+def test_language_equals_a_plain_naive_bayes(spark):
+    rows = [row for row in corpus() if row[0] is not None and len(row[1] or "") < 5000]
+    counts, docs = {}, Counter()
+    for i, text, lang, *_ in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1 and text is not None and lang is not None:
+            docs[lang] += 1
+            counts.setdefault(lang, Counter()).update(plain_features(text))
+    size = 1 << language.BITS
+    expected = {}
+    for i, text, *_ in rows:
+        if not text or not any(c.isalpha() for c in text):
+            expected.setdefault(i, []).append(("und", 0.0))
+            continue
+        grams, joint = Counter(plain_features(text)), {}
+        for lang, own in counts.items():
+            whole = sum(own.values()) + language.SMOOTHING * size
+            joint[lang] = math.log(docs[lang] / sum(docs.values())) + sum(
+                n * math.log((own[g] + language.SMOOTHING) / whole) for g, n in grams.items()
+            )
+        best = min(joint, key=lambda lang: (-joint[lang], lang))
+        expected.setdefault(i, []).append((best, 1 / sum(math.exp(v - joint[best]) for v in joint.values())))
+    found = {}
+    for r in language.identify(table(spark, rows)).collect():
+        found.setdefault(r.doc_id, []).append((r.lang_pred, r.score))
+    assert found.keys() == expected.keys()
+    for i, pairs in expected.items():
+        for (a, x), (b, y) in zip(sorted(pairs), sorted(found[i]), strict=True):
+            assert a == b and abs(x - y) < 1e-3, (i, a, x, b, y)
+
+
+def test_language_scores_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(3)
+    model = language.Model(("a", "b", "c"), rng.normal(size=(1 << language.BITS, 3)).astype(np.float32), np.zeros(3))
+    texts = ["ab" * k + "xyz" for k in range(40)] + ["", None, "1 2", "q", "word " * 150_000]
+    assert model.predict(texts) == [model.predict([text])[0] for text in texts]
+    assert model.predict([]) == []
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 2)
+    with pytest.raises(language.TooManyLanguagesError):
+        language.train(table(spark))
+
+
 def test_language_depends_on_the_text_alone(spark):
     rows = [(i, t, x, s, n) for i, t, x, s, n in corpus() if i is not None]
     changed = [(i, t, "zz" if zlib.crc32(str(i).encode()) % 3 == 1 else x, "q", 0) for i, t, x, s, n in rows]

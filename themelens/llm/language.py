@@ -2,7 +2,8 @@
 
 Training counts hashed character 2- and 3-grams per language inside the tasks, sums them in Spark, and hands the
 log-probability matrix (languages x ``2**BITS`` float32, a size that does not depend on the number of documents) to the
-executors as a broadcast. Scoring gathers the matrix rows of a document's n-grams in numpy and adds them up.
+executors as a broadcast. Scoring turns a batch of texts into one sparse matrix of counts (rows: texts, or blocks of
+long ones; columns: features) and multiplies it by the matrix in numpy.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from themelens.llm.common import body, chunks
 BITS = 15
 #: Added to every count.
 SMOOTHING = 0.5
+#: Languages that are learned; their matrix has 2**15 x 4 bytes a language (64 MB for all of them).
+LANGUAGES = 512
+#: Nonzero entries of a batch's sparse matrix times languages that are multiplied at once.
+PRODUCTS = 1 << 21
 #: Characters that are turned into features at once.
 BLOCK = 1 << 18
 
@@ -40,6 +45,19 @@ def features(text: str) -> Iterator[np.ndarray]:
         yield mixed >> np.uint32(32 - BITS)
 
 
+def sparse(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features of a block in ascending order, and how often each occurs."""
+    if len(block) < 1 << (BITS - 2):
+        return np.unique(block, return_counts=True)
+    counts = np.bincount(block, minlength=1 << BITS)
+    at = np.flatnonzero(counts)
+    return at, counts[at]
+
+
+class TooManyLanguagesError(ValueError):
+    """More values of the language column than the model's stated limit."""
+
+
 @dataclass(frozen=True)
 class Model:
     """Learned values in ascending order; ``weights[feature, language]``; log share of each language's documents."""
@@ -48,22 +66,59 @@ class Model:
     weights: np.ndarray
     prior: np.ndarray
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def totals(self, texts: list[str]) -> np.ndarray:
+        """Joint log probability of each text with each language; a text's sums do not depend on its batch."""
+        found = np.tile(self.prior, (len(texts), 1))
+        rows: list[int] = []
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
+
+        def multiply() -> None:
+            starts = np.cumsum([0] + [len(at) for at, _ in parts[:-1]])
+            values = self.weights[np.concatenate([at for at, _ in parts])].astype(np.float64)
+            values *= np.concatenate([n for _, n in parts])[:, None]
+            np.add.at(found, rows, np.add.reduceat(values, starts, axis=0))
+            rows.clear()
+            parts.clear()
+
+        for row, text in enumerate(texts):
+            for block in features(text):
+                if len(block):
+                    rows.append(row)
+                    parts.append(sparse(block))
+                    held += len(parts[-1][0])
+                    if held * len(self.languages) > PRODUCTS:
+                        multiply()
+                        held = 0
+        if parts:
+            multiply()
+        return found
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Most probable language, the first in order of ties, and its posterior; ``und``, 0.0 without a letter."""
-        if not self.languages or not text or not any(map(str.isalpha, text)):
-            return UNDETERMINED, 0.0
-        total = self.prior.copy()
-        for block in features(text):
-            total += self.weights[block].sum(axis=0, dtype=np.float64)
-        best = int(total.argmax())
-        return self.languages[best], float(1.0 / np.exp(total - total[best]).sum())
+        found = [(UNDETERMINED, 0.0)] * len(texts)
+        places = [k for k, text in enumerate(texts) if text and any(map(str.isalpha, text))]
+        if not self.languages or not places:
+            return found
+        total = self.totals([texts[k] for k in places])
+        best = total.argmax(axis=1)
+        score = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+        for k, language, value in zip(places, best.tolist(), score.tolist(), strict=True):
+            found[k] = (self.languages[language], value)
+        return found
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """Fit on all rows with a language and a text. No rows: a model that answers ``und``."""
+    """Fit on all rows with a language and a text. No rows: a model that answers ``und``.
+
+    More than ``LANGUAGES`` values raise ``TooManyLanguagesError`` before any feature is counted.
+    """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")
     )
+    known = rows.select("lang").distinct().limit(LANGUAGES + 1).count()
+    if known > LANGUAGES:
+        raise TooManyLanguagesError(f"more than {LANGUAGES} languages")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -109,7 +164,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", row: str = "ro
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in chunks(batches):
-            found = [own.predict(value) for value in batch.column(1).to_pylist()]
+            found = own.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
