@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.samples import COLUMNS, corpus, rows_of, table
 from themelens.llm import manifest
@@ -70,6 +71,15 @@ def test_the_corpus_and_repeated_rows(spark):
     assert rows_of(found) == plain(rows)
 
 
+def test_every_leaf_is_folded(spark, monkeypatch):
+    whole = manifest.proved
+    wrong = F.regexp_replace("proof", "^(.*?)[0-9a-f]{64}", f"$1{'0' * 64}")
+    monkeypatch.setattr(manifest, "proved", lambda *args: whole(*args).withColumn("proof", wrong))
+    rows = [(k, "no line feed", "en", "s", 12) for k in range(20)]
+    found = manifest.report(table(spark, rows)).collect()
+    assert len(found) == 20 and not any(r.verified for r in found)
+
+
 @pytest.mark.parametrize("levels", [1, 2])
 def test_runs_of_any_height_give_the_same(spark, levels):
     rng = random.Random(levels)

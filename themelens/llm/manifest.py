@@ -269,8 +269,8 @@ def report(docs: DataFrame, most: int = HEIGHT) -> DataFrame:
             leaves, subroots, roots = ([d.hex() for d in batch.column(k).to_pylist()] for k in (1, 2, 3))
             proofs, changed = batch.column(4).to_pylist(), batch.column(5).to_pylist()
             folded = [
-                root if new is None else fold(new.hex(), proof)
-                for root, proof, new in zip(roots, proofs, changed, strict=True)
+                fold(own if new is None else new.hex(), proof)
+                for own, proof, new in zip(leaves, proofs, changed, strict=True)
             ]
             hashes = [_hash(siblings(proof)) for proof in proofs]
             columns = [pa.array(x, pa.string()) for x in (leaves, subroots, roots, hashes, folded)]
