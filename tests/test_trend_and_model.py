@@ -1,10 +1,12 @@
 import datetime
+from types import SimpleNamespace
 
 import pytest
 from builders import frames, metadata, month, rows_by, snapshot
 from pyspark.sql import functions as F
 
 from themelens.operators import calendar, model, monthly, opportunity, trend
+from themelens.plans.queries import QUERIES
 
 
 def months_from(year, number, count):
@@ -69,6 +71,17 @@ def test_exclusion_reasons_in_order(spark, theme, products, active, share, new,
     assert df.select(trend.exclusion_reason().alias("r")).first().r == expected
 
 
+def test_the_latest_ranking_is_of_the_last_month_of_all(spark):
+    scores = spark.createDataFrame(
+        [("s", "monthly", *month(year, 3), f"{year}-{rank}", rank, 50.0, 90.0) for year in (1996, 2021) for rank in range(1, 13)],
+        "scope_name string, cadence string, period_start date, period_end date, game_theme string, trend_rank int,"
+        " trend_score double, confidence_score double",
+    )
+    found = QUERIES["latest_ranking"].build(SimpleNamespace(scores=scores), spark, "").collect()
+    assert {r.game_theme for r in found} == {f"2021-{rank}" for rank in range(1, 11)}
+    assert "DATE '" not in QUERIES["latest_ranking"].reference.rsplit("FROM scores", 2)[1]
+
+
 def test_gap_in_history_is_refused(history):
     totals, *_ = history
     holed = totals.where(F.col("period_start") != datetime.date(2021, 5, 1))
