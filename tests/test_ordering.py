@@ -91,3 +91,19 @@ def test_top_rows_limits_before_the_shuffle(spark):
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
     assert sorted((r.g, r.v) for r in top.collect()) == [(0, 994), (0, 996), (0, 998), (1, 995), (1, 997), (1, 999)]
+
+
+def test_few_rows_of_a_large_group_are_left_to_be_sorted(spark):
+    df = spark.range(100_000).select(
+        F.when(F.col("id") % 100 > 0, F.lit("hot")).alias("g"),
+        (F.col("id") * 7919 % 100_003).cast("double").alias("v"),
+        F.when(F.col("id") % 1000 == 5, F.col("id")).alias("w"),
+        F.when(F.col("id") < 2, 1).alias("few"),
+    )
+    values = {name: F.col(name) for name in ("v", "w", "few")}
+    near = ordering.leading_values(df, ["g"], values, 5).cache()
+    assert near.count() < 100
+    for name in values:
+        for group in ("hot", None):
+            top = lambda rows, c: [r[0] for r in rows.where(F.col("g").eqNullSafe(group)).select(c).dropna().orderBy(F.desc(c)).limit(5).collect()]  # noqa: B023, E731
+            assert top(near, f"_top_{name}") == top(df, name)
