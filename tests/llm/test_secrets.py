@@ -9,6 +9,7 @@ import string
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.samples import COLUMNS, corpus, table
 from themelens.llm import secrets
@@ -144,6 +145,21 @@ def test_gradients_and_parts(monkeypatch):
     assert np.allclose([net.logits([s])[0] for s in sequences], whole)
 
 
+def test_all_candidates_train_in_any_number_of_shards(spark, monkeypatch):
+    """Findings of any length count: here all are longer than 512 bytes."""
+    rng = random.Random(9)
+    texts = [(mixed(rng, 560), True) for _ in range(300)] + [(f"mail{k}.example.com", False) for k in range(900)]
+    rows = [((np.frombuffer(text.encode(), np.uint8) | 128).tobytes(), labelled) for text, labelled in texts]
+    every = spark.createDataFrame(rows, "symbols binary, labelled boolean")
+    found = every.select(F.array(F.struct("labelled", "symbols")).alias("candidates"))
+    labels = np.array([labelled for _, labelled in rows])
+    for shard in (secrets.SHARD, 400):
+        monkeypatch.setattr(secrets, "SHARD", shard)
+        net = secrets.train(found.unionByName(found))
+        p = net.probabilities([s for s, _ in rows])
+        assert (p[labels] >= net.threshold).mean() >= 0.97 and (p[~labels] < net.threshold).mean() >= 0.97
+
+
 def test_nothing_to_learn_from_adds_nothing(spark):
     assert secrets.report(spark.createDataFrame([], COLUMNS)).collect() == []
     rows = [(1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "token=abcdef12345678", "en", "s", 0)]
