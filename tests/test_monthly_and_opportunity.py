@@ -184,3 +184,17 @@ def test_month_quality_counts_structural_issues(spark):
     assert row.structural_issue_count == 3 and row.duplicate_unified_app_count == 1 and not row.ranks_are_contiguous
     assert (row.downloads_negative_count, row.downloads_zero_count, row.name_coverage_count, row.publisher_coverage_count) == (1, 1, 2, 0)
     assert {r.rule for r in quality.period_violations(rows).collect()} == {"duplicate_product"}
+
+
+def test_only_product_counts_are_shuffled_by_publisher(spark):
+    snapshots = [snapshot((2024, m), f"p{k}", k, "T", float(k), 2.0 * k, subgenre="s") for m in (1, 2) for k in range(1, 7)]
+    rows, names = frames(spark, snapshots, [metadata(f"p{k}", f"P{k % 2}") for k in range(1, 5)])
+    facts = monthly.with_neighbour_months(monthly.attach_metadata(rows, names))
+    totals = monthly.monthly_market_totals(facts)
+    found = opportunity.dimension_metrics(facts, totals, monthly.theme_monthly_metrics(facts, totals))
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    grouped = [line for line in plan if "Aggregate [" in line and "dimension_value" in line and "publisher_display_name" in line]
+    assert grouped and not any("rank_position" in line for line in grouped)
+    for row in found.where("dimension_value = 's'").collect():
+        assert (row.product_count, row.publisher_coverage_count, row.publisher_count) == (6, 4, 2)
+        assert row.top_1_publisher_product_share == 0.5
