@@ -3,7 +3,7 @@ import datetime
 import pytest
 from builders import frames, metadata, rows_by, snapshot
 
-from themelens.operators import monthly, opportunity, proxy, quality
+from themelens.operators import calendar, monthly, opportunity, proxy, quality
 
 JAN, FEB = (2024, 1), (2024, 2)
 
@@ -198,3 +198,30 @@ def test_only_product_counts_are_shuffled_by_publisher(spark):
     for row in found.where("dimension_value = 's'").collect():
         assert (row.product_count, row.publisher_coverage_count, row.publisher_count) == (6, 4, 2)
         assert row.top_1_publisher_product_share == 0.5
+
+
+def test_facts_are_shuffled_by_product_once(spark):
+    snapshots = [snapshot(m, f"p{k}", k, "T", float(k), 2.0) for m in (JAN, FEB) for k in range(1, 7)]
+    snapshots += [snapshot(m, None, k, "T", 1.0, 1.0) for m in (JAN, FEB) for k in (7, 8)]
+    rows, names = frames(spark, snapshots, [metadata(f"p{k}", f"P{k % 2}") for k in range(1, 5)])
+    months = calendar.stored_months(rows)
+    got = monthly.product_facts(rows, names, months)
+    plan = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    by_product = [line for line in plan if "Exchange hashpartitioning(_product" in line]
+    assert len(by_product) == 2 and sum("REPARTITION_BY_COL" in line for line in by_product) == 1  # the facts, the metadata
+    assert len([line for line in plan if "BroadcastExchange" in line]) == 1  # the months
+    one = monthly.with_neighbour_months(monthly.attach_metadata(rows, names)).select(*got.columns)
+    assert one.exceptAll(got).isEmpty() and got.exceptAll(one).isEmpty() and got.count() == 16
+    alone = got.where("unified_app_id IS NULL").collect()
+    assert [(r.previous, r.following, r.has_metadata) for r in alone] == [(None, None, False)] * 4
+
+
+def test_stored_medians_and_publishers_give_the_same_rows(moving):
+    totals = monthly.monthly_market_totals(moving)
+    publishers, middles = monthly.publisher_totals(moving).cache(), monthly.theme_medians(moving).cache()
+    pairs = [
+        (opportunity.market_structure(moving, totals), opportunity.market_structure(moving, totals, None, publishers, middles)),
+        (monthly.theme_monthly_metrics(moving, totals), monthly.theme_monthly_metrics(moving, totals, publishers, middles)),
+    ]
+    for own, stored in pairs:
+        assert own.exceptAll(stored).isEmpty() and stored.exceptAll(own).isEmpty()

@@ -107,3 +107,26 @@ def test_few_rows_of_a_large_group_are_left_to_be_sorted(spark):
         for group in ("hot", None):
             top = lambda rows, c: [r[0] for r in rows.where(F.col("g").eqNullSafe(group)).select(c).dropna().orderBy(F.desc(c)).limit(5).collect()]  # noqa: B023, E731
             assert top(near, f"_top_{name}") == top(df, name)
+
+
+@pytest.mark.parametrize("gathered", [1 << 18, 150, 0])
+def test_medians_by_label_equal_pandas_and_shuffle_a_row_once(spark, gathered):
+    """Two label columns, NULL labels, labels and groups without a value; groups above and below the limit."""
+    pdf = sample().assign(x=lambda f: ["a" if i % 4 else None for i in f.id], y=lambda f: [f"y{i % 3}" for i in f.id])
+    pdf.loc[pdf.y == "y2", "v"] = None
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "id int, g string, v double, w int, x string, y string")
+    values = {"v": F.col("v"), "w": F.col("w")}
+    found = ordering.label_medians(df, ["g"], ["x", "y"], values, None, gathered)
+    if gathered == 1 << 18:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and plan.count("Exchange") == 1
+    got = {(r.g, r.dimension_type, r.dimension_value, n): r[n] for r in found.collect() for n in values}
+    want = {
+        (group, label, value, n): None if rows[n].isna().all() else rows[n].median()
+        for label in ("x", "y")
+        for (group, value), rows in pdf.dropna(subset=[label]).groupby(["g", label])
+        for n in values
+    }
+    assert None in want.values() and got == pytest.approx(want)
+    whole = {r.g: r.v for r in ordering.label_medians(df, ["g"], (), {"v": F.col("v")}, None, gathered).collect()}
+    assert whole == pytest.approx(pdf.groupby("g").v.median().to_dict())
