@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import math
 import random
@@ -26,6 +27,7 @@ from themelens.llm import (
     simhash,
     suffixes,
     tokenfile,
+    tokens,
 )
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -518,3 +520,18 @@ def test_ids_are_those_of_the_plain_call_where_a_text_holds_a_special_token(spar
     assert [r.start for r in found] == np.cumsum([0, *(len(i) + 1 for i in ids[:-1])]).tolist()
     packed = sorted(packing.pack(docs).collect(), key=lambda r: r.doc_id)
     assert [(r.length, r.ids_crc32) for r in packed] == [(len(i) + 1, crc([*i, 0])) for i in ids]
+
+
+def test_words_without_white_space_are_not_looked_at_one_by_one(monkeypatch):
+    """The encoder's test of new words, against the plain one; collections are off inside a batch only."""
+    looked = []
+    plain = tokens.clean
+    monkeypatch.setattr(tokens, "clean", lambda word: looked.append(word) or plain(word))
+    for words in (["a", "bc"], ["a\nb", "c"], ["a", ""], ["a", "b\n"], ["\u2003a", "a"], ["a\u00a0b", "\u00a0"], []):
+        assert tokens.all_clean(words) == all(map(plain, words))
+    assert not {"a", "bc", "c"} & set(looked)
+    during = []
+    own = tokens.Encoder()
+    monkeypatch.setattr(own, "_encode", lambda texts: during.append(gc.isenabled()))
+    own.encode([])
+    assert during == [False] and gc.isenabled()

@@ -6,6 +6,7 @@ not white space. Text between such cuts has the same ids wherever it stands, so
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -38,6 +39,11 @@ def clean(word: str) -> bool:
     return word[:1].isspace() is word[-1:].isspace() is False and word != ""
 
 
+def all_clean(words: list[str]) -> bool:
+    """Whether every word is clean. Only words with white space in them are looked at one by one."""
+    return all(map(clean, set(words).difference(" ".join(words).split())))
+
+
 class Encoder:
     def __init__(self, tokenizer: str = TOKENIZER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,20 +57,32 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        # A batch makes many small objects and no cycles; collections would only walk through them.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         find = self.known.get
         heads, rests = [], []
         gaps: list[tuple[list[bytes | None], list[int], list[str]]] = []
+        unclean: set[str] = set()
         for text in texts:
             head, *words = text.split(" ")
             found = list(map(find, words))
             if None in found or (words and not clean(head)):
                 new = list(compress(words, map(not_, found)))
-                if not all(map(clean, new)) or (words and not clean(head)):  # a space beside other white space
+                if not all_clean(new) or (words and not clean(head)):  # a space beside other white space
                     head, *words = _CUT.split(text)
                     found = list(map(find, words))
                     new = list(compress(words, map(not_, found)))
+                    unclean.update(word for word in new if not clean(word))
                 gaps.append((found, list(compress(range(len(words)), map(not_, found))), new))
             heads.append(head)
             rests.append(found)
@@ -73,7 +91,7 @@ class Encoder:
         for found, places, words in gaps:
             for place, word in zip(places, words, strict=True):
                 found[place] = ids[word]
-        self.known.update((word, own) for word, own in ids.items() if len(word) <= LONGEST and clean(word))
+        self.known.update((word, own) for word, own in ids.items() if len(word) <= LONGEST and word not in unclean)
         return [head + b"".join(rest) for head, rest in zip(self._ids(heads), rests, strict=True)]
 
 
