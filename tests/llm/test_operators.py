@@ -535,3 +535,38 @@ def test_words_without_white_space_are_not_looked_at_one_by_one(monkeypatch):
     monkeypatch.setattr(own, "_encode", lambda texts: during.append(gc.isenabled()))
     own.encode([])
     assert during == [False] and gc.isenabled()
+
+
+def test_new_words_are_encoded_together_and_a_failed_batch_leaves_nothing(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own = tokens.Encoder()
+    sent = []
+
+    class Counting:
+        def encode_batch_fast(self, pieces, add_special_tokens):
+            sent.extend(pieces)
+            return plain.encode_batch_fast(pieces, add_special_tokens=add_special_tokens)
+
+    own.tokenizer = Counting()
+    rng = random.Random(5)
+    parts = ["a", "Zq", "'s", "x'll", "\u0120", "\u00e9\u0301", "\u4e2d", "\U0001f600", "9", "...", "\n", "\t", "\x1c", "\x85", "\u00a0", "", "<|endoftext|>", "y" * 70]
+    texts = ["", " ", "one", *("".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(300))]
+    texts += [rng.choice([" ", " ", "  ", "\n "]).join(rng.choices(texts, k=rng.randint(1, 12))) for _ in range(300)]
+    for _ in range(2):  # the second time from memory
+        for k in range(0, len(texts), 50):
+            batch = texts[k : k + 50]
+            assert own.encode(batch) == [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(batch, add_special_tokens=False)]
+    words = [f"{k}w{k * 7}" for k in range(1000)]
+    sent.clear()
+    own.encode([" ".join(words[:500]), " ".join(words[500:])])
+    assert len(sent) < 10  # two first words, and the others in a few texts
+
+    broken = ["new1 new2 new3"]
+    with monkeypatch.context() as patch:
+        patch.setattr(own, "_ids", lambda pieces: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            own.encode(broken)
+    assert own.encode(broken) == [np.array(plain.encode(broken[0], add_special_tokens=False).ids, "<u4").tobytes()]

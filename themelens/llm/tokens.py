@@ -2,6 +2,7 @@
 
 A byte-level tokenizer cuts a text before it merges, and always before a single space between two characters that are
 not white space. Text between such cuts has the same ids wherever it stands, so it is encoded once and remembered.
+New words go to the tokenizer many at a time; the ids of each begin with the only token that has its space.
 """
 
 from __future__ import annotations
@@ -10,9 +11,9 @@ import gc
 import os
 import re
 from array import array
+from collections import defaultdict, deque
 from functools import lru_cache
-from itertools import chain, compress
-from operator import not_
+from itertools import islice, pairwise
 
 import numpy as np
 
@@ -22,6 +23,12 @@ TOKENIZER = "byte_bpe_50k.json"
 REMEMBERED = 1_200_000
 LONGEST = 64
 
+#: New words that are encoded as one text.
+TOGETHER = 256
+
+#: A space as byte-level vocabularies write it.
+SPACE = "\u0120"
+
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -50,11 +57,28 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(location(tokenizer))
-        self.known: dict[str, bytes] = {}  # of clean words only
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # whether an id's token begins with a space
+        self.opens[[own for token, own in vocabulary.items() if token.startswith(SPACE)]] = True
+        # Of clean words only. Inside a batch a new word has a place that its ids are put into afterwards.
+        self.known: defaultdict[str, bytes | bytearray] = defaultdict(bytearray)
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of each clean word after a space."""
+        whole = [word for word in words if " " not in word]
+        data = b"".join(self._ids([" " + " ".join(whole[k : k + TOGETHER]) for k in range(0, len(whole), TOGETHER)]))
+        starts = np.flatnonzero(self.opens[np.frombuffer(data, np.uint32)]) * 4
+        if len(starts) != len(whole):  # not a byte-level vocabulary
+            return self._ids([" " + word for word in words])
+        own = [data[a:b] for a, b in pairwise([*starts.tolist(), len(data)])]
+        if len(whole) == len(words):
+            return own
+        own, others = iter(own), iter(self._ids([" " + word for word in words if " " in word]))
+        return [next(others if " " in word else own) for word in words]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         # A batch makes many small objects and no cycles; collections would only walk through them.
@@ -62,36 +86,43 @@ class Encoder:
         gc.disable()
         try:
             return self._encode(texts)
+        except BaseException:
+            self.known.clear()  # places may be empty
+            raise
         finally:
             if collects:
                 gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        find = self.known.get
+        known, find = self.known, self.known.__getitem__
+        if len(known) > REMEMBERED:
+            known.clear()
+        before = len(known)
+        edges: defaultdict[str, bytearray] = defaultdict(bytearray)
         heads, rests = [], []
-        gaps: list[tuple[list[bytes | None], list[int], list[str]]] = []
-        unclean: set[str] = set()
         for text in texts:
             head, *words = text.split(" ")
+            size = len(known)
             found = list(map(find, words))
-            if None in found or (words and not clean(head)):
-                new = list(compress(words, map(not_, found)))
-                if not all_clean(new) or (words and not clean(head)):  # a space beside other white space
-                    head, *words = _CUT.split(text)
-                    found = list(map(find, words))
-                    new = list(compress(words, map(not_, found)))
-                    unclean.update(word for word in new if not clean(word))
-                gaps.append((found, list(compress(range(len(words)), map(not_, found))), new))
+            new = list(islice(reversed(known), len(known) - size))
+            if not all_clean(new) or (words and not clean(head)):  # a space beside other white space
+                for word in new:
+                    del known[word]
+                head, *words = _CUT.split(text)
+                last = [words.pop()] if words and not clean(words[-1]) else []
+                found = [*map(find, words), *map(edges.__getitem__, last)]
             heads.append(head)
             rests.append(found)
-        new = list(set(chain.from_iterable(words for *_, words in gaps)))
-        ids = dict(zip(new, self._ids([" " + word for word in new]), strict=True))
-        for found, places, words in gaps:
-            for place, word in zip(places, words, strict=True):
-                found[place] = ids[word]
-        self.known.update((word, own) for word, own in ids.items() if len(word) <= LONGEST and word not in unclean)
+        new = list(islice(reversed(known), len(known) - before))
+        places = list(islice(reversed(known.values()), len(known) - before))
+        ids = self._ids_of(new)
+        deque(map(bytearray.extend, places, ids), 0)
+        known.update(zip(new, ids, strict=True))
+        for word in new:
+            if len(word) > LONGEST:
+                del known[word]
+        for place, own in zip(edges.values(), self._ids([" " + word for word in edges]), strict=True):
+            place.extend(own)
         return [head + b"".join(rest) for head, rest in zip(self._ids(heads), rests, strict=True)]
 
 
